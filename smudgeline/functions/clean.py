@@ -8,13 +8,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lexicons import SEPARATORS
 
 _COMBINING = {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_marks(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFD").str.translate(_COMBINING)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: cells of one padded batch of characters, to bound what a batch takes
 _CELLS = 1 << 21
@@ -76,7 +77,7 @@ def _jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     out = pd.Series(np.nan, index=left.index)
     known = left.notna() & right.notna()

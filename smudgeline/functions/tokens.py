@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the prompt a ranking pair is asked with.
 RANK_PROMPT = "match product:\ninput: {noisy}\ncandidate: {candidate}"
@@ -29,7 +30,7 @@ def rank_prompt(noisy: Column, candidate: Column, template: str = RANK_PROMPT) -
     return F.concat(*pieces)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _byte_ids(texts: pd.Series) -> pd.Series:
     def ids(text: str | None):
         if text is None:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .augment import CANONICAL, NOISY
 from .skew import ROWS_PER_SPLIT, first_per_group, place_in_group, skew_join
@@ -52,7 +53,7 @@ def distinct_catalog(
     bounds = sorted(r["canonical"] for r in sample)[19::20]
     cuts = np.array(bounds, dtype=object)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def stretch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lines in batches:
             yield pd.Series(np.searchsorted(cuts, lines.to_numpy(dtype=object), side="right"))

@@ -68,19 +68,12 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], cols[keep]
 
 
-def _block_top_k(k: int):
+def _block_top_k(k: int, carry: tuple[str, ...]):
     """Best k of one catalog chunk for each query of one query chunk."""
 
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = not left.num_rows or not right.num_rows
-        if empty:
-            return pa.table(
-                {
-                    "query_id": left.column("query_id").slice(0, 0),
-                    "near_id": right.column("near_id").slice(0, 0),
-                    "cosine": pa.array([], pa.float64()),
-                }
-            )
+        if not left.num_rows or not right.num_rows:
+            return result(left, right, np.array([], int), np.array([], int), np.array([]))
         right = right.sort_by("near_id")
         queries, lines = _unit(_matrix(left["vec"]), True), _unit(_matrix(right["vec"]), False)
         found = []
@@ -99,18 +92,28 @@ def _block_top_k(k: int):
                 rows, cols, sims = rows[keep], cols[keep], sims[keep]
             found.append((rows + q, cols, sims))
         rows, cols, sims = (np.concatenate(p) for p in zip(*found))
-        return pa.table(
-            {
-                "query_id": left.column("query_id").take(pa.array(rows)),
-                "near_id": right.column("near_id").take(pa.array(cols)),
-                "cosine": pa.array(sims + 0.0, pa.float64()),
-            }
-        )
+        return result(left, right, rows, cols, sims)
+
+    def result(left, right, rows, cols, sims) -> pa.Table:
+        columns = {"query_id": left.column("query_id").take(pa.array(rows, pa.int64()))}
+        at = pa.array(cols, pa.int64())
+        for name in ("near_id", *carry):
+            columns[name] = right.column(name).take(at)
+        # adding zero turns a negative zero into a plain one
+        columns["cosine"] = pa.array(sims + 0.0, pa.float64())
+        return pa.table(columns)
 
     return top
 
 
-def _meet(queries: DataFrame, catalog: DataFrame, k: int, chunks: list[int], query_chunks: int):
+def _meet(
+    queries: DataFrame,
+    catalog: DataFrame,
+    k: int,
+    chunks: list[int],
+    query_chunks: int,
+    carry: tuple[str, ...],
+) -> DataFrame:
     """Bring queries and catalog together per cell and keep the best k of each meeting.
 
     Both sides carry ``cell``; ``chunks[cell]`` catalog chunks and ``query_chunks`` query
@@ -127,6 +130,7 @@ def _meet(queries: DataFrame, catalog: DataFrame, k: int, chunks: list[int], que
     )
     right = catalog.select(
         "near_id",
+        *carry,
         "vec",
         "cell",
         F.pmod(F.xxhash64("near_id"), n).cast("int").alias("chunk"),
@@ -137,8 +141,9 @@ def _meet(queries: DataFrame, catalog: DataFrame, k: int, chunks: list[int], que
         left.groupBy(keys)
         .cogroup(right.groupBy(keys))
         .applyInArrow(
-            _block_top_k(k),
-            f"query_id {types['query_id']}, near_id {types['near_id']}, cosine double",
+            _block_top_k(k, carry),
+            ", ".join(f"{n} {types[n]}" for n in ("query_id", "near_id", *carry))
+            + ", cosine double",
         )
     )
 
@@ -213,9 +218,12 @@ def nearest(
     chunk_rows: int | None = None,
     cell_rows: int | None = None,
     max_pivots: int = MAX_PIVOTS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(query_id, near_id, cosine, place)``: the k catalog vectors nearest to each query.
 
+    Catalog columns named in ``carry`` come along, which saves joining them back.
+
     ``k`` is held between 1 and the size of the catalog. Cosines are rounded to nine digits;
     ties go to the lower id. Zero vectors have cosine 0 with everything.
     """
@@ -223,7 +231,7 @@ def nearest(
         F.col(query_id).alias("query_id"), F.col(vec).cast("array<float>").alias("vec")
     )
     right = catalog.select(
-        F.col(near_id).alias("near_id"), F.col(vec).cast("array<float>").alias("vec")
+        F.col(near_id).alias("near_id"), *carry, F.col(vec).cast("array<float>").alias("vec")
     )
     n, n_queries = right.count(), left.count()
     one = right.select(F.size("vec").alias("d")).first()
@@ -245,17 +253,28 @@ def nearest(
             k,
             one_cell,
             query_chunks,
+            carry,
         )
         out = _merge(found, k)
     else:
-        out = _by_pivots(left, right, k, n_pivots, chunk_rows, query_chunks)
+        out = _by_pivots(left, right, k, n_pivots, chunk_rows, query_chunks, carry)
     return out.select(
-        F.col("query_id").alias(query_id), F.col("near_id").alias(near_id), "cosine", "place"
+        F.col("query_id").alias(query_id),
+        F.col("near_id").alias(near_id),
+        *carry,
+        "cosine",
+        "place",
     )
 
 
 def _by_pivots(
-    left: DataFrame, right: DataFrame, k: int, n_pivots: int, chunk_rows: int, query_chunks: int
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    n_pivots: int,
+    chunk_rows: int,
+    query_chunks: int,
+    carry: tuple[str, ...],
 ) -> DataFrame:
     drawn = right.orderBy(draws.base(7, F.col("near_id")), "near_id").limit(n_pivots)
     vectors = np.array([r["vec"] for r in drawn.select("vec").collect()], dtype=float)
@@ -271,7 +290,7 @@ def _by_pivots(
         inner[row["cell"]], outer[row["cell"]] = row["inner"], row["outer"]
     at_home = _assign(left, pivots, True).drop("away")
     # read twice below, and the product of a join: kept on shared storage
-    first = checkpointed(_meet(at_home, lines, k, chunks, query_chunks))
+    first = checkpointed(_meet(at_home, lines, k, chunks, query_chunks, carry))
     kth = (
         _merge(first, k)
         .groupBy("query_id")
@@ -281,25 +300,27 @@ def _by_pivots(
     )
     bounded = at_home.join(kth, "query_id", "left").fillna(float("inf"), ["bound"])
     further = _open_cells(bounded, pivots, inner, outer)
-    return _merge(first.unionByName(_meet(further, lines, k, chunks, query_chunks)), k)
+    later = _meet(further, lines, k, chunks, query_chunks, carry)
+    return _merge(first.unionByName(later), k)
 
 
 def nearest_lines(catalog: DataFrame, k: int = 10, **options) -> DataFrame:
-    """``(cat_id, near_id, cosine, place)``: each catalog line against the whole catalog.
+    """``(cat_id, near_id, near, cosine, place)``: each line against the whole catalog.
 
     The line itself is normally among the k.
     """
-    lines = catalog.select("cat_id", "vec")
     found = nearest(
-        lines.withColumnRenamed("cat_id", "query_id"),
-        lines.withColumnRenamed("cat_id", "near_id"),
+        catalog.select(F.col("cat_id").alias("query_id"), "vec"),
+        catalog.select(F.col("cat_id").alias("near_id"), F.col("canonical").alias("near"), "vec"),
         k,
         near_id="near_id",
+        carry=("near",),
         **options,
     )
     return found.withColumnRenamed("query_id", "cat_id")
 
 
 def shortlist(queries: DataFrame, catalog: DataFrame, k: int = 64, **options) -> DataFrame:
-    """``(query_id, cat_id, cosine, place)``: the k catalog lines nearest to each query."""
-    return nearest(queries, catalog, k, **options)
+    """``(query_id, cat_id, candidate, cosine, place)``: the k lines nearest to each query."""
+    lines = catalog.select("cat_id", F.col("canonical").alias("candidate"), "vec")
+    return nearest(queries, lines, k, carry=("candidate",), **options)

@@ -6,10 +6,11 @@ A candidate row is ``(query_id, noisy, truth, cat_id, candidate, cosine, place)`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.similarity import cosine
 from ..functions.tokens import RANK_PROMPT, rank_prompt
 from .skew import ROWS_PER_SPLIT, skew_join
 
@@ -19,43 +20,48 @@ def limit_eval(rows: DataFrame, n: int | None, key: str = "row_id") -> DataFrame
     return rows if n is None else rows.orderBy(key).limit(n)
 
 
-def candidates(queries: DataFrame, catalog: DataFrame, found: DataFrame) -> DataFrame:
-    """Attach texts to a shortlist: ``queries(query_id, noisy, truth)``."""
-    lines = catalog.select("cat_id", F.col("canonical").alias("candidate"))
-    return found.join(lines, "cat_id").join(queries.select("query_id", "noisy", "truth"), "query_id")
+def candidates(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """Attach ``queries(query_id, noisy, truth)`` to a shortlist."""
+    return found.join(queries.select("query_id", "noisy", "truth"), "query_id")
 
 
 def inject_truth(
     cands: DataFrame,
-    queries: DataFrame,
     catalog: DataFrame,
     k: int,
-    rows_per_split: int = ROWS_PER_SPLIT,
     vectors: DataFrame | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Put a truth the shortlist missed first, and drop what no longer fits in ``k``.
 
-    Adds ``was_injected``. ``vectors`` holds the query vectors; with it the added row gets its
-    cosine. A truth outside the catalog cannot be scored and adds nothing.
+    Adds ``was_injected``. ``vectors(query_id, vec)`` gives the added row its cosine. A truth
+    outside the catalog cannot be scored and adds nothing.
     """
-    from ..functions.similarity import cosine
-
-    hits = cands.filter(F.col("candidate") == F.col("truth")).select("query_id").distinct()
-    missed = queries.select("query_id", "noisy", "truth").join(hits, "query_id", "left_anti")
-    lines = catalog.select("cat_id", F.col("canonical").alias("truth"), F.col("vec").alias("_vec"))
+    missed = (
+        cands.groupBy("query_id")
+        .agg(
+            F.max("noisy").alias("noisy"),
+            F.max("truth").alias("truth"),
+            F.max(F.coalesce(F.col("candidate") == F.col("truth"), F.lit(False))).alias("_hit"),
+        )
+        .filter(~F.col("_hit"))
+        .drop("_hit")
+    )
+    lines = catalog.select(
+        "cat_id", F.col("canonical").alias("truth"), *(["vec"] if vectors is not None else [])
+    )
     added = skew_join(missed, lines, "truth", "inner", "query_id", rows_per_split)
     near = F.lit(None).cast("double")
     if vectors is not None:
         added = added.join(vectors.select("query_id", F.col("vec").alias("_query")), "query_id")
-        near = F.round(cosine(F.col("_query"), F.col("_vec")), 9)
-    added = added.select(
-        "query_id", "noisy", "truth", "cat_id", F.col("truth").alias("candidate"),
-        near.alias("cosine"), F.lit(0).alias("place"), F.lit(True).alias("was_injected"),
+        near = F.round(cosine(F.col("_query"), F.col("vec")), 9)
+    columns = ["query_id", "noisy", "truth", "cat_id", "candidate", "cosine", "place"]
+    rows = cands.select(*columns, F.lit(False).alias("was_injected")).unionByName(
+        added.withColumn("candidate", F.col("truth"))
+        .withColumn("cosine", near)
+        .withColumn("place", F.lit(0))
+        .select(*columns, F.lit(True).alias("was_injected"))
     )
-    rows = cands.select(
-        "query_id", "noisy", "truth", "cat_id", "candidate", "cosine", "place",
-        F.lit(False).alias("was_injected"),
-    ).unionByName(added)
     order = Window.partitionBy("query_id").orderBy("place")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
@@ -99,17 +105,20 @@ def add_pick_scores(
 
 def pick_best(scored: DataFrame) -> DataFrame:
     """One row per query: the highest pick score, the earlier place on ties."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("pick_score"), "place")
-    best = scored.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") == 1)
-    yes, no = F.col("nll_yes"), F.col("nll_no")
-    return best.select(
-        "query_id",
-        "noisy",
-        "truth",
-        F.col("candidate").alias("predicted"),
-        F.coalesce(yes < no, F.lit(False)).alias("predicted_prefers_yes"),
-        F.coalesce(F.col("candidate") == F.col("truth"), F.lit(False)).alias("is_correct"),
+    row = F.struct("noisy", "truth", "candidate", "nll_yes", "nll_no")
+    best = scored.groupBy("query_id").agg(
+        F.max_by(row, F.struct("pick_score", -F.col("place"))).alias("b")
     )
+    return best.select("query_id", "b.noisy", "b.truth", *_verdict("b"))
+
+
+def _verdict(best: str) -> list[Column]:
+    row = F.col(best)
+    return [
+        row["candidate"].alias("predicted"),
+        F.coalesce(row["nll_yes"] < row["nll_no"], F.lit(False)).alias("predicted_prefers_yes"),
+        F.coalesce(row["candidate"] == row["truth"], F.lit(False)).alias("is_correct"),
+    ]
 
 
 def score_legacy(queries: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -124,59 +133,39 @@ def score_legacy(queries: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
-def evaluation_records(
-    shortlisted: DataFrame, scored: DataFrame, policy: str, pool: int
-) -> DataFrame:
+def evaluation_records(ranked: DataFrame, policy: str, pool: int) -> DataFrame:
     """One nested record per query: scalars, six maps and two lists in shortlist order.
 
-    ``scored`` holds the pool with pick scores, ``shortlisted`` all candidates.
+    ``ranked`` is the result of :func:`evaluate_ranking`. One grouping by query makes it all.
     """
     name = scoring.policy_name(policy)
-    extra = ["nll_yes", "nll_no", "label", "margin", "pick_score"]
-    both = shortlisted.join(
-        scored.select("query_id", "cat_id", *extra, F.lit(True).alias("_in")),
-        ["query_id", "cat_id"],
-        "left",
-    )
-    packed = F.sort_array(
-        F.collect_list(F.struct("place", "candidate", "cosine", "_in", *extra))
+    fields = ["candidate", "cosine", "nll_yes", "nll_no", "label", "margin", "pick_score"]
+    row = F.struct("noisy", "truth", *fields)
+    grouped = ranked.groupBy("query_id").agg(
+        F.max_by(row, F.when(F.col("scored"), F.struct("pick_score", -F.col("place")))).alias("b"),
+        F.sort_array(F.collect_list(F.struct("place", "scored", *fields))).alias("_all"),
     )
 
-    def as_map(rows, value: str):
+    def as_map(rows: str, value) -> Column:
         return F.map_from_entries(
-            F.transform(rows, lambda r: F.struct(r["candidate"], r[value]))
+            F.transform(rows, lambda r: F.struct(r["candidate"], value(r)))
         )
 
-    grouped = both.groupBy("query_id").agg(packed.alias("_all"))
-    pooled = F.filter("_all", lambda r: r["_in"])
-    known = F.transform(
-        pooled,
-        lambda r: F.struct(
-            r["candidate"].alias("candidate"),
-            scoring.known_nll(r["nll_yes"]).alias("nll_yes"),
-            scoring.known_nll(r["nll_no"]).alias("nll_no"),
-            r["label"].alias("label"),
-            r["margin"].alias("margin"),
-            r["pick_score"].alias("pick_score"),
-        ),
-    )
-    maps = grouped.withColumn("_pool", known).select(
+    return grouped.withColumn("_pool", F.filter("_all", lambda r: r["scored"])).select(
         "query_id",
-        as_map(F.col("_pool"), "label").alias("scores"),
-        as_map(F.col("_pool"), "nll_yes").alias("nll_yes"),
-        as_map(F.col("_pool"), "nll_no").alias("nll_no"),
-        as_map(F.col("_pool"), "margin").alias("margins"),
-        as_map(F.col("_pool"), "pick_score").alias("pick_scores"),
-        as_map(F.col("_all"), "cosine").alias("encoder_cosine"),
+        "b.noisy",
+        F.col("b.truth").alias("true"),
+        *_verdict("b"),
+        as_map("_pool", lambda r: r["label"]).alias("scores"),
+        as_map("_pool", lambda r: scoring.known_nll(r["nll_yes"])).alias("nll_yes"),
+        as_map("_pool", lambda r: scoring.known_nll(r["nll_no"])).alias("nll_no"),
+        as_map("_pool", lambda r: r["margin"]).alias("margins"),
+        as_map("_pool", lambda r: r["pick_score"]).alias("pick_scores"),
+        as_map("_all", lambda r: r["cosine"]).alias("encoder_cosine"),
         F.lit(name).alias("eval_pick_policy"),
         F.lit(pool).alias("eval_ranker_max_encoder_rank"),
-        F.transform("_pool", lambda r: r["candidate"]).alias("ranker_pool"),
-        F.transform("_all", lambda r: r["candidate"]).alias("shortlist"),
-    )
-    return (
-        pick_best(scored)
-        .withColumnRenamed("truth", "true")
-        .join(maps, "query_id")
+        F.col("_pool")["candidate"].alias("ranker_pool"),
+        F.col("_all")["candidate"].alias("shortlist"),
     )
 
 
@@ -192,16 +181,21 @@ def evaluate_ranking(
     inject: bool = True,
     vectors: DataFrame | None = None,
     template: str = RANK_PROMPT,
-) -> tuple[DataFrame, DataFrame]:
-    """The shortlist as ranked and the scored pool, both in long form.
+) -> DataFrame:
+    """The shortlist in long form, the pool scored; ``scored`` marks the pool.
 
     ``found`` is the shortlist of :func:`neighbors.shortlist`. With ``inject`` off, a truth
-    that was not retrieved stays a miss.
+    that was not retrieved stays a miss. Only pool rows reach the scorer.
     """
-    cands = candidates(queries, catalog, found)
+    cands = candidates(queries, found)
     if inject:
-        cands = inject_truth(cands, queries, catalog, k, vectors=vectors)
+        cands = inject_truth(cands, catalog, k, vectors)
     else:
         cands = cands.withColumn("was_injected", F.lit(False))
-    scored = score_pairs(ranker_pool(cands, pool), scorer, template)
-    return cands, add_pick_scores(scored, policy, weight)
+    scored = add_pick_scores(
+        score_pairs(ranker_pool(cands, pool), scorer, template), policy, weight
+    ).withColumn("scored", F.lit(True))
+    if pool <= 0:
+        return scored
+    rest = cands.filter(F.col("place") > pool).withColumn("scored", F.lit(False))
+    return scored.unionByName(rest, allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
@@ -141,7 +141,7 @@ def add_jw(df: DataFrame, left: str, right: str, out: str = "jw_score") -> DataF
     return df.withColumn(out, jaro_winkler(F.col(left), F.col(right)))
 
 
-def _shown(value) -> F.Column:
+def _shown(value: Column) -> Column:
     text = F.coalesce(value.cast("string"), F.lit(""))
     return F.when(text == "NaN", "").otherwise(text)
 

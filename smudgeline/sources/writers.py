@@ -34,11 +34,12 @@ def create_noisy_table(
 def append_noisy(df: DataFrame, name: str, partition: str = PARTITION) -> None:
     """Append by position, the partition column last.
 
-    Rows are brought together by partition value and row, so each value is written by several
-    tasks and none writes a file for every value.
+    Rows are rebalanced by partition value first: small values share a task, a hot one is
+    split, and no task writes a file for every value.
     """
     columns = [c for c in df.columns if c != partition]
-    df.select(*columns, partition).write.mode("append").insertInto(name)
+    rows = df.select(*columns, partition).hint("rebalance", partition)
+    rows.write.mode("append").insertInto(name)
 
 
 def write_report_table(df: DataFrame, name: str) -> None:

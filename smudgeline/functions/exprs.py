@@ -45,11 +45,11 @@ def replace_first(text: Column, find: Column, new: Column) -> Column:
     ).otherwise(text)
 
 
-def words_literal(values: list[str], sep: str = "\x1f") -> Column:
+def words_literal(values: list[str]) -> Column:
     """A string array literal: one split of one literal, folded when planned."""
-    if any(sep in v for v in values):
+    if any("\x1f" in v for v in values):
         raise ValueError("separator occurs in a value")
-    return F.split(F.lit(sep.join(values)), sep, -1)
+    return F.split(F.lit("\x1f".join(values)), "\x1f", -1)
 
 
 def ints_literal(values: list[int]) -> Column:

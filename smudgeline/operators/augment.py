@@ -44,26 +44,6 @@ def plan_lists(steps: Sequence[str], n: int, ordered: bool = False) -> list[list
     return [list(p) for p in pairs]
 
 
-def plan_table(steps: DataFrame, n: int, ordered: bool = False) -> DataFrame:
-    """The same as a table: ``steps(pos, step)`` joined to itself ``n - 1`` times.
-
-    A step table has a row per noise function, so these are joins of a few rows.
-    """
-    out = steps.select(F.array("pos").alias("at"), F.array("step").alias("plan"))
-    for _ in range(n - 1):
-        right = steps.select("pos", "step")
-        match = (
-            ~F.array_contains("at", F.col("pos"))
-            if ordered
-            else F.col("pos") > F.element_at("at", -1)
-        )
-        out = out.join(F.broadcast(right), match).select(
-            F.concat("at", F.array("pos")).alias("at"),
-            F.concat("plan", F.array("step")).alias("plan"),
-        )
-    return out.select("plan")
-
-
 def run_step(step: Column, text: Column, base: Column, only: Sequence[str]) -> Column:
     """The text after the step named in ``step``; unknown or null names change nothing."""
     out = None
@@ -78,6 +58,16 @@ def steps_text(plan: Column) -> Column:
     return F.concat_ws("", F.transform(plan, lambda s: F.concat(F.lit(", "), s)))
 
 
+def made_once(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """Set a costly column so that later filters and projections read it and never repeat it.
+
+    A filter is pushed through a projection by copying the expression; it is not pushed
+    through the row generator used here.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode(F.array(value)).alias(column))
+
+
 def apply_steps(
     lines: DataFrame,
     steps: Sequence[str],
@@ -90,11 +80,8 @@ def apply_steps(
     iteration = F.lit(0) if iteration is None else iteration
     out = lines.withColumn(f"{noisy}_malform_steps", F.lit(""))
     for at, name in enumerate(steps):
-        out = out.withColumn(
-            "_result",
-            noise.STEPS[name](F.col(noisy), draws.base(seed, F.col(key), iteration, F.lit(at))),
-        )
-        out = unpack_step(out, "_result", noisy)
+        made = noise.STEPS[name](F.col(noisy), draws.base(seed, F.col(key), iteration, F.lit(at)))
+        out = unpack_step(made_once(out, "_result", made), "_result", noisy)
     return out
 
 
@@ -140,9 +127,9 @@ def augment_grid(
         names = sorted({p[at] for p in lists if len(p) > at})
         out = out.withColumn(
             "_base", draws.base(seed, F.col(key), F.col("iteration"), F.lit(at))
-        ).withColumn(
-            noisy, run_step(F.get("steps_arr", F.lit(at)), F.col(noisy), F.col("_base"), names)
         )
+        step = F.get("steps_arr", F.lit(at))
+        out = made_once(out, noisy, run_step(step, F.col(noisy), F.col("_base"), names))
     return (
         out.withColumn(f"{noisy}_malform_steps", steps_text(F.col("steps_arr")))
         .withColumn("n_steps", F.size("steps_arr"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from ..session import checkpointed
+from ..session import stored
 
 #: bytes of vectors one chunk of a block may hold
 CHUNK_BYTES = 32 << 20
@@ -290,7 +290,7 @@ def _by_pivots(
         inner[row["cell"]], outer[row["cell"]] = row["inner"], row["outer"]
     at_home = _assign(left, pivots, True).drop("away")
     # read twice below, and the product of a join: kept on shared storage
-    first = checkpointed(_meet(at_home, lines, k, chunks, query_chunks, carry))
+    first = stored(_meet(at_home, lines, k, chunks, query_chunks, carry), "nearest")
     kth = (
         _merge(first, k)
         .groupBy("query_id")

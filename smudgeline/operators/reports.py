@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
-from .augment import CANONICAL, NOISY, STEPS
+from .augment import CANONICAL, NOISY, STEPS, made_once
 from .skew import ROWS_PER_SPLIT, skew_join
 
 MISSING_SCORE = -1e30
@@ -138,7 +138,7 @@ def join_predictions(
 
 def add_jw(df: DataFrame, left: str, right: str, out: str = "jw_score") -> DataFrame:
     """Add the Jaro-Winkler similarity of two columns."""
-    return df.withColumn(out, jaro_winkler(F.col(left), F.col(right)))
+    return made_once(df, out, jaro_winkler(F.col(left), F.col(right)))
 
 
 def _shown(value: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions.encoders import ngram_encoder
 from ..functions.exprs import words_literal
 from ..operators import augment, catalog, neighbors, negatives, pairs, ranking, reports, split
 from ..operators.augment import CANONICAL, NOISY, STEPS
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import readers, writers
 from . import build_noisy
 
@@ -949,24 +949,34 @@ def write_predictions(spark, sf):
     )
 
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Noise, embed, shortlist, pick, and accuracy per steps string."""
+def noisy_queries(spark: SparkSession, sf: str, iterations: int = 1) -> DataFrame:
+    """Every line under every step of the default grid, with its vector."""
     rows = build_noisy.noisy_rows(
-        lines(spark, sf), iterations=1, sample=None, seed=SEED, partitions=spread(spark)
+        lines(spark, sf), iterations=iterations, sample=None, seed=SEED, partitions=spread(spark)
+    )
+    return rows.select(
+        F.col("row_id").alias("query_id"),
+        F.col(NOISY).alias("noisy"),
+        F.col(CANONICAL).alias("truth"),
+        F.col(STEPS).alias("steps"),
+        ngram_encoder(DIMS)(F.col(NOISY)).alias("vec"),
     )
-    lines_ = catalog.with_vectors(catalog.distinct_catalog(lines(spark, sf)), ngram_encoder(DIMS))
-    asked = rows.select(
-        F.col("row_id").alias("query_id"), F.col(NOISY).alias("noisy"),
-        F.col(CANONICAL).alias("truth"), ngram_encoder(DIMS)(F.col(NOISY)).alias("vec"),
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise, embed, shortlist, pick, and accuracy per steps string."""
+    asked = stored(noisy_queries(spark, sf), "asked")
+    lines_ = stored(
+        catalog.with_vectors(catalog.distinct_catalog(lines(spark, sf)), ngram_encoder(DIMS)),
+        "catalog",
     )
-    found = neighbors.shortlist(asked, lines_, 24)
-    out = ranking.evaluate_ranking(
-        asked, lines_, found, scoring.edit_scorer(), k=24, pool=24, inject=False
+    ranked_ = ranking.evaluate_ranking(
+        asked, lines_, neighbors.shortlist(asked, lines_, 24), scoring.edit_scorer(),
+        k=24, pool=0, inject=False,
     )
-    best = ranking.pick_best(out.filter("scored"))
-    named = rows.select(F.col("row_id").alias("query_id"), F.col(STEPS).alias("steps"))
+    best = ranking.pick_best(ranked_)
     return (
-        best.join(named, "query_id")
+        best.join(asked.select("query_id", "steps"), "query_id")
         .groupBy("steps")
         .agg(
             F.count("*").alias("n_rows"),

@@ -18,23 +18,20 @@ STRIDE = 1103515245
 def base(seed: int, *parts: Column) -> Column:
     """The starting point of all draws of one row, a long in [0, PRIME)."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(PRIME)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % PRIME
 
 
 def draw(at: Column, slot: Column | int) -> Column:
     """A long in [0, PRIME). Different slots of one base never give the same value."""
-    if isinstance(slot, int):
-        shift = F.lit((slot * STRIDE) % PRIME).cast("long")
-    else:
-        shift = slot.cast("long") * F.lit(STRIDE).cast("long")
-    x = (at + shift) % F.lit(PRIME)
-    return x * ((x * x) % F.lit(PRIME)) % F.lit(PRIME)
+    shift = (slot * STRIDE) % PRIME if isinstance(slot, int) else slot.cast("long") * STRIDE
+    x = (at + shift) % PRIME
+    return x * ((x * x) % PRIME) % PRIME
 
 
 def pick(at: Column, slot: Column | int, n: Column | int) -> Column:
     """An int in [0, n); 0 when n is below one."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return (draw(at, slot) % F.greatest(n.cast("long"), F.lit(1).cast("long"))).cast("int")
+    most = n if isinstance(n, int) else F.greatest(n, F.lit(1))
+    return (draw(at, slot) % most).cast("int")
 
 
 def uniform(at: Column, slot: Column | int) -> Column:

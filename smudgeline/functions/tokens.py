@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 # Fixed value: the prompt a ranking pair is asked with.
 RANK_PROMPT = "match product:\ninput: {noisy}\ncandidate: {candidate}"
 
+# Padding, end of text, and how far bytes are moved up.
 PAD, EOS, OFFSET = 0, 1, 3
 Tokenizer = Callable[[Column], Column]
 
@@ -30,15 +31,21 @@ def rank_prompt(noisy: Column, candidate: Column, template: str = RANK_PROMPT) -
     return F.concat(*pieces)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _byte_ids(texts: pd.Series) -> pd.Series:
-    def ids(text: str | None):
-        if text is None:
-            return None
-        codes = np.frombuffer(text.encode("utf-8"), np.uint8).astype(np.int32) + OFFSET
-        return np.append(codes, np.int32(EOS))
-
-    return texts.map(ids)
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _byte_ids(texts: pa.Array) -> pa.Array:
+    """All texts of a batch at once: their bytes lie end to end in the Arrow buffer."""
+    texts = texts.cast(pa.large_string())
+    known = texts.fill_null("")
+    ends = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1]
+    data = known.buffers()[2]
+    codes = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.array([], np.uint8)
+    # one more place per text, for its end token
+    offsets = (ends - ends[0] + np.arange(len(ends))).astype(np.int32)
+    ids = np.full(offsets[-1], EOS, np.int32)
+    inside = np.ones(len(ids), bool)
+    inside[offsets[1:] - 1] = False
+    ids[inside] = codes.astype(np.int32) + OFFSET
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=texts.is_null())
 
 
 def byte_tokens(text: Column) -> Column:

@@ -123,15 +123,20 @@ def augment_grid(
         )
         .withColumn(noisy, F.col(canonical).cast("string"))
     )
+    built: dict[tuple[str, ...], Column] = {}
     for at in range(depth):
-        names = sorted({p[at] for p in lists if len(p) > at})
-        out = out.withColumn(
-            "_base", draws.base(seed, F.col(key), F.col("iteration"), F.lit(at))
+        names = tuple(sorted({p[at] for p in lists if len(p) > at}))
+        if names not in built:
+            built[names] = run_step(F.col("_step"), F.col(noisy), F.col("_base"), names)
+        out = out.withColumns(
+            {
+                "_step": F.get("steps_arr", F.lit(at)),
+                "_base": draws.base(seed, F.col(key), F.col("iteration"), F.lit(at)),
+            }
         )
-        step = F.get("steps_arr", F.lit(at))
-        out = made_once(out, noisy, run_step(step, F.col(noisy), F.col("_base"), names))
+        out = made_once(out, noisy, built[names])
     return (
         out.withColumn(f"{noisy}_malform_steps", steps_text(F.col("steps_arr")))
         .withColumn("n_steps", F.size("steps_arr"))
-        .drop("_plan", "_base")
+        .drop("_plan", "_step", "_base")
     )

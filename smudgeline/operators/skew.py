@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: rows of one key that a single task may be left with
 ROWS_PER_SPLIT = 1_000_000
+#: parts the rows without a key are spread over
+NULL_SPLITS = 1024
 
 
 def skew_join(
@@ -30,9 +32,11 @@ def skew_join(
     )
     left = facts.join(F.broadcast(hot), key, "left").withColumn(
         "_split",
-        F.when(
-            F.col("_splits").isNotNull(), F.pmod(F.xxhash64(row_key), F.col("_splits")).cast("int")
-        ).otherwise(0),
+        # null keys match nothing, so they are spread freely
+        F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(row_key), F.lit(NULL_SPLITS)))
+        .when(F.col("_splits").isNotNull(), F.pmod(F.xxhash64(row_key), F.col("_splits")))
+        .otherwise(0)
+        .cast("int"),
     )
     right = dim.join(F.broadcast(hot), key, "left").select(
         *dim.columns,

@@ -21,13 +21,22 @@ def base(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % PRIME
 
 
-def draw(at: Column, slot: Column | int) -> Column:
-    """A long in [0, PRIME). Different slots of one base never give the same value."""
+def spot(at: Column, slot: Column | int) -> Column:
+    """Where a slot's draw starts from; :func:`mixed` makes the draw of it."""
     shift = (slot * STRIDE) % PRIME if isinstance(slot, int) else slot.cast("long") * STRIDE
-    x = (at + shift) % PRIME
+    return (at + shift) % PRIME
+
+
+def mixed(x: Column) -> Column:
+    """The draw of a spot. Apart from it so that arrays of spots are evaluated once."""
     return x * ((x * x) % PRIME) % PRIME
 
 
+def draw(at: Column, slot: Column | int) -> Column:
+    """A long in [0, PRIME). Different slots of one base never give the same value."""
+    return mixed(spot(at, slot))
+
+
 def pick(at: Column, slot: Column | int, n: Column | int) -> Column:
     """An int in [0, n); 0 when n is below one."""
     most = n if isinstance(n, int) else F.greatest(n, F.lit(1))

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .draws import draw, pick
+from .draws import mixed, pick, spot
 from .exprs import bind, head, ints_literal, part, replace_first, tail, upto, words_literal
 
 # slots of one base: single draws first, then one range per use of a position
@@ -35,9 +35,28 @@ def _result(name: str, text: Column, base: Column, body: Body) -> Column:
     return F.struct(new.alias("text"), F.lit(name).alias("step"))
 
 
-def _chosen(hits: Column, k: Column) -> Column:
-    """The draw at or above which a position belongs to the ``k`` chosen ones."""
-    return F.get(F.sort_array(hits, asc=False), k - 1)
+def _choose(
+    chars: Column,
+    b: Column,
+    hit: Callable[[Column], Column],
+    k: Callable[[Column], Column],
+    new: Callable[[Column, Column, Column], Column],
+) -> Column:
+    """Rebuild a text with ``k`` of its hits chosen by draw.
+
+    ``new(c, i, is_chosen)`` gives what stands in place of each character; ``k`` takes the
+    draws, null where there is no hit. The chosen hits are those of the k highest draws.
+    """
+    spots = F.transform(chars, lambda c, i: F.when(hit(c), spot(b, i + AT)))
+    return bind(
+        F.transform(spots, mixed),
+        lambda hits: bind(
+            F.get(F.sort_array(hits, asc=False), k(hits) - 1),
+            lambda cut: F.array_join(
+                F.transform(chars, lambda c, i: new(c, i, F.get(hits, i) >= cut)), ""
+            ),
+        ),
+    )
 
 
 def _int(value: Column) -> Column:
@@ -60,17 +79,12 @@ def change_case(text: Column, base: Column, max_share: float = 1.0) -> Column:
         k = F.greatest(_int(share * F.regexp_count(t, F.lit(letter)) / 1000), F.lit(1))
         return bind(
             F.split(t, ""),
-            lambda cs: bind(
-                F.transform(cs, lambda c, i: F.when(c.rlike(letter), draw(b, i + AT))),
-                lambda hits: bind(
-                    _chosen(hits, k),
-                    lambda cut: F.array_join(
-                        F.transform(
-                            cs, lambda c, i: F.when(F.get(hits, i) >= cut, flipped(c)).otherwise(c)
-                        ),
-                        "",
-                    ),
-                ),
+            lambda cs: _choose(
+                cs,
+                b,
+                lambda c: c.rlike(letter),
+                lambda hits: k,
+                lambda c, i, is_chosen: F.when(is_chosen, flipped(c)).otherwise(c),
             ),
         )
 
@@ -84,20 +98,12 @@ def remove_vowels(text: Column, base: Column, legacy_label: bool = False) -> Col
         k = pick(b, COUNT, F.regexp_count(t, F.lit("[AEIOUaeiou]"))) + 1
         return bind(
             F.split(t, ""),
-            lambda cs: bind(
-                F.transform(
-                    cs,
-                    lambda c, i: F.when(
-                        F.call_function("instr", F.lit("AEIOUaeiou"), c) > 0, draw(b, i + AT)
-                    ),
-                ),
-                lambda hits: bind(
-                    _chosen(hits, k),
-                    lambda cut: F.array_join(
-                        F.filter(cs, lambda c, i: F.coalesce(F.get(hits, i) < cut, F.lit(True))),
-                        "",
-                    ),
-                ),
+            lambda cs: _choose(
+                cs,
+                b,
+                lambda c: F.call_function("instr", F.lit("AEIOUaeiou"), c) > 0,
+                lambda hits: k,
+                lambda c, i, is_chosen: F.when(is_chosen, "").otherwise(c),
             ),
         )
 
@@ -121,17 +127,12 @@ def replace_spaces(
 
         return bind(
             F.split(t, ""),
-            lambda cs: bind(
-                F.transform(cs, lambda c, i: F.when(c == " ", draw(b, i + AT))),
-                lambda hits: bind(
-                    _chosen(hits, k),
-                    lambda cut: F.array_join(
-                        F.transform(
-                            cs, lambda c, i: F.when(F.get(hits, i) >= cut, swapped(i)).otherwise(c)
-                        ),
-                        "",
-                    ),
-                ),
+            lambda cs: _choose(
+                cs,
+                b,
+                lambda c: c == " ",
+                lambda hits: k,
+                lambda c, i, is_chosen: F.when(is_chosen, swapped(i)).otherwise(c),
             ),
         )
 
@@ -154,7 +155,8 @@ def add_special(
         most = F.greatest(F.lit(max_len) - n, _int(n * F.lit(max_share)))
 
         def placed(k: Column) -> Column:
-            slots = F.transform(upto(n + k), lambda i: draw(b, i + AT) * F.lit(width) + i)
+            spots = F.transform(upto(n + k), lambda i: spot(b, i + AT))
+            slots = F.transform(spots, lambda x, i: mixed(x) * width + i + 1)
             places = F.sort_array(
                 F.transform(
                     F.slice(F.sort_array(slots), F.lit(1), k), lambda v: (v % width).cast("int")
@@ -376,9 +378,8 @@ def repeat_characters(
 ) -> Column:
     """Stretch characters that have no copy of themselves close by, one at a time."""
 
-    def lone(cs: Column, n: Column, i: Column) -> Column:
-        """Whether the 0-based place holds a character unlike its close neighbours."""
-        c = F.get(cs, i)
+    def lone(cs: Column, n: Column, c: Column, i: Column) -> Column:
+        """Whether the character at the 0-based place is unlike its close neighbours."""
 
         def differs(offset: int) -> Column:
             return c != F.get(cs, i + offset)
@@ -396,7 +397,9 @@ def repeat_characters(
         n = F.length(s)
         room = F.lit(max_len) - n
         copies = F.when(room <= max_copies, room).otherwise(pick(b, i + ALT, max_copies) + 1)
-        places = F.filter(F.sequence(F.lit(0), n - 1), lambda p: lone(cs, n, p))
+        places = F.array_compact(
+            F.transform(cs, lambda c, p: F.when(lone(cs, n, c, p), p))
+        )
         return bind(
             places,
             lambda ps: bind(
@@ -609,25 +612,19 @@ def insert_random_directions(
         # a mark after the text stands for its end
         spots = F.when(F.endswith(t, F.lit(" ")), t).otherwise(F.concat(t, F.lit(MARK)))
 
-        def inserted(cs: Column) -> Column:
-            hits = F.transform(
-                cs, lambda c, i: F.when((c == " ") | (c == MARK), draw(b, i + AT))
+        def put(c: Column, i: Column, is_chosen: Column) -> Column:
+            return F.concat(
+                F.when(is_chosen, spelled(i)).otherwise(F.lit("")),
+                F.when(c == MARK, "").otherwise(c),
             )
-            return bind(
-                hits,
-                lambda hs: bind(
-                    _chosen(hs, pick(b, COUNT, F.size(F.array_compact(hs))) + 1),
-                    lambda cut: F.array_join(
-                        F.transform(
-                            cs,
-                            lambda c, i: F.concat(
-                                F.when(F.get(hs, i) >= cut, spelled(i)).otherwise(F.lit("")),
-                                F.when(c == MARK, "").otherwise(c),
-                            ),
-                        ),
-                        "",
-                    ),
-                ),
+
+        def inserted(cs: Column) -> Column:
+            return _choose(
+                cs,
+                b,
+                lambda c: (c == " ") | (c == MARK),
+                lambda hits: pick(b, COUNT, F.size(F.array_compact(hits))) + 1,
+                put,
             )
 
         new = F.when(F.length(t) >= 1, bind(F.split(spots, ""), inserted))

@@ -706,6 +706,28 @@ SQL |= {
 SQL["nearest_lines_by_pivots"] = SQL["nearest_lines"]
 
 
+GRAMS = (
+    "p AS (SELECT first_line, ' ' || upper(first_line) || ' ' AS t FROM (SELECT DISTINCT first_line FROM lines)), "
+    "g AS (SELECT first_line, ((unicode(substr(t, i::INT, 1))::BIGINT * 961 + unicode(substr(t, i::INT + 1, 1)) * 31 + unicode(substr(t, i::INT + 2, 1))) "
+    f"* 48271 % 2147483647) % {r.DIMS} AS slot FROM p, unnest(range(1, length(t) - 1)) AS u(i)), "
+    "n AS (SELECT first_line, slot, count(*) AS n FROM g GROUP BY ALL), "
+    "w AS (SELECT first_line, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY first_line)))::FLOAT::DOUBLE AS w FROM n), "
+    "len_ AS (SELECT first_line, sqrt(sum(w * w)) AS l FROM w GROUP BY 1), "
+    "dots AS (SELECT a.first_line AS line, b.first_line AS near, sum(a.w * b.w) AS d FROM w a JOIN w b USING (slot) GROUP BY ALL), "
+    "near AS (SELECT line, near, row_number() OVER (PARTITION BY line ORDER BY round(d / x.l / y.l, 9) DESC, near) AS place "
+    "FROM dots JOIN len_ x ON x.first_line = line JOIN len_ y ON y.first_line = near QUALIFY place <= 10)"
+)
+
+SQL["mine_hard_negatives_of_lines"] = (
+    f"WITH {NOISY_CTE}, {GRAMS}, firsts AS (SELECT first_line, {NOISY} AS text, "
+    "row_number() OVER (PARTITION BY first_line ORDER BY row_id) AS rn FROM noisy QUALIFY rn <= 5), "
+    "negs AS (SELECT line, text, row_number() OVER (PARTITION BY line ORDER BY place, rn) AS nr "
+    "FROM near JOIN firsts ON firsts.first_line = near.near WHERE near.near <> line QUALIFY nr <= 15), "
+    "lists AS (SELECT line AS first_line, string_agg(text, '|' ORDER BY nr) AS hn FROM negs GROUP BY 1) "
+    "SELECT row_id, coalesce(hn, '') AS hard_negatives FROM noisy LEFT JOIN lists USING (first_line)"
+)
+
+
 # --- ranking -----------------------------------------------------------------
 
 

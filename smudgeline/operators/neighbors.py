@@ -111,30 +111,31 @@ def _meet(
     catalog: DataFrame,
     k: int,
     chunks: list[int],
-    query_chunks: int,
+    query_chunks: list[int],
     carry: tuple[str, ...],
 ) -> DataFrame:
     """Bring queries and catalog together per cell and keep the best k of each meeting.
 
-    Both sides carry ``cell``; ``chunks[cell]`` catalog chunks and ``query_chunks`` query
-    chunks bound what one task holds, however full a cell is.
+    Both sides carry ``cell``; ``chunks[cell]`` catalog chunks and ``query_chunks[cell]``
+    query chunks bound what one task holds, however full a cell is. A cell no query visits
+    has no query chunks, and its lines go nowhere.
     """
-    n = F.get(F.lit(chunks), F.col("cell"))
+    n, m = (F.get(F.lit(sizes), F.col("cell")) for sizes in (chunks, query_chunks))
     keys = ["cell", "chunk", "query_chunk"]
     left = queries.select(
         "query_id",
         "vec",
         "cell",
         F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_chunks)).cast("int").alias("query_chunk"),
+        F.pmod(F.xxhash64("query_id"), m).cast("int").alias("query_chunk"),
     )
-    right = catalog.select(
+    right = catalog.filter(m > 0).select(
         "near_id",
         *carry,
         "vec",
         "cell",
         F.pmod(F.xxhash64("near_id"), n).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_chunks - 1))).alias("query_chunk"),
+        F.explode(F.sequence(F.lit(0), m - 1)).alias("query_chunk"),
     )
     types = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
     return (
@@ -243,21 +244,19 @@ def nearest(
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # enough query chunks to use the cluster, none larger than a chunk may be
     query_rows = min(chunk_rows, max(1024, math.ceil(n_queries / tasks)))
-    query_chunks = max(1, math.ceil(n_queries / query_rows))
     n_pivots = min(max_pivots, n // cell_rows)
     if n_pivots < 2:
-        one_cell = [max(1, math.ceil(n / chunk_rows))]
         found = _meet(
             left.withColumn("cell", F.lit(0)),
             right.withColumn("cell", F.lit(0)),
             k,
-            one_cell,
-            query_chunks,
+            [max(1, math.ceil(n / chunk_rows))],
+            [max(1, math.ceil(n_queries / query_rows))],
             carry,
         )
         out = _merge(found, k)
     else:
-        out = _by_pivots(left, right, k, n_pivots, chunk_rows, query_chunks, carry)
+        out = _by_pivots(left, right, k, n_pivots, chunk_rows, query_rows, carry)
     return out.select(
         F.col("query_id").alias(query_id),
         F.col("near_id").alias(near_id),
@@ -267,30 +266,39 @@ def nearest(
     )
 
 
+def _chunks_per_cell(df: DataFrame, cells: int, rows: int) -> list[int]:
+    """Chunks of at most about ``rows`` rows for each cell; at most MAX_PIVOTS counts."""
+    chunks = [0] * cells
+    for row in df.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        chunks[row["cell"]] = math.ceil(row["n"] / rows)
+    return chunks
+
+
 def _by_pivots(
     left: DataFrame,
     right: DataFrame,
     k: int,
     n_pivots: int,
     chunk_rows: int,
-    query_chunks: int,
+    query_rows: int,
     carry: tuple[str, ...],
 ) -> DataFrame:
     drawn = right.orderBy(draws.base(7, F.col("near_id")), "near_id").limit(n_pivots)
     vectors = np.array([r["vec"] for r in drawn.select("vec").collect()], dtype=float)
     pivots = np.unique(_unit(vectors, False), axis=0)
-    lines = _assign(right, pivots, False)
-    stats = lines.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("away").alias("inner"), F.max("away").alias("outer")
-    )
-    chunks = [1] * len(pivots)
-    inner, outer = np.zeros(len(pivots)), np.full(len(pivots), np.inf)
-    for row in stats.collect():
-        chunks[row["cell"]] = max(1, math.ceil(row["n"] / chunk_rows))
+    cells = len(pivots)
+    # both sides are read several times from here on
+    lines = stored(_assign(right, pivots, False), "lines")
+    at_home = stored(_assign(left, pivots, True).drop("away"), "queries")
+    chunks = _chunks_per_cell(lines, cells, chunk_rows)
+    inner, outer = np.zeros(cells), np.full(cells, np.inf)
+    rings = lines.groupBy("cell").agg(F.min("away").alias("inner"), F.max("away").alias("outer"))
+    for row in rings.collect():
         inner[row["cell"]], outer[row["cell"]] = row["inner"], row["outer"]
-    at_home = _assign(left, pivots, True).drop("away")
-    # read twice below, and the product of a join: kept on shared storage
-    first = stored(_meet(at_home, lines, k, chunks, query_chunks, carry), "nearest")
+    # a query at home in an empty cell has nothing to meet there
+    lone = [max(1, c) for c in chunks]
+    asked = _chunks_per_cell(at_home, cells, query_rows)
+    first = stored(_meet(at_home, lines, k, lone, asked, carry), "nearest")
     kth = (
         _merge(first, k)
         .groupBy("query_id")
@@ -298,9 +306,13 @@ def _by_pivots(
         .filter(F.col("_n") >= k)
         .select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("_least"), F.lit(0.0))).alias("bound"))
     )
-    bounded = at_home.join(kth, "query_id", "left").fillna(float("inf"), ["bound"])
+    bounded = stored(
+        at_home.join(kth, "query_id", "left").fillna(float("inf"), ["bound"]), "bounded"
+    )
     further = _open_cells(bounded, pivots, inner, outer)
-    later = _meet(further, lines, k, chunks, query_chunks, carry)
+    later = _meet(
+        further, lines, k, lone, _chunks_per_cell(further, cells, query_rows), carry
+    )
     return _merge(first.unionByName(later), k)
 
 

@@ -447,8 +447,8 @@ SQL |= {
         + "".join(f", '{d}', '{g}')" for d, g in lx.FRACTIONS.items()) + " AS text FROM lines"
     ),
     "dedupe_alts": (
-        f"WITH {lines_cte()}, w AS (SELECT DISTINCT st, unnest(regexp_split_to_array(first_line, '[0-9 ]+')) AS w FROM lines) "
-        "SELECT st, string_agg(w, ' ' ORDER BY w) AS alts FROM w WHERE w <> '' GROUP BY 1"
+        f"WITH {lines_cte()}, c AS (SELECT DISTINCT line_id, unnest(string_split(first_line, '')) AS c FROM lines) "
+        "SELECT line_id, string_agg(c, '' ORDER BY c) AS alts FROM c GROUP BY 1"
     ),
     "merge_maps": (
         f"WITH {lines_cte()}, e AS (SELECT line_id, substr(first_line, 1, 3) AS key, 1 AS value FROM lines UNION ALL "

@@ -18,7 +18,7 @@ from ..operators.pairs import make_pairs, tokenize_pairs
 from ..operators.ranking import evaluate_ranking, evaluation_records, limit_eval
 from ..operators.reports import predictions_table, top1_accuracy, topk_accuracy
 from ..operators.split import exact_split
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import readers, writers
 
 
@@ -49,7 +49,7 @@ def match_rows(
     queries: DataFrame, catalog: DataFrame, cfg: MatchConfig, scorer: Scorer, **options
 ) -> DataFrame:
     """Shortlist, score and rank the queries against the catalog, in long form."""
-    found = shortlist(queries, catalog, cfg.shortlist_k, **options)
+    found = stored(shortlist(queries, catalog, cfg.shortlist_k, **options), "shortlist")
     return evaluate_ranking(
         queries,
         catalog,
@@ -78,6 +78,9 @@ def run(
     names = cfg.columns
     root = (cfg.artifact_dir or scratch_path(spark, "match")).rstrip("/")
     rows = readers.read_lines(spark, cfg)
+    if cfg.max_rows:
+        # which rows a limit keeps must not change from one use to the next
+        rows = stored(rows, "rows")
 
     writers.write_catalog(
         with_vectors(distinct_catalog(rows, names.canonical), encoder), f"{root}/catalog"
@@ -115,7 +118,7 @@ def run(
     to_match = limit_eval(
         keep_known(test, names.canonical, names.noisy), cfg.eval_max_rows, key
     )
-    queries = embed_queries(to_match, cfg, encoder, key)
+    queries = stored(embed_queries(to_match, cfg, encoder, key), "queries")
     match_rows(queries, catalog, cfg, scorer).write.mode("overwrite").parquet(f"{root}/ranked")
     ranked = spark.read.parquet(f"{root}/ranked")
     evaluation_records(ranked, cfg.pick_policy, cfg.ranker_pool).write.mode(

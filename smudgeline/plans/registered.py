@@ -258,11 +258,9 @@ def fraction_glyphs(spark, sf):
 
 @query
 def dedupe_alts(spark, sf):
-    """Distinct words per part type, sorted."""
-    words = lines(spark, sf).select("st", F.explode(F.split(CANONICAL, "[0-9 ]+")).alias("w"))
-    return (
-        words.filter("w != ''").groupBy("st").agg(F.sort_array(F.collect_set("w")).alias("ws"))
-    ).select("st", F.array_join("ws", " ").alias("alts"))
+    """Distinct characters of each line, sorted."""
+    chars = F.sort_array(F.array_distinct(F.split(CANONICAL, "")))
+    return lines(spark, sf).select("line_id", F.array_join(chars, "").alias("alts"))
 
 
 @query
@@ -612,8 +610,9 @@ def ranked(
     spark, sf, policy: str = "encoder_margin_blend", k: int = 16, pool: int = 8, inject: bool = True
 ) -> DataFrame:
     asked, lines_ = vector_queries(spark, sf), vectors(spark, sf)
+    found = stored(neighbors.shortlist(asked, lines_, k), "shortlist")
     return ranking.evaluate_ranking(
-        asked, lines_, neighbors.shortlist(asked, lines_, k), drawn_scorer,
+        asked, lines_, found, drawn_scorer,
         k=k, pool=pool, policy=policy, inject=inject, vectors=asked.select("query_id", "vec"),
     )
 
@@ -679,8 +678,10 @@ def mine_hard_negatives(spark, sf):
 @query
 def mine_hard_negatives_of_lines(spark, sf):
     """Negatives of noisy part lines, by the default encoder."""
-    rows = noisy(spark, sf)
-    lines_ = catalog.with_vectors(catalog.distinct_catalog(rows), ngram_encoder(DIMS))
+    rows = stored(noisy(spark, sf), "noisy")
+    lines_ = stored(
+        catalog.with_vectors(catalog.distinct_catalog(rows), ngram_encoder(DIMS)), "catalog"
+    )
     out = negatives.mine_hard_negatives(rows, lines_)
     return out.select("row_id", F.array_join("hard_negatives", "|").alias("hard_negatives"))
 
@@ -695,7 +696,8 @@ def merge_negatives(spark, sf):
 
 @query
 def exact_split(spark, sf):
-    return split.exact_split(noisy(spark, sf), 0.1, SEED).select("row_id", "split")
+    rows = stored(noisy(spark, sf), "noisy")
+    return split.exact_split(rows, 0.1, SEED).select("row_id", "split")
 
 
 @query
@@ -971,8 +973,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
         "catalog",
     )
     ranked_ = ranking.evaluate_ranking(
-        asked, lines_, neighbors.shortlist(asked, lines_, 24), scoring.edit_scorer(),
-        k=24, pool=0, inject=False,
+        asked, lines_, stored(neighbors.shortlist(asked, lines_, 24), "shortlist"),
+        scoring.edit_scorer(), k=24, pool=0, inject=False,
     )
     best = ranking.pick_best(ranked_)
     return (

@@ -94,16 +94,20 @@ def augment_grid(
     canonical: str = CANONICAL,
     noisy: str = NOISY,
     partitions: int | None = None,
+    first_iteration: int = 1,
+    first_row: int = 0,
 ) -> DataFrame:
     """Every line by every plan by every iteration, in one narrow pass.
 
     The grid is exploded inside each row, so nothing is shuffled or joined. ``partitions``
     spreads a small source before it grows; a large one is best left where it lies.
-    Adds ``row_id, plan_no, iteration, steps_arr, n_steps`` and the noisy columns.
+    Adds ``row_id, plan_no, iteration, steps_arr, n_steps`` and the noisy columns. A later
+    grid over the same lines starts at a later iteration and row to give new texts and ids.
     """
     lists = [list(p) for p in plans]
     depth = max((len(p) for p in lists), default=0)
     flat = words_literal(["\x1e".join(p) for p in lists])
+    last_iteration = first_iteration + iterations - 1
     source = lines.repartition(partitions, key) if partitions else lines
     out = (
         source.select("*", F.posexplode(flat).alias("plan_no", "_plan"))
@@ -113,13 +117,13 @@ def augment_grid(
                 F.split("_plan", "\x1e")
             ),
         )
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration"))
+        .select("*", F.explode(F.sequence(F.lit(first_iteration), F.lit(last_iteration))).alias("iteration"))
         .withColumn(
             "row_id",
             F.col(key) * F.lit(len(lists) * iterations).cast("long")
             + F.col("plan_no") * iterations
-            + F.col("iteration")
-            - 1,
+            + (F.col("iteration") - first_iteration)
+            + F.lit(first_row).cast("long"),
         )
         .withColumn(noisy, F.col(canonical).cast("string"))
     )

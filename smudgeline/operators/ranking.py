@@ -193,7 +193,7 @@ def evaluate_ranking(
     else:
         cands = cands.withColumn("was_injected", F.lit(False))
     scored = add_pick_scores(
-        score_pairs(ranker_pool(cands, pool), scorer, template), policy, weight
+        score_pairs(ranker_pool(cands, pool), scorer, template).drop("prompt"), policy, weight
     ).withColumn("scored", F.lit(True))
     if pool <= 0:
         return scored

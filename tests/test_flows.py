@@ -17,6 +17,10 @@ def test_build_and_match(spark, small):
     assert added == 60 * 13
     again = build_noisy.build_noisy_table(spark, lines, name, place, iterations=1, sample=60)
     assert again == added and spark.table(name).count() == 2 * added
+    table = spark.table(name)
+    assert table.select("row_id").distinct().count() == 2 * added
+    texts = table.filter(F.col(STEPS) == ", add_random_text")
+    assert texts.select("line_id", "malformed_first_line").distinct().count() == texts.count() == 120
 
     path = scratch_path(spark, "rows")
     build_noisy.noisy_rows(lines, iterations=2, sample=60).write.parquet(path)

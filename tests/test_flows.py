@@ -1,12 +1,16 @@
 """Whole flows, sources and sinks."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from smudgeline.config import MatchConfig
-from smudgeline.operators.augment import STEPS
+from smudgeline.functions.encoders import ngram_encoder
+from smudgeline.operators.augment import CANONICAL, STEPS
 from smudgeline.plans import build_noisy, match, registered
-from smudgeline.session import scratch_path
+from smudgeline.session import scratch_path, stored
 from smudgeline.sources import readers, writers
 
 
@@ -76,3 +80,37 @@ def test_filters_do_not_repeat_noise(spark, small):
     rows = registered.noisy(spark, small)
     plan = rows.filter("malformed_first_line != first_line")._jdf.queryExecution().executedPlan().toString()
     assert all("transform" not in line for line in plan.splitlines() if "Filter (" in line)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_flagship_by_brute_force(spark, small):
+    """Shortlist, scores, blend and pick, recomputed without Spark from the same vectors."""
+    asked = stored(registered.noisy_queries(spark, small), "asked")
+    got = {r.steps: (r.n_rows, r.accuracy) for r in registered.flagship(spark, small).collect()}
+    lines = registered.lines(spark, small).select(CANONICAL, ngram_encoder(registered.DIMS)(F.col(CANONICAL)).alias("vec"))
+    cat = sorted(lines.distinct().collect())
+    names, vecs = [r[0] for r in cat], np.array([r[1] for r in cat], float)
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    hits = {}
+    for r in asked.withColumn("up", F.upper("noisy")).collect():
+        q = np.array(r.vec, float)
+        sims = np.round(vecs @ (q / (np.linalg.norm(q) or 1)), 9)
+        order = sorted(range(len(names)), key=lambda i: (-sims[i], i))[:24]
+        low, high = sims[order].min(), sims[order].max()
+        best = None
+        for place, i in enumerate(order):
+            near = 1 - edits(r.up, names[i]) / max(len(r.up), len(names[i]), 1)
+            p = max(min(near, 0.999999), 0.000001)
+            score = -math.log(1 - p) + math.log(p) + 2 * (sims[i] - low) / max(high - low, 1e-8)
+            if best is None or score > best[0] + 1e-9:
+                best = (score, i)
+        hits.setdefault(r.steps, []).append(names[best[1]] == r.truth)
+    assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1.5 / len(v))) for k, v in hits.items()}

@@ -45,13 +45,13 @@ def _choose(
     """Rebuild a text with ``k`` of its hits chosen by draw.
 
     ``new(c, i, is_chosen)`` gives what stands in place of each character; ``k`` takes the
-    draws, null where there is no hit. The chosen hits are those of the k highest draws.
+    number of hits. The chosen hits are those of the k highest draws.
     """
     spots = F.transform(chars, lambda c, i: F.when(hit(c), spot(b, i + AT)))
     return bind(
         F.transform(spots, mixed),
         lambda hits: bind(
-            F.get(F.sort_array(hits, asc=False), k(hits) - 1),
+            F.get(F.sort_array(hits, asc=False), k(F.size(F.array_compact(hits))) - 1),
             lambda cut: F.array_join(
                 F.transform(chars, lambda c, i: new(c, i, F.get(hits, i) >= cut)), ""
             ),
@@ -59,6 +59,20 @@ def _choose(
     )
 
 
+def _marks(marked: Column) -> Column:
+    return F.length(marked) - F.length(F.replace(marked, F.lit(MARK), F.lit("")))
+
+
+def _before_mark(marked: Column, nth: Column) -> Column:
+    """Characters before the nth mark, counted from one."""
+    return F.length(F.call_function("substring_index", marked, F.lit(MARK), nth))
+
+
+def _times(most: Column, b: Column) -> Column:
+    """``[1, ..., k]`` for a drawn k between 1 and ``most``; empty when most is below one."""
+    return bind(most, lambda m: F.when(m >= 1, upto(pick(b, COUNT, m) + 1)).otherwise(upto(F.lit(0))))
+
+
 def _int(value: Column) -> Column:
     return F.floor(value).cast("int")
 
@@ -76,14 +90,13 @@ def change_case(text: Column, base: Column, max_share: float = 1.0) -> Column:
 
     def body(t: Column, b: Column) -> Column:
         share = pick(b, COUNT, int(round(max_share * 1000)) + 1)
-        k = F.greatest(_int(share * F.regexp_count(t, F.lit(letter)) / 1000), F.lit(1))
         return bind(
             F.split(t, ""),
             lambda cs: _choose(
                 cs,
                 b,
                 lambda c: c.rlike(letter),
-                lambda hits: k,
+                lambda n: F.greatest(_int(share * n / 1000), F.lit(1)),
                 lambda c, i, is_chosen: F.when(is_chosen, flipped(c)).otherwise(c),
             ),
         )
@@ -95,14 +108,13 @@ def remove_vowels(text: Column, base: Column, legacy_label: bool = False) -> Col
     """Drop 1 to all of the vowels."""
 
     def body(t: Column, b: Column) -> Column:
-        k = pick(b, COUNT, F.regexp_count(t, F.lit("[AEIOUaeiou]"))) + 1
         return bind(
             F.split(t, ""),
             lambda cs: _choose(
                 cs,
                 b,
                 lambda c: F.call_function("instr", F.lit("AEIOUaeiou"), c) > 0,
-                lambda hits: k,
+                lambda n: pick(b, COUNT, n) + 1,
                 lambda c, i, is_chosen: F.when(is_chosen, "").otherwise(c),
             ),
         )
@@ -119,7 +131,6 @@ def replace_spaces(
 
     def body(t: Column, b: Column) -> Column:
         table = words_literal(subs)
-        k = pick(b, COUNT, F.regexp_count(t, F.lit(" "))) + 1
 
         def swapped(i: Column) -> Column:
             sub = F.get(table, pick(b, i + ALT, len(subs)))
@@ -131,7 +142,7 @@ def replace_spaces(
                 cs,
                 b,
                 lambda c: c == " ",
-                lambda hits: k,
+                lambda n: pick(b, COUNT, n) + 1,
                 lambda c, i, is_chosen: F.when(is_chosen, swapped(i)).otherwise(c),
             ),
         )
@@ -332,10 +343,8 @@ def replace_char(
     sizes = [len(v) for v in table.values()]
     starts = [0, *accumulate(sizes)][:-1]
 
-    def swap(b: Column, s: Column, i: Column, marked: Column) -> Column:
-        n = F.length(marked) - F.length(F.replace(marked, F.lit(MARK), F.lit("")))
-        nth = pick(b, i + AT, n) + 1
-        at = F.length(F.call_function("substring_index", marked, F.lit(MARK), nth)) + 1
+    def swap(b: Column, s: Column, i: Column, marked: Column, n: Column) -> Column:
+        at = _before_mark(marked, pick(b, i + AT, n) + 1) + 1
 
         def swapped(p: Column) -> Column:
             key = F.call_function("instr", F.lit(keys), F.upper(part(s, p, 1))) - 1
@@ -356,13 +365,13 @@ def replace_char(
         return F.when(n > 0, F.coalesce(bind(at, swapped), s)).otherwise(s)
 
     def body(t: Column, b: Column) -> Column:
-        most = _int(F.regexp_count(t, F.lit(ALNUM)) * F.lit(max_share))
-        k = F.when(most >= 1, pick(b, COUNT, most) + 1).otherwise(F.lit(0))
+        most = _int(F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")) * F.lit(max_share))
         return F.aggregate(
-            upto(k),
+            _times(most, b),
             t,
             lambda s, i: bind(
-                F.regexp_replace(s, ALNUM, MARK), lambda marked: swap(b, s, i, marked)
+                F.regexp_replace(s, ALNUM, MARK),
+                lambda marked: bind(_marks(marked), lambda n: swap(b, s, i, marked, n)),
             ),
         )
 
@@ -376,47 +385,67 @@ def repeat_characters(
     max_copies: int = 7,
     max_len: int = 50,
 ) -> Column:
-    """Stretch characters that have no copy of themselves close by, one at a time."""
+    """Stretch characters that have no copy of themselves close by, one at a time.
 
-    def lone(cs: Column, n: Column, c: Column, i: Column) -> Column:
-        """Whether the character at the 0-based place is unlike its close neighbours."""
+    Places are drawn from the two at either end that qualify, then from the inner ones. Inner
+    ones differ from the two characters before and after; one pattern marks each of them, at
+    the place two before it.
+    """
+    inner = r"(?s)(.)(?=(.)(?!\1|\2)(.)(?!\3|.\3)..)"
 
-        def differs(offset: int) -> Column:
-            return c != F.get(cs, i + offset)
+    def at_ends(s: Column, n: Column) -> Column:
+        """The 0-based places among the first and last two that qualify."""
 
-        inner = differs(-1) & differs(1) & differs(-2) & differs(2)
-        return (
-            F.when((i >= 2) & (i <= n - 3), inner)
-            .when(i == 0, differs(1) & differs(2))
-            .when(i == 1, differs(2) & (differs(-1) | differs(3)))
-            .when(i == n - 1, differs(-1) & differs(-2))
-            .otherwise(differs(-1) & (differs(1) | differs(-2)))
-        )
+        def differ(i: Column, j: Column) -> Column:
+            return part(s, i + 1, 1) != part(s, j + 1, 1)
+
+        first, second, last = F.lit(0), F.lit(1), n - 1
+        near = last - 1
+        rules = [
+            (first, differ(first, second) & differ(first, F.lit(2))),
+            (second, differ(second, F.lit(2)) & (differ(second, first) | differ(second, F.lit(3)))),
+            (near, differ(near, near - 1) & (differ(near, last) | differ(near, near - 2))),
+            (last, differ(last, near) & differ(last, near - 1)),
+        ]
+        return F.array_compact(F.array(*[F.when(ok, i) for i, ok in rules]))
 
-    def stretched(b: Column, s: Column, i: Column, cs: Column) -> Column:
+    def stretched(b: Column, s: Column, i: Column) -> Column:
         n = F.length(s)
         room = F.lit(max_len) - n
         copies = F.when(room <= max_copies, room).otherwise(pick(b, i + ALT, max_copies) + 1)
-        places = F.array_compact(
-            F.transform(cs, lambda c, p: F.when(lone(cs, n, c, p), p))
-        )
+
+        def chosen(ends: Column, marked: Column) -> Column:
+            nth = pick(b, i + AT, F.size(ends) + _marks(marked))
+            return bind(
+                nth,
+                lambda r: F.coalesce(
+                    F.get(ends, r),
+                    F.when(
+                        _marks(marked) > 0, _before_mark(marked, r - F.size(ends) + 1) + 2
+                    ),
+                ),
+            )
+
         return bind(
-            places,
-            lambda ps: bind(
-                F.get(ps, pick(b, i + AT, F.size(ps))),
-                lambda p: F.concat(head(s, p), F.repeat(F.get(cs, p), copies), tail(s, p + 2)),
+            at_ends(s, n),
+            lambda ends: bind(
+                F.regexp_replace(s, inner, MARK),
+                lambda marked: bind(
+                    chosen(ends, marked),
+                    lambda p: F.concat(
+                        head(s, p), F.repeat(part(s, p + 1, 1), copies), tail(s, p + 2)
+                    ),
+                ),
             ),
         )
 
     def body(t: Column, b: Column) -> Column:
-        most = _int(F.length(t) * F.lit(max_share))
-        k = F.when(most >= 1, pick(b, COUNT, most) + 1).otherwise(F.lit(0))
         return F.aggregate(
-            upto(k),
+            _times(_int(F.length(t) * F.lit(max_share)), b),
             t,
             # one free place means one copy of one character: nothing changes
             lambda s, i: F.when(F.length(s) >= max_len - 1, s).otherwise(
-                F.coalesce(bind(F.split(s, ""), lambda cs: stretched(b, s, i, cs)), s)
+                F.coalesce(stretched(b, s, i), s)
             ),
         )
 
@@ -623,7 +652,7 @@ def insert_random_directions(
                 cs,
                 b,
                 lambda c: (c == " ") | (c == MARK),
-                lambda hits: pick(b, COUNT, F.size(F.array_compact(hits))) + 1,
+                lambda n: pick(b, COUNT, n) + 1,
                 put,
             )
 

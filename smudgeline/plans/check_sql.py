@@ -170,11 +170,15 @@ def stretched(src_cte: str) -> str:
     def ne(offset: int) -> str:
         return f"substr(s, x::INT, 1) <> substr(s, (x + {offset})::INT, 1)"
 
-    lone = (
-        f"CASE WHEN x >= 3 AND x <= n - 2 THEN {ne(-1)} AND {ne(1)} AND {ne(-2)} AND {ne(2)} "
-        f"WHEN x = 1 THEN {ne(1)} AND {ne(2)} WHEN x = 2 THEN {ne(2)} AND ({ne(-1)} OR {ne(3)}) "
+    inner = f"{ne(-1)} AND {ne(1)} AND {ne(-2)} AND {ne(2)}"
+    ends = (
+        f"CASE WHEN x = 1 THEN {ne(1)} AND {ne(2)} WHEN x = 2 THEN {ne(1)} AND ({ne(-1)} OR {ne(2)}) "
         f"WHEN x = n THEN {ne(-1)} AND {ne(-2)} ELSE {ne(-1)} AND ({ne(1)} OR {ne(-2)}) END"
     )
+    places = (
+        f"list_concat(list_filter([1, 2, n - 1, n], lambda x: {ends}), "
+        f"list_filter(range(3, n - 1), lambda x: {inner}))"
+    )
     return f"""WITH RECURSIVE {src_cte},
       start AS (SELECT rid, b, t, 1 + {pick('b', 0, 'floor(length(t) * 0.33333::DOUBLE)')} AS k FROM src),
       walk AS (
@@ -183,7 +187,7 @@ def stretched(src_cte: str) -> str:
         SELECT rid, b, k, i + 1, CASE WHEN n >= 49 OR len(ps) = 0 THEN s ELSE
           substr(s, 1, p - 1) || repeat(substr(s, p, 1), CASE WHEN 50 - n <= 7 THEN 50 - n ELSE 1 + {pick('b', 'i + 1 + 1000000', 7)} END) || substr(s, p + 1) END
         FROM (SELECT *, ps[{pick('b', 'i + 1 + 16', 'len(ps)')} + 1]::INT AS p FROM (
-          SELECT *, list_filter(range(1, n + 1), lambda x: {lone}) AS ps FROM (
+          SELECT *, {places} AS ps FROM (
             SELECT *, length(s) AS n FROM walk)))
         WHERE i < k)
       SELECT rid AS line_id, s AS text, 'repeat_characters' AS step FROM walk WHERE i = k"""

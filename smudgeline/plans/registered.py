@@ -548,7 +548,10 @@ def allowed_next(spark, sf):
 
 @query
 def run_stamp(spark, sf):
-    at = F.expr("timestamp_seconds(1764739202 + line_id * 86461)")
+    # a wall-clock time, whatever the session's zone
+    at = F.expr(
+        "TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1764739202 + line_id * 86461)"
+    )
     return lines(spark, sf).select(
         "line_id",
         scoring.run_stamp(at).alias("stamp"),

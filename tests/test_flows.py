@@ -114,3 +114,10 @@ def test_flagship_by_brute_force(spark, small):
                 best = (score, i)
         hits.setdefault(r.steps, []).append(names[best[1]] == r.truth)
     assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1.5 / len(v))) for k, v in hits.items()}
+
+
+def test_worker_functions_travel_by_value():
+    """Executors need not have the package: its functions are pickled whole."""
+    from pyspark import cloudpickle
+
+    assert "smudgeline" in cloudpickle.list_registry_pickle_by_value()

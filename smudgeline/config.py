@@ -11,6 +11,7 @@ from .functions.tokens import RANK_PROMPT
 class Columns:
     """Names of the three columns a noisy table must have."""
 
+    # The names tables are written with unless told otherwise.
     noisy: str = "malformed_first_line"
     canonical: str = "first_line"
     steps: str = "malformed_first_line_malform_steps"

@@ -693,7 +693,7 @@ def insert_direction(text: Column, base: Column) -> Column:
     return _result("insert_cardinal_directions", text, base, body)
 
 
-#: name written to the data -> function, in the order the grid runs them
+# The names written to the data, in the order the grid runs their functions.
 STEPS: dict[str, Callable[[Column, Column], Column]] = {
     "replace_char": replace_char,
     "repeat_characters": repeat_characters,

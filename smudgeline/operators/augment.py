@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import draws, noise
 from ..functions.exprs import words_literal
 
+# Column names of a noisy table.
 CANONICAL = "first_line"
 NOISY = "malformed_first_line"
 STEPS = "malformed_first_line_malform_steps"

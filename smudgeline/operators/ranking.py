@@ -37,15 +37,14 @@ def inject_truth(
     Adds ``was_injected``. ``vectors(query_id, vec)`` gives the added row its cosine. A truth
     outside the catalog cannot be scored and adds nothing.
     """
+    is_hit = F.coalesce(F.col("candidate") == F.col("truth"), F.lit(False))
+    without = (
+        cands.groupBy("query_id").agg(F.max(is_hit).alias("_hit")).filter(~F.col("_hit"))
+    )
     missed = (
-        cands.groupBy("query_id")
-        .agg(
-            F.max("noisy").alias("noisy"),
-            F.max("truth").alias("truth"),
-            F.max(F.coalesce(F.col("candidate") == F.col("truth"), F.lit(False))).alias("_hit"),
-        )
-        .filter(~F.col("_hit"))
-        .drop("_hit")
+        cands.filter(F.col("place") == 1)
+        .select("query_id", "noisy", "truth")
+        .join(without.select("query_id"), "query_id")
     )
     lines = catalog.select(
         "cat_id", F.col("canonical").alias("truth"), *(["vec"] if vectors is not None else [])

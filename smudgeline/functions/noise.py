@@ -159,7 +159,6 @@ def add_special(
     final places are drawn at once: k of the n + k.
     """
     table = words_literal(lx.SEPARATORS)
-    width = 1 << 20
 
     def body(t: Column, b: Column) -> Column:
         n = F.length(t)
@@ -167,11 +166,11 @@ def add_special(
 
         def placed(k: Column) -> Column:
             spots = F.transform(upto(n + k), lambda i: spot(b, i + AT))
-            slots = F.transform(spots, lambda x, i: mixed(x) * width + i + 1)
+            slots = F.transform(
+                spots, lambda x, i: F.struct(mixed(x).alias("draw"), (i + 1).cast("int").alias("place"))
+            )
             places = F.sort_array(
-                F.transform(
-                    F.slice(F.sort_array(slots), F.lit(1), k), lambda v: (v % width).cast("int")
-                )
+                F.transform(F.slice(F.sort_array(slots), F.lit(1), k), lambda v: v["place"])
             )
             return bind(
                 places,
@@ -387,6 +386,7 @@ def repeat_characters(
 ) -> Column:
     """Stretch characters that have no copy of themselves close by, one at a time.
 
+    Lines stay below ``max_len`` characters; one that is there already may grow by ``max_copies``.
     Places are drawn from the two at either end that qualify, then from the inner ones. Inner
     ones differ from the two characters before and after; one pattern marks each of them, at
     the place two before it.
@@ -409,9 +409,9 @@ def repeat_characters(
         ]
         return F.array_compact(F.array(*[F.when(ok, i) for i, ok in rules]))
 
-    def stretched(b: Column, s: Column, i: Column) -> Column:
+    def stretched(b: Column, s: Column, i: Column, limit: Column) -> Column:
         n = F.length(s)
-        room = F.lit(max_len) - n
+        room = limit - n
         copies = F.when(room <= max_copies, room).otherwise(pick(b, i + ALT, max_copies) + 1)
 
         def chosen(ends: Column, marked: Column) -> Column:
@@ -440,12 +440,14 @@ def repeat_characters(
         )
 
     def body(t: Column, b: Column) -> Column:
+        long = F.length(t) >= max_len - 1
+        limit = F.when(long, F.length(t) + max_copies + 1).otherwise(max_len)
         return F.aggregate(
             _times(_int(F.length(t) * F.lit(max_share)), b),
             t,
             # one free place means one copy of one character: nothing changes
-            lambda s, i: F.when(F.length(s) >= max_len - 1, s).otherwise(
-                F.coalesce(stretched(b, s, i), s)
+            lambda s, i: F.when(F.length(s) >= limit - 1, s).otherwise(
+                F.coalesce(stretched(b, s, i, limit), s)
             ),
         )
 

@@ -40,13 +40,21 @@ def edit_scorer(noisy: str = "noisy", candidate: str = "candidate") -> Scorer:
 
 def known_nll(nll: Column) -> Column:
     """A score that could not be had counts as infinite."""
-    return F.coalesce(nll.cast("double"), F.lit(float("inf")))
+    known = nll.cast("double")
+    return F.when(known.isNull() | F.isnan(known), F.lit(float("inf"))).otherwise(known)
+
+
+def failed(nll_yes: Column, nll_no: Column) -> Column:
+    """Whether scoring failed: a cost is null or not a number, or both are infinite."""
+    yes, no = known_nll(nll_yes), known_nll(nll_no)
+    endless = (yes == float("inf")) & (no == float("inf"))
+    return nll_yes.isNull() | nll_no.isNull() | F.isnan(nll_yes) | F.isnan(nll_no) | endless
 
 
 def yes_no_label(nll_yes: Column, nll_no: Column) -> Column:
     """"yes" when yes costs less, "no" otherwise and on ties, "" when scoring failed."""
     return (
-        F.when(nll_yes.isNull() | nll_no.isNull(), "")
+        F.when(failed(nll_yes, nll_no), "")
         .when(nll_yes < nll_no, "yes")
         .otherwise("no")
     )
@@ -54,8 +62,7 @@ def yes_no_label(nll_yes: Column, nll_no: Column) -> Column:
 
 def margin(nll_yes: Column, nll_no: Column) -> Column:
     """How much more "no" costs than "yes"; a row without scores has no lead."""
-    failed = nll_yes.isNull() | nll_no.isNull()
-    return F.when(failed, F.lit(float("nan"))).otherwise(nll_no - nll_yes)
+    return F.when(failed(nll_yes, nll_no), F.lit(float("nan"))).otherwise(nll_no - nll_yes)
 
 
 def pick_score(
@@ -69,7 +76,8 @@ def pick_score(
         score = nll_no - nll_yes
     else:
         score = nll_no - nll_yes + F.lit(float(weight)) * cosine_norm
-    return F.coalesce(score, F.lit(float("-inf")))
+    lost = failed(nll_yes, nll_no) | score.isNull() | F.isnan(score)
+    return F.when(lost, F.lit(float("-inf"))).otherwise(score)
 
 
 def run_stamp(at: Column, compact: bool = False) -> Column:

@@ -37,7 +37,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _codes(texts: list[str], width: int) -> np.ndarray:
-    return np.array([list(map(ord, t)) + [0] * (width - len(t)) for t in texts], dtype=np.int32)
+    """Code points of a batch, a row for each text, read from one buffer."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    starts = np.cumsum(lengths) - lengths
+    out = np.zeros((len(texts), width), np.int32)
+    out[np.repeat(np.arange(len(texts)), lengths), np.arange(len(flat)) - np.repeat(starts, lengths)] = flat
+    return out
 
 
 def _jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:

@@ -29,7 +29,7 @@ def inject_truth(
     cands: DataFrame,
     catalog: DataFrame,
     k: int,
-    vectors: DataFrame | None = None,
+    vectors: DataFrame,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Put a truth the shortlist missed first, and drop what no longer fits in ``k``.
@@ -47,13 +47,11 @@ def inject_truth(
         .join(without.select("query_id"), "query_id")
     )
     lines = catalog.select(
-        "cat_id", F.col("canonical").alias("truth"), *(["vec"] if vectors is not None else [])
+        "cat_id", F.col("canonical").alias("truth"), "vec"
     )
     added = skew_join(missed, lines, "truth", "inner", "query_id", rows_per_split)
-    near = F.lit(None).cast("double")
-    if vectors is not None:
-        added = added.join(vectors.select("query_id", F.col("vec").alias("_query")), "query_id")
-        near = F.round(cosine(F.col("_query"), F.col("vec")), 9)
+    added = added.join(vectors.select("query_id", F.col("vec").alias("_query")), "query_id")
+    near = F.round(cosine(F.col("_query"), F.col("vec")), 9)
     columns = ["query_id", "noisy", "truth", "cat_id", "candidate", "cosine", "place"]
     rows = cands.select(*columns, F.lit(False).alias("was_injected")).unionByName(
         added.withColumn("candidate", F.col("truth"))
@@ -184,8 +182,11 @@ def evaluate_ranking(
     """The shortlist in long form, the pool scored; ``scored`` marks the pool.
 
     ``found`` is the shortlist of :func:`neighbors.shortlist`. With ``inject`` off, a truth
-    that was not retrieved stays a miss. Only pool rows reach the scorer.
+    that was not retrieved stays a miss; with it on, ``vectors`` must be given, or an added truth
+    would have no cosine to win by. Only pool rows reach the scorer.
     """
+    if inject and vectors is None:
+        raise ValueError("injecting truths needs vectors(query_id, vec)")
     cands = candidates(queries, found)
     if inject:
         cands = inject_truth(cands, catalog, k, vectors)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import known_nll
 from ..functions.similarity import jaro_winkler
 from .augment import CANONICAL, NOISY, STEPS, made_once
 from .skew import ROWS_PER_SPLIT, skew_join
@@ -46,12 +47,13 @@ def topk_accuracy(
     """Share of queries whose truth is among the first ``k`` candidates.
 
     Ordered by pick score, or by ``nll_yes`` for runs without one; candidates never scored
-    come after scored ones, and ties keep their place. A query without candidates is a miss.
+    come after scored ones, failed ones last, and ties keep their place. A query without candidates is a miss.
     """
     if by_pick_score:
-        rank = F.desc(F.coalesce("pick_score", F.lit(MISSING_SCORE)))
+        given = F.coalesce("pick_score", F.lit(MISSING_SCORE))
+        rank = F.desc(F.when(F.isnan(given), F.lit(float("-inf"))).otherwise(given))
     else:
-        rank = F.asc(F.coalesce("nll_yes", F.lit(float("inf"))))
+        rank = F.asc(known_nll(F.col("nll_yes")))
     order = Window.partitionBy("query_id").orderBy(rank, "place")
     hits = (
         shortlisted.withColumn("_at", F.row_number().over(order))
@@ -146,8 +148,8 @@ def _shown(value: Column) -> Column:
     return F.when(text == "NaN", "").otherwise(text)
 
 
-def to_flat_records(records: DataFrame, limit: int | None = 20, key: str = "query_id") -> DataFrame:
-    """Scalars and JSON text only, never null; the first ``limit`` rows, null for all."""
+def to_flat_records(records: DataFrame, limit: int | None = None, key: str = "query_id") -> DataFrame:
+    """Scalars and JSON text only, never null; all rows, or the first ``limit``."""
     rows = records if limit is None else records.orderBy(key).limit(limit)
 
     def flag(name: str):

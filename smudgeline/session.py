@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,11 @@ def local_session(cpus: int | str = 8, app: str = "smudgeline") -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named."""
+    """The shared folder the cluster names; a private one where there is one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="smudgeline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

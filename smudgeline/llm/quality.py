@@ -71,7 +71,10 @@ def class_table() -> np.ndarray:
 
 
 def class_counts(batch: list[str], of: np.ndarray) -> np.ndarray:
-    """A row of class counts for each text."""
+    """A row of class counts for each text, worked out for a few hundred texts at a time."""
+    if len(batch) > 256:
+        parts = [class_counts(batch[k : k + 256], of) for k in range(0, len(batch), 256)]
+        return np.concatenate(parts)
     lengths = np.fromiter(map(len, batch), np.int64, len(batch))
     codes = np.frombuffer("".join(batch).encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = of[np.minimum(codes, (1 << 16) - 1)].astype(np.int64)

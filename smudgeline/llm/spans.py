@@ -57,26 +57,45 @@ def span_hashes(
     flat = hashes.of([w for ws in words for w in ws])
     ends = np.cumsum(counts[spoken])
     starts = ends - counts[spoken]
-    out = []
     last = np.maximum(
         np.searchsorted(ends, starts + least_words), np.arange(len(spoken)) + least_sentences - 1
     )
-    power = np.uint64(0x9E3779B97F4A7C15)
+    whole = last < len(spoken)
+    last = last[whole]
+    if not len(last):
+        return []
+    # sums of words times powers of an odd number; a span is a difference, moved to its own start
+    up, down = powers(len(flat))
     with np.errstate(over="ignore"):
-        for at in range(len(spoken)):
-            if last[at] >= len(spoken):
-                break
-            part = flat[starts[at] : ends[last[at]]]
-            places = np.arange(1, len(part) + 1, dtype=np.uint64) * power
-            code = int(mix64(mix64(part + places)).sum(dtype=np.uint64))
-            out.append((int(spoken[at]), int(spoken[last[at]]), code - (1 << 63)))
-    return out
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat) * up, dtype=np.uint64)])
+        at = starts[whole]
+        codes = mix64((sums[ends[last]] - sums[at]) * down[at] + (ends[last] - at).astype(np.uint64))
+    return list(
+        zip(spoken[whole].tolist(), spoken[last].tolist(), codes.view(np.int64).tolist(), strict=True)
+    )
+
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` or more powers of an odd number and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(4096, 2 * n)
+        base = 0x9E3779B97F4A7C15
+        with np.errstate(over="ignore"):
+            made = tuple(
+                np.cumprod(np.array([1] + [b] * (size - 1), np.uint64), dtype=np.uint64)
+                for b in (base, pow(base, -1, 1 << 64))
+            )
+        _POWERS[:] = [made]
+    return tuple(p[:n] for p in _POWERS[0])
 
 
 def remove_repeats(
     documents: DataFrame, least_sentences: int = 2, least_words: int = 20
 ) -> DataFrame:
-    """``(doc_id, text, n_sentences, n_removed)``: texts without repeated spans.
+    """``(doc_id, text, n_removed)``: texts without repeated spans, and how many sentences went.
 
     The first occurrence is the one in the smallest doc_id (null before all), then the earliest in
     the text; within one document later repeats go as well. A null text stays null and an empty
@@ -125,26 +144,23 @@ def remove_repeats(
         .agg(F.collect_set(F.struct("first", "last")).alias("covered"))
     )
 
-    out_schema = pa.schema(
-        [("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())]
-    )
+    out_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict = {n: [] for n in out_schema.names}
         out["doc_id"] = batch.column(0)
         for text, covered in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            sentences = cut_sentences(text or "")
             gone: set[int] = set()
             for span in covered or ():
                 gone.update(range(span["first"], span["last"] + 1))
-            left = text if not gone else "".join(s for k, s in enumerate(sentences) if k not in gone)
-            out["text"].append(left)
-            out["n_sentences"].append(len(sentences))
+            if gone:
+                text = "".join(s for k, s in enumerate(cut_sentences(text)) if k not in gone)
+            out["text"].append(text)
             out["n_removed"].append(len(gone))
         return out
 
     return (
         given.join(removed, "text_key", "left")
         .select("doc_id", "text", "covered")
-        .mapInArrow(in_batches(cut, out_schema), "doc_id long, text string, n_sentences long, n_removed long")
+        .mapInArrow(in_batches(cut, out_schema), "doc_id long, text string, n_removed long")
     )

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting to drop a query's shuffle files at its end
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = 8, app: str = "smudgeline") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -48,8 +51,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to shared storage and read back: for results that are used again.
 
-    A lost executor costs a read, not the work, and the copy is columnar.
+    A lost executor costs a read, not the work, and the copy is columnar. Shuffle files of the
+    write go as soon as it is done, instead of when the driver next collects garbage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE)
+        else:
+            spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)

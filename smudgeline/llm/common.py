@@ -77,3 +77,20 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` or more powers of an odd number and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(4096, 2 * n)
+        base = 0x9E3779B97F4A7C15
+        with np.errstate(over="ignore"):
+            made = tuple(
+                np.cumprod(np.array([1] + [b] * (size - 1), np.uint64), dtype=np.uint64)
+                for b in (base, pow(base, -1, 1 << 64))
+            )
+        _POWERS[:] = [made]
+    return tuple(p[:n] for p in _POWERS[0])

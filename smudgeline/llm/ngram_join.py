@@ -16,6 +16,7 @@ blocks, behind a bound from parities of hashed n-grams that never exceeds the tr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WordHashes, in_batches, mix64, texts
+from .common import in_batches, mix64, powers, texts
 
 #: links need share(intersection, union) >= NUMERATOR / DENOMINATOR
 NUMERATOR, DENOMINATOR = 75, 100
@@ -37,17 +38,51 @@ HOT_KEPT = 65_536
 CHUNK = 256
 
 
-def shingles(text: str, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
+#: bytes hashed at a time; longer texts are cut at blanks
+SLICE = 1 << 16
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+IN_WORD = np.array([not BLANK.match(bytes([c])) for c in range(256)])
+#: a number for each byte, the same for both cases of A-Z
+VALUES = mix64(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1 << 32))
+
+
+def word_codes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, in order; the case of A-Z does not matter.
+
+    A word is a sum of its bytes' numbers times powers of an odd number, mixed with its length.
+    """
+    out = [np.zeros(0, np.uint64)]
+    at = 0
+    while at < len(data):
+        cut = BLANK.search(data, at + SLICE)
+        end = cut.start() if cut else len(data)
+        codes = np.frombuffer(data, np.uint8, end - at, at)
+        inside = np.zeros(len(codes) + 2, bool)
+        inside[1:-1] = IN_WORD[codes]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        up, down = powers(len(codes))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(VALUES[codes] * up, out=sums[1:])
+            out.append(mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        at = end
+    return np.concatenate(out)
+
+
+def shingles(text: str, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of a text; of the whole text if it is shorter."""
-    words = hashes.of(text.encode("utf-8", "surrogatepass").lower().split())
+    words = word_codes(text.encode("utf-8", "surrogatepass"))
     if not len(words):
         return words
     width = min(n, len(words))
+    factors = mix64(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     with np.errstate(over="ignore"):
         code = np.full(len(words) - width + 1, width, np.uint64)
         for k in range(width):
-            code = mix64(code + words[k : len(words) - width + 1 + k])
-    return np.unique(code)
+            code += words[k : len(words) - width + 1 + k] * factors[k]
+    code = np.sort(mix64(code))
+    return code[np.concatenate([[True], code[1:] != code[:-1]])]
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -84,8 +119,8 @@ def most_apart(x: int, y: int) -> int:
 
 
 def partitions(low: int) -> int:
-    """Parts of the domain in the band from ``low``: enough that a set always fills more of them
-    than can be spoilt, few enough that larger sets share parts."""
+    """Parts of the domain in the band from ``low``, a power of two: enough that a set always fills
+    more of them than can be spoilt, few enough that larger sets share parts."""
     if low >= 64:
         return 4 * low
     return {1: 1 << 16, 4: 256, 16: 128}[low]
@@ -107,18 +142,21 @@ def signatures(grams: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
     """Signatures of a set; all of them if ``hot`` is None, else as many as linked sets must share."""
     out = []
     for low, apart in bands(len(grams)):
+        bits = partitions(low).bit_length() - 1
         with np.errstate(over="ignore"):
-            scattered = mix64(grams + np.uint64(low * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            part = scattered % np.uint64(partitions(low))
-            order = np.argsort(part, kind="stable")
-            filled, first = np.unique(part[order], return_index=True)
-            content = np.add.reduceat(mix64(scattered[order]), first)
-            tokens = mix64(content + filled * np.uint64(0xD6E8FEB86659FD93) + np.uint64(low))
+            # the leading bits of a scattered n-gram name its part, so sorting brings parts together
+            scattered = np.sort(mix64(grams + np.uint64(low * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+            part = scattered >> np.uint64(64 - bits)
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            content = np.add.reduceat(mix64(scattered), first)
+            tokens = mix64(content + part[first] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(low))
+        # 63 bits; the leading one puts common signatures last
+        tokens >>= np.uint64(1)
         if hot is not None and len(tokens) > apart + 1:
-            common = np.zeros(len(tokens), bool)
             if len(hot):
                 common = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-            tokens = tokens[np.lexsort((tokens, common))][: apart + 1]
+                tokens |= common.astype(np.uint64) << np.uint64(63)
+            tokens = np.partition(tokens, apart)[: apart + 1] & np.uint64((1 << 63) - 1)
         out.append(tokens)
     return np.concatenate(out)
 
@@ -137,12 +175,10 @@ def gram_sets(documents: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
         def work(batch: pa.RecordBatch) -> dict:
             sizes, keys, rows = [], [], []
             for text in texts(batch.column(1)):
-                grams = shingles(text, hashes)
+                grams = shingles(text)
                 sizes.append(len(grams))
                 keys.append(set_key(grams) if len(grams) else None)
                 rows.append(sketch(grams) if len(grams) else None)
@@ -158,12 +194,10 @@ def signed(documents: DataFrame, hot: np.ndarray | None) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
         def work(batch: pa.RecordBatch) -> dict | None:
             keys, found = [], []
             for text in texts(batch.column(1)):
-                grams = shingles(text, hashes)
+                grams = shingles(text)
                 if len(grams):
                     keys.append(set_key(grams))
                     found.append(signatures(grams, hot).astype(np.int64))
@@ -219,20 +253,19 @@ def linked(pairs: DataFrame, class_texts: DataFrame) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         held: dict[int, np.ndarray] = {}
 
         def grams_of(key: int, text: str) -> np.ndarray:
             if key not in held:
                 if len(held) >= 64:
                     held.clear()
-                held[key] = shingles(text, hashes)
+                held[key] = shingles(text)
             return held[key]
 
         def work(batch: pa.RecordBatch) -> dict:
             out: list[list[int]] = [[], []]
             for a, b, p, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                left, right = grams_of(a, p), shingles(q, hashes)
+                left, right = grams_of(a, p), shingles(q)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if DENOMINATOR * both >= NUMERATOR * (len(left) + len(right) - both):
                     out[0].append(a)
@@ -342,25 +375,34 @@ def block_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in batch.groupby(["signature", "lo", "hi"], sort=False):
-            if len(g) < 2 or g["root"].nunique() < 2:
-                continue
-            size = min(map(len, g["sketch"]))
-            table = np.stack([folded(s, size) for s in g["sketch"]])
-            sizes, roots, keys, chunk = (g[c].to_numpy() for c in ("n_shingles", "root", "key", "chunk"))
-            across = bool(g["lo"].iloc[0] != g["hi"].iloc[0])
-            for at in range(len(g) - 1):
-                rest = slice(at + 1, None)
+        given = [batch[c].to_numpy() for c in ("signature", "lo", "hi")]
+        order = np.lexsort(given[::-1])
+        at_new = np.zeros(len(order), bool)
+        at_new[0] = True
+        for c in given:
+            at_new[1:] |= c[order][1:] != c[order][:-1]
+        first = np.flatnonzero(at_new)
+        sizes, roots, keys, chunk, sketches = (
+            batch[c].to_numpy()[order] for c in ("n_shingles", "root", "key", "chunk", "sketch")
+        )
+        across = (given[1] != given[2])[order]
+        spread = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
+        out: set[tuple[int, int]] = set()
+        for start, end in zip(first[spread], np.append(first[1:], len(order))[spread], strict=True):
+            size = min(map(len, sketches[start:end]))
+            table = np.stack([folded(s, size) for s in sketches[start:end]])
+            for at in range(start, end - 1):
+                rest = slice(at + 1, end)
                 may = roots[rest] != roots[at]
-                if across:
+                if across[start]:
                     may &= chunk[rest] != chunk[at]
-                if not may.any():
+                may = np.flatnonzero(may)
+                if not len(may):
                     continue
-                apart = np.bitwise_count(table[rest] ^ table[at]).sum(axis=1, dtype=np.int64)
-                for k in np.flatnonzero(may & alike(sizes[rest], sizes[at], apart)) + at + 1:
-                    out.append((min(keys[at], keys[k]), max(keys[at], keys[k])))
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+                apart = np.bitwise_count(table[may + at + 1 - start] ^ table[at - start]).sum(axis=1, dtype=np.int64)
+                for k in may[alike(sizes[rest][may], sizes[at], apart)] + at + 1:
+                    out.add((int(min(keys[at], keys[k])), int(max(keys[at], keys[k]))))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     total = max(1, groups.count() // 5000)
     return (

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WordHashes, in_batches, mix64, texts
+from .common import WordHashes, in_batches, mix64, powers, texts
 
 #: a sentence with the marks and blanks that close it
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|\n+|[.!?]+|$)")
@@ -75,23 +75,6 @@ def span_hashes(
     )
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` or more powers of an odd number and of its inverse, modulo 2^64."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(4096, 2 * n)
-        base = 0x9E3779B97F4A7C15
-        with np.errstate(over="ignore"):
-            made = tuple(
-                np.cumprod(np.array([1] + [b] * (size - 1), np.uint64), dtype=np.uint64)
-                for b in (base, pow(base, -1, 1 << 64))
-            )
-        _POWERS[:] = [made]
-    return tuple(p[:n] for p in _POWERS[0])
-
-
 def remove_repeats(
     documents: DataFrame, least_sentences: int = 2, least_words: int = 20
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,8 +83,7 @@ def _jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
+def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
     out = pd.Series(np.nan, index=left.index)
     known = left.notna() & right.notna()
     lengths = np.maximum(left[known].str.len(), right[known].str.len())
@@ -99,6 +98,11 @@ def _jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return out
 
 
+@F.pandas_udf(T.DoubleType())
+def _jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
+    return _similar(left, right)
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro-Winkler over code points; a null counts as an empty text.
 
@@ -111,6 +115,16 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     )
 
 
+@F.pandas_udf(T.DoubleType())
+def _jaro_winkler_sql(left: pd.Series, right: pd.Series) -> pd.Series:
+    return _similar(left.fillna(""), right.fillna(""))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``jaro_winkler(a, b)`` known to SQL text; a null counts as an empty text there too."""
+    spark.udf.register("jaro_winkler", _jaro_winkler_sql)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """One minus the share of edits, inside the JVM."""
     longest = F.greatest(F.length(a), F.length(b), F.lit(1))

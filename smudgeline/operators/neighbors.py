@@ -309,7 +309,8 @@ def _by_pivots(
     bounded = stored(
         at_home.join(kth, "query_id", "left").fillna(float("inf"), ["bound"]), "bounded"
     )
-    further = _open_cells(bounded, pivots, inner, outer)
+    # read twice: to count its chunks and to meet
+    further = stored(_open_cells(bounded, pivots, inner, outer), "further")
     later = _meet(
         further, lines, k, lone, _chunks_per_cell(further, cells, query_rows), carry
     )

@@ -515,8 +515,9 @@ SQL |= {
     ),
     "catalog_lookup": (
         "WITH c AS (SELECT row_number() OVER (ORDER BY p_name) - 1 AS cat_id, p_name FROM "
-        "(SELECT DISTINCT p_name FROM part WHERE length(p_name) > 9)) "
-        "SELECT p_partkey, p_name, cat_id FROM part LEFT JOIN c USING (p_name)"
+        "(SELECT DISTINCT p_name FROM part)), a AS (SELECT p_partkey, p_name FROM part UNION ALL "
+        "SELECT -s_suppkey - 1, s_name FROM supplier) "
+        "SELECT p_partkey, p_name, cat_id FROM a LEFT JOIN c USING (p_name)"
     ),
     "rank_noisy": (
         f"WITH {NAMES_CTE} SELECT first_line AS canonical, {NOISY} AS noisy, row_id, "

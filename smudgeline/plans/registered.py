@@ -438,10 +438,11 @@ def distinct_catalog_of_names(spark, sf):
 
 @query
 def catalog_lookup(spark, sf):
-    """Ids of part names in the catalog of names longer than nine characters."""
-    parts = table(spark, sf, "part")
-    held = catalog.distinct_catalog(parts.filter("length(p_name) > 9"), "p_name")
-    return catalog.catalog_lookup(parts, held, "p_name", "p_partkey").select(
+    """Ids of part and supplier names in the catalog of all part names; supplier names are not in it."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    others = table(spark, sf, "supplier").select((-F.col("s_suppkey") - 1).alias("p_partkey"), F.col("s_name").alias("p_name"))
+    held = catalog.distinct_catalog(parts, "p_name")
+    return catalog.catalog_lookup(parts.unionByName(others), held, "p_name", "p_partkey").select(
         "p_partkey", "p_name", "cat_id"
     )
 

@@ -151,6 +151,14 @@ def test_pairs(spark):
     assert (volume.n_rows, volume.n_pairs) == (2, 4)
 
 
+def test_jaro_winkler_in_sql(spark):
+    similarity.register_functions(spark)
+    df = spark.createDataFrame([("MARTHA", "MARHTA"), ("abc", "abc"), (None, ""), (None, "x")], "a STRING, b STRING")
+    df.createOrReplaceTempView("name_pairs")
+    got = spark.sql("SELECT jaro_winkler(a, b) AS v FROM name_pairs").collect()
+    assert [round(r.v, 4) for r in got] == [0.9611, 1.0, 1.0, 0.0]
+
+
 def test_allowed_next(spark):
     seqs = spark.createDataFrame([([5, 6, 1],), ([5, 7, 1, 0],), ([5, 6, 8, 1],)], "ids ARRAY<INT>")
     ask = [(0, []), (1, [0]), (2, [0, 5]), (3, [5, 6]), (4, [5, 7]), (5, [9]), (6, [5, 7, 1])]

@@ -586,3 +586,17 @@ def test_sketches_never_exceed_the_distance():
         if len(a) and ngram_join.alike(len(a), len(b), len(np.setxor1d(a, b))):
             none = np.array([], np.uint64)
             assert set(ngram_join.signatures(a, none)) & set(ngram_join.signatures(b, none))
+
+
+def test_word_hashes_follow_words(monkeypatch):
+    from smudgeline.llm import ngram_join
+
+    text = "Ab aB\tc\x0bd \u00e9 \u00c9\x0c" + "x" * 40 + " ab\x1cc\n\n ab " + "y" * 9
+    words = text.encode().lower().split()
+    whole = ngram_join.word_codes(text.encode())
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    assert len({*zip(whole.tolist(), words, strict=True)}) == len(set(words))
+    for size in (1, 2, 3, 7, 20):
+        monkeypatch.setattr(ngram_join, "SLICE", size)
+        assert ngram_join.word_codes(text.encode()).tolist() == whole.tolist()
+    assert not len(ngram_join.word_codes(b"")) and not len(ngram_join.word_codes(b" \t\n"))

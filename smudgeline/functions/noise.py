@@ -104,6 +104,12 @@ def change_case(text: Column, base: Column, max_share: float = 1.0) -> Column:
     return _result("change_case", text, base, body)
 
 
+def step_label(name: str, legacy_label: bool = False, **_) -> str:
+    """What a step writes, which is its name but for the older label of removed vowels."""
+    older = legacy_label and name == "randomly_remove_vowels"
+    return "randomly_replace_vowels" if older else name
+
+
 def remove_vowels(text: Column, base: Column, legacy_label: bool = False) -> Column:
     """Drop 1 to all of the vowels."""
 
@@ -119,8 +125,7 @@ def remove_vowels(text: Column, base: Column, legacy_label: bool = False) -> Col
             ),
         )
 
-    name = "randomly_replace_vowels" if legacy_label else "randomly_remove_vowels"
-    return _result(name, text, base, body)
+    return _result(step_label("randomly_remove_vowels", legacy_label), text, base, body)
 
 
 def replace_spaces(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,10 @@ NOISY = "malformed_first_line"
 STEPS = "malformed_first_line_malform_steps"
 
 
+#: own arguments of noise functions, by step name
+StepOptions = Mapping[str, Mapping[str, object]]
+
+
 def sample_lines(lines: DataFrame, n: int, seed: int = 42, key: str = "line_id") -> DataFrame:
     """The first ``n`` lines in an order drawn from the seed."""
     return lines.orderBy(draws.base(seed, F.col(key)), key).limit(n)
@@ -45,11 +49,17 @@ def plan_lists(steps: Sequence[str], n: int, ordered: bool = False) -> list[list
     return [list(p) for p in pairs]
 
 
-def run_step(step: Column, text: Column, base: Column, only: Sequence[str]) -> Column:
+def run_step(
+    step: Column,
+    text: Column,
+    base: Column,
+    only: Sequence[str],
+    options: StepOptions | None = None,
+) -> Column:
     """The text after the step named in ``step``; unknown or null names change nothing."""
     out = None
     for name in only:
-        new = noise.STEPS[name](text, base)["text"]
+        new = noise.STEPS[name](text, base, **(options or {}).get(name, {}))["text"]
         out = F.when(step == name, new) if out is None else out.when(step == name, new)
     return text if out is None else out.otherwise(text)
 
@@ -59,6 +69,10 @@ def steps_text(plan: Column) -> Column:
     return F.concat_ws("", F.transform(plan, lambda s: F.concat(F.lit(", "), s)))
 
 
+def _renamed(plan: Column, name: str, label: str) -> Column:
+    return F.transform(plan, lambda s: F.when(s == name, label).otherwise(s))
+
+
 def made_once(df: DataFrame, column: str, value: Column) -> DataFrame:
     """Set a costly column so that later filters and projections read it and never repeat it.
 
@@ -76,12 +90,14 @@ def apply_steps(
     key: str = "line_id",
     noisy: str = NOISY,
     iteration: Column | None = None,
+    options: StepOptions | None = None,
 ) -> DataFrame:
     """Apply the named steps in order, repeats allowed; earlier steps text starts over."""
     iteration = F.lit(0) if iteration is None else iteration
     out = lines.withColumn(f"{noisy}_malform_steps", F.lit(""))
     for at, name in enumerate(steps):
-        made = noise.STEPS[name](F.col(noisy), draws.base(seed, F.col(key), iteration, F.lit(at)))
+        base = draws.base(seed, F.col(key), iteration, F.lit(at))
+        made = noise.STEPS[name](F.col(noisy), base, **(options or {}).get(name, {}))
         out = unpack_step(made_once(out, "_result", made), "_result", noisy)
     return out
 
@@ -97,6 +113,7 @@ def augment_grid(
     partitions: int | None = None,
     first_iteration: int = 1,
     first_row: int = 0,
+    options: StepOptions | None = None,
 ) -> DataFrame:
     """Every line by every plan by every iteration, in one narrow pass.
 
@@ -104,6 +121,7 @@ def augment_grid(
     spreads a small source before it grows; a large one is best left where it lies.
     Adds ``row_id, plan_no, iteration, steps_arr, n_steps`` and the noisy columns. A later
     grid over the same lines starts at a later iteration and row to give new texts and ids.
+    ``options`` holds arguments of noise functions by step name.
     """
     lists = [list(p) for p in plans]
     depth = max((len(p) for p in lists), default=0)
@@ -132,7 +150,7 @@ def augment_grid(
     for at in range(depth):
         names = tuple(sorted({p[at] for p in lists if len(p) > at}))
         if names not in built:
-            built[names] = run_step(F.col("_step"), F.col(noisy), F.col("_base"), names)
+            built[names] = run_step(F.col("_step"), F.col(noisy), F.col("_base"), names, options)
         out = out.withColumns(
             {
                 "_step": F.get("steps_arr", F.lit(at)),
@@ -140,6 +158,10 @@ def augment_grid(
             }
         )
         out = made_once(out, noisy, built[names])
+    for name, given in (options or {}).items():
+        label = noise.step_label(name, **given)
+        if label != name:
+            out = out.withColumn("steps_arr", _renamed(F.col("steps_arr"), name, label))
     return (
         out.withColumn(f"{noisy}_malform_steps", steps_text(F.col("steps_arr")))
         .withColumn("n_steps", F.size("steps_arr"))

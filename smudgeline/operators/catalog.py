@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import stored
 from .augment import CANONICAL, NOISY
 from .skew import ROWS_PER_SPLIT, first_per_group, place_in_group, skew_join
 
-#: most stretches the sorted catalog is cut into, and so the most bounds the driver holds
-MAX_STRETCHES = 1024
-
 
 def keep_known(df: DataFrame, *columns: str) -> DataFrame:
     """Drop rows where any of the columns is null."""
@@ -36,31 +29,20 @@ def distinct_catalog(
 ) -> DataFrame:
     """``(cat_id, canonical)``: ids are positions in the sorted list, from 0.
 
-    A large catalog is cut into stretches at sampled bounds and numbered per stretch. The
-    bounds are fixed before use, so ids do not depend on the sample or on retries.
+    The distinct lines are made once and stored, then cut into sorted stretches of about
+    ``rows_per_stretch`` lines. The stretches are stored too, so ids do not depend on where
+    the cuts fell. One plan serves all sizes: only the counts of stretches meet in one task.
     """
-    lines = distinct_lines(df, canonical)
-    total = lines.count()
-    stretches = min(MAX_STRETCHES, total // rows_per_stretch)
-    if stretches < 2:
-        order = Window.orderBy("canonical")
-        return lines.select(
-            (F.row_number().over(order) - 1).cast("long").alias("cat_id"), "canonical"
-        )
-    sample = (
-        lines.orderBy(F.xxhash64("canonical"), "canonical").limit(stretches * 20).collect()
+    lines = stored(distinct_lines(df, canonical), "distinct_lines")
+    stretches = lines.count() // rows_per_stretch + 1
+    cut = stored(
+        lines.repartitionByRange(stretches, "canonical").withColumn(
+            "_stretch", F.spark_partition_id()
+        ),
+        "stretches",
     )
-    bounds = sorted(r["canonical"] for r in sample)[19::20]
-    cuts = np.array(bounds, dtype=object)
-
-    @F.pandas_udf(T.IntegerType())
-    def stretch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lines in batches:
-            yield pd.Series(np.searchsorted(cuts, lines.to_numpy(dtype=object), side="right"))
-
-    cut = lines.withColumn("_stretch", stretch("canonical"))
     counts = cut.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    # one row per stretch: a bounded table
+    # one row for each stretch
     before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(
         "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
@@ -68,7 +50,7 @@ def distinct_catalog(
     at = F.row_number().over(Window.partitionBy("_stretch").orderBy("canonical"))
     return (
         cut.withColumn("_at", at)
-        .join(F.broadcast(shifts), "_stretch")
+        .join(shifts, "_stretch")
         .select((F.col("_shift") + F.col("_at") - 1).cast("long").alias("cat_id"), "canonical")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import (
@@ -16,6 +16,7 @@ from ..functions.tokens import (
     rank_prompt,
 )
 from .augment import CANONICAL, NOISY
+from .skew import skew_join
 
 
 def make_pairs(
@@ -90,28 +91,54 @@ def next_tokens(sequences: DataFrame, ids: str = "ids") -> DataFrame:
     ).select("p.prefix", "p.next_id").distinct()
 
 
+def _prefix_key(prefix: Column) -> Column:
+    """A short stand-in for a prefix: its length and two hashes of 64 bits; null for null."""
+    parts = F.concat_ws("-", F.size(prefix), F.xxhash64(prefix), F.xxhash64(F.lit(1), prefix))
+    return F.when(prefix.isNotNull(), parts)
+
+
 def allowed_next(
     prefixes: DataFrame, sequences: DataFrame, prefix: str = "prefix", ids: str = "ids"
 ) -> DataFrame:
     """Add ``allowed``, the sorted ids that continue the prefix; the end token if none does.
 
-    A leading pad is dropped from the prefix first. The lists hold distinct ids only, so the
-    vocabulary bounds them.
+    A leading pad is dropped from the prefix first. Sequences give their prefixes of the
+    lengths asked for only, as hashes; repeats go before the shuffle, and rows of a prefix that
+    many ask for are split. The lists hold distinct ids only, so the vocabulary bounds them.
     """
-    wanted = prefixes.withColumn(
-        "_prefix",
-        F.when(
-            F.get(prefix, F.lit(0)) == PAD,
-            F.slice(prefix, F.lit(2), F.greatest(F.size(prefix) - 1, F.lit(0))),
-        ).otherwise(F.col(prefix)),
+    bare = F.when(
+        F.get(prefix, F.lit(0)) == PAD,
+        F.slice(prefix, F.lit(2), F.greatest(F.size(prefix) - 1, F.lit(0))),
+    ).otherwise(F.col(prefix))
+    spread = [c for c, kind in prefixes.dtypes if "map<" not in kind]
+    wanted = prefixes.withColumns(
+        {"_length": F.size(bare), "_key": _prefix_key(bare), "_row": F.xxhash64(*spread)}
     )
+    # as many numbers as there are lengths of prefixes
+    asked = wanted.filter("_key IS NOT NULL").select("_length").distinct().collect()
+    lengths = F.array(*[F.lit(r["_length"]) for r in sorted(asked)]).cast("array<int>")
+    seq = F.filter(F.col(ids), lambda x: (x != PAD) & (x != EOS))
+    whole = sequences.select(F.concat(seq, F.array(F.lit(EOS))).alias("s"))
     follow = (
-        next_tokens(sequences, ids)
-        .groupBy(F.col("prefix").alias("_prefix"))
+        whole.select(
+            F.explode(
+                F.transform(
+                    F.filter(lengths, lambda n: n < F.size("s")),
+                    lambda n: F.struct(
+                        _prefix_key(F.slice("s", F.lit(1), n)).alias("_key"),
+                        F.element_at("s", n + 1).alias("next_id"),
+                    ),
+                )
+            ).alias("p")
+        )
+        .select("p.*")
+        .distinct()
+        .join(wanted.select("_key").distinct(), "_key", "left_semi")
+        .groupBy("_key")
         .agg(F.sort_array(F.collect_set("next_id")).alias("allowed"))
     )
     return (
-        wanted.join(follow, "_prefix", "left")
+        skew_join(wanted, follow, "_key", "left", "_row")
         .withColumn("allowed", F.coalesce("allowed", F.array(F.lit(EOS))))
-        .drop("_prefix")
+        .select(*prefixes.columns, "allowed")
     )

@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: rows of one key that a single task may be left with
 ROWS_PER_SPLIT = 1_000_000
 #: parts the rows without a key are spread over
 NULL_SPLITS = 1024
+#: buckets of hashes in which hot keys are looked for first
+BUCKETS = 1 << 16
+
+
+def hot_keys(facts: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """``(key, _splits)`` of the keys with more than ``rows_per_split`` rows, stored.
+
+    Rows are counted by hash bucket, at most 65,536 counts, so keys themselves are only counted
+    in buckets that could hold a hot one: nearly unique keys are never shuffled to find none.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    known = facts.filter(F.col(key).isNotNull()).withColumn("_bucket", bucket)
+    full = stored(
+        known.groupBy("_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_split),
+        "full_buckets",
+    )
+    if not full.isEmpty():
+        # at most BUCKETS rows of one long
+        known = known.join(F.broadcast(full.select("_bucket")), "_bucket", "left_semi")
+        counts = known.groupBy(key).agg(F.count("*").alias("_n"))
+    else:
+        counts = known.limit(0).select(key, F.lit(0).cast("long").alias("_n"))
+    splits = F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits")
+    return stored(counts.filter(F.col("_n") > rows_per_split).select(key, splits), "hot_keys")
 
 
 def skew_join(
@@ -21,16 +47,12 @@ def skew_join(
 ) -> DataFrame:
     """Join many rows to one row per key, with hot keys split over several tasks.
 
-    The list of hot keys has at most ``rows / rows_per_split`` entries, which bounds what is
-    broadcast. Rows of ``dim`` are copied once per split of their own key, all others once.
+    The list of hot keys has at most ``rows / rows_per_split`` entries and lies in a file, whose
+    size tells Spark whether to broadcast it. Rows of ``dim`` are copied once per split of their
+    own key, all others once.
     """
-    hot = (
-        facts.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > rows_per_split)
-        .select(key, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
-    )
-    left = facts.join(F.broadcast(hot), key, "left").withColumn(
+    hot = hot_keys(facts, key, rows_per_split)
+    left = facts.join(hot, key, "left").withColumn(
         "_split",
         # null keys match nothing, so they are spread freely
         F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(row_key), F.lit(NULL_SPLITS)))
@@ -38,7 +60,7 @@ def skew_join(
         .otherwise(0)
         .cast("int"),
     )
-    right = dim.join(F.broadcast(hot), key, "left").select(
+    right = dim.join(hot, key, "left").select(
         *dim.columns,
         F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)).alias("_split"),
     )

@@ -455,8 +455,10 @@ SQL |= {
         "SELECT line_id, string_agg(c, '' ORDER BY c) AS alts FROM c GROUP BY 1"
     ),
     "merge_maps": (
-        f"WITH {lines_cte()}, e AS (SELECT line_id, substr(first_line, 1, 3) AS key, 1 AS value FROM lines UNION ALL "
-        "SELECT line_id, substr(first_line, 2, 3), 2 FROM lines) SELECT line_id, key, max(value) AS value FROM e GROUP BY ALL"
+        f"WITH {lines_cte()}, w AS (SELECT line_id, string_split(first_line, ' ') AS ws FROM lines), "
+        "a AS (SELECT word, min(line_id) AS v FROM w, unnest(ws) AS u(word) GROUP BY 1), "
+        "b AS (SELECT ws[3] AS word, max(line_id) AS v FROM w WHERE len(ws) >= 3 GROUP BY 1) "
+        "SELECT word, coalesce(b.v, a.v) AS value FROM a FULL JOIN b USING (word)"
     ),
 }
 
@@ -609,10 +611,11 @@ SQL |= {
         "repeat('1', least(len(ids), 32)) || repeat('0', 32 - least(len(ids), 32)) AS mask FROM w"
     ),
     "allowed_next": (
-        "WITH n AS (SELECT DISTINCT p_name FROM part), f AS (SELECT DISTINCT substr(p_name, 1, 2) AS h, "
-        "coalesce(ascii(nullif(substr(p_name, 3, 1), '')) + 3, 1) AS nx FROM n), "
-        "g AS (SELECT h, string_agg(nx::VARCHAR, ' ' ORDER BY nx) AS allowed FROM f GROUP BY 1) "
-        "SELECT p_partkey, allowed FROM part JOIN g ON h = substr(p_name, 1, 2)"
+        "WITH n AS (SELECT DISTINCT p_name FROM part), f AS (SELECT DISTINCT substr(p_name, 1, i::INT) AS h, "
+        "coalesce(ascii(nullif(substr(p_name, i::INT + 1, 1), '')) + 3, 1) AS nx FROM n, unnest(range(0, length(p_name) + 1)) AS u(i)), "
+        "g AS (SELECT h, string_agg(nx::VARCHAR, ' ' ORDER BY nx) AS allowed FROM f GROUP BY 1), "
+        "w AS (SELECT p_partkey, substr(p_name, 1, i::INT) AS h FROM part, unnest(range(0, length(p_name) + 1)) AS u(i)) "
+        "SELECT p_partkey, length(h)::BIGINT AS n_ids, allowed FROM w JOIN g USING (h)"
     ),
     "embed_lines": (
         f"WITH {lines_cte()}, p AS (SELECT line_id, ' ' || upper(first_line) || ' ' AS t FROM lines), "

@@ -265,19 +265,15 @@ def dedupe_alts(spark, sf):
 
 @query
 def merge_maps(spark, sf):
-    """Two maps per line, the later value kept for a key of both."""
-    sides = lines(spark, sf).select(
-        "line_id", F.explode(F.array(F.lit("first"), F.lit("later"))).alias("side"), CANONICAL
+    """The first line of each word, replaced by the last line that has it in third place."""
+    words = lines(spark, sf).select("line_id", F.split(CANONICAL, " ").alias("words"))
+    first = words.select(F.explode("words").alias("word"), F.col("line_id").alias("value"))
+    third = words.select(F.get("words", F.lit(2)).alias("word"), F.col("line_id").alias("value"))
+    return lexicons.merge_tables(
+        first.groupBy("word").agg(F.min("value").alias("value")),
+        third.filter(F.col("word").isNotNull()).groupBy("word").agg(F.max("value").alias("value")),
+        "word",
     )
-    entries = sides.select(
-        "line_id",
-        "side",
-        F.when(F.col("side") == "first", F.substring(CANONICAL, 1, 3))
-        .otherwise(F.substring(CANONICAL, 2, 3))
-        .alias("key"),
-        F.when(F.col("side") == "first", 1).otherwise(2).alias("value"),
-    )
-    return entries.groupBy("line_id", "key").agg(F.max_by("value", "side").alias("value"))
 
 
 # --- steps and filters -------------------------------------------------------
@@ -534,16 +530,20 @@ def tokenize_words(spark, sf):
 
 @query
 def allowed_next(spark, sf):
-    """What may follow each two-token prefix of a catalog of part names."""
+    """What may follow each prefix of each part name, the empty and the whole one too."""
     parts = table(spark, sf, "part").select(
         "p_partkey", tokens.byte_tokens(F.col("p_name")).alias("ids")
     )
     sequences = parts.select("ids").distinct()
     wanted = parts.select(
-        "p_partkey", F.concat(F.array(F.lit(0)), F.slice("ids", 1, 2)).alias("prefix")
+        "*", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("n_ids")
+    ).select(
+        "p_partkey",
+        F.col("n_ids").cast("long").alias("n_ids"),
+        F.concat(F.array(F.lit(0)), F.slice("ids", F.lit(1), F.col("n_ids"))).alias("prefix"),
     )
     return pairs.allowed_next(wanted, sequences).select(
-        "p_partkey", F.array_join("allowed", " ").alias("allowed")
+        "p_partkey", "n_ids", F.array_join("allowed", " ").alias("allowed")
     )
 
 

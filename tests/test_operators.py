@@ -6,9 +6,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from smudgeline.functions import clean, scoring, similarity, steps, tokens
+from smudgeline.functions import clean, lexicons, scoring, similarity, steps, tokens
 from smudgeline.functions.encoders import ngram_encoder
-from smudgeline.operators import catalog, neighbors, negatives, pairs, ranking, reports, skew, split
+from smudgeline.operators import (
+    augment,
+    catalog,
+    neighbors,
+    negatives,
+    pairs,
+    ranking,
+    reports,
+    skew,
+    split,
+)
 
 
 def column(spark, values, kind="STRING"):
@@ -165,6 +175,35 @@ def test_allowed_next(spark):
     df = spark.createDataFrame(ask, "i LONG, prefix ARRAY<INT>")
     got = {r.i: r.allowed for r in pairs.allowed_next(df, seqs).collect()}
     assert got == {0: [5], 1: [5], 2: [6, 7], 3: [1, 8], 4: [1], 5: [1], 6: [1]}
+    odd = spark.createDataFrame([(7, None), (8, [5] * 300)], "i LONG, prefix ARRAY<INT>")
+    assert {r.i: r.allowed for r in pairs.allowed_next(odd, seqs).collect()} == {7: [1], 8: [1]}
+    none = pairs.allowed_next(df.limit(0), seqs)
+    assert none.columns == ["i", "prefix", "allowed"] and none.isEmpty()
+
+
+def test_merge_tables(spark):
+    first = spark.createDataFrame([("a", 9), ("b", 1), (None, 4)], "k STRING, v INT")
+    later = spark.createDataFrame([("a", 2), ("a", 3), ("c", 5), (None, 0)], "k STRING, v INT")
+    got = {r.k: r.v for r in lexicons.merge_tables(first, later, "k").collect()}
+    assert got == {"a": 3, "b": 1, "c": 5, None: 0}
+
+
+def test_step_options(spark):
+    lines = spark.createDataFrame([(1, "12 OAK ST", "X")], "line_id LONG, first_line STRING, st STRING")
+    name = "randomly_remove_vowels"
+    options = {name: {"legacy_label": True}, "randomly_replace_spaces": {"substitutes": ["_"]}}
+    grid = augment.augment_grid(
+        lines, [[name], ["randomly_replace_spaces", name]], 3, options=options
+    ).collect()
+    assert {r[augment.STEPS] for r in grid} == {
+        ", randomly_replace_vowels", ", randomly_replace_spaces, randomly_replace_vowels"
+    }
+    assert {c for r in grid for c in r[augment.NOISY]} <= set("12 OAKST_")
+    assert any("_" in r[augment.NOISY] for r in grid)
+    one = augment.apply_steps(
+        augment.add_working_column(lines), [name, "randomly_replace_spaces"], options=options
+    ).first()
+    assert one[augment.STEPS] == ", randomly_replace_vowels, randomly_replace_spaces"
 
 
 # --- split, catalog, skew ----------------------------------------------------
@@ -196,6 +235,7 @@ def test_catalog_in_stretches(spark):
     for rows in (1_000_000, 50):
         got = {r.canonical: r.cat_id for r in catalog.distinct_catalog(df, rows_per_stretch=rows).collect()}
         assert got == want
+    assert catalog.distinct_catalog(df.limit(0)).isEmpty()
     looked = catalog.catalog_lookup(
         spark.createDataFrame([(1, "a1é"), (2, "zz")], "row_id LONG, first_line STRING"),
         catalog.distinct_catalog(df),

@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: labels are of documents, scores are of sentences.
 
 A sentence is a bag of hashed words with logit ``s``; a document is toxic unless all its sentences
-are clean, so its score is the noisy-or ``1 - prod(1 - sigmoid(s))``. Only document labels are
-needed to train the sentence weights, and the trained sentence scores locate what offends.
+are clean, so its score is the noisy-or ``1 - prod(1 - sigmoid(s))``. Sentences without a word that
+tells anything have chance 0: what such words cannot explain is one leak per document, so no text
+becomes toxic by its length. Only document labels are needed to train the sentence weights, and
+the trained sentence scores locate what offends.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ CLOSERS = ".!?\n"
 class SentenceModel:
     weights: np.ndarray
     bias: float
+    #: logit of being toxic for a document without any telling word
+    leak: float = -6.0
 
     @property
     def dims(self) -> int:
@@ -80,6 +84,11 @@ def sentence_logits(model: SentenceModel, sentence, feature, n: int) -> np.ndarr
     return model.bias + np.bincount(sentence, model.weights[feature], n)
 
 
+def speaking(telling: np.ndarray, sentence, feature, n: int) -> np.ndarray:
+    """Which sentences hold a telling word; the others have chance 0."""
+    return np.bincount(sentence, telling[feature], n) > 0
+
+
 def training_sample(documents: DataFrame, labels: DataFrame, rows: int | None) -> DataFrame:
     """``(text, toxic)`` of labelled documents; with ``rows``, those with the smallest id hashes.
 
@@ -146,7 +155,7 @@ def fit(
     model = SentenceModel(np.zeros(dims), bias)
     if not 0 < positives < count:
         rate = (positives + 0.5) / (count + 1)
-        model.bias = float(np.log(rate / (1 - rate)))
+        model.leak = float(np.log(rate / (1 - rate)))
         return model
     told = np.zeros(dims)
     found = train.select("toxic", F.explode(F.array_distinct("feature")).alias("feature"))
@@ -163,12 +172,13 @@ def fit(
             chance = (r["k"] + 0.5) / (r["n"] + 1)
             model.weights[r["feature"]] = np.log(chance / (1 - chance)) - bias
 
-    def gradient(weights: bytes, bias: float):
+    def gradient(weights: bytes, telling: bytes, bias: float, leak: float):
         def run(batches):
             import zlib
 
-            current = SentenceModel(np.frombuffer(zlib.decompress(weights)), bias)
-            total = np.zeros(dims + 1)
+            current = SentenceModel(np.frombuffer(zlib.decompress(weights)), bias, leak)
+            heard = np.frombuffer(zlib.decompress(telling))
+            total = np.zeros(dims + 2)
             for batch in batches:
                 toxic = batch.column(0).to_numpy()
                 sizes = batch.column(3).to_numpy().astype(np.int64)
@@ -178,28 +188,34 @@ def fit(
                 sentence = sentence_lists.flatten().to_numpy() + np.repeat(starts[:-1], lengths)
                 feature = feature_lists.flatten().to_numpy()
                 logits = sentence_logits(current, sentence, feature, int(starts[-1]))
-                clean = np.add.reduceat(softplus(logits), starts[:-1])  # -log of being clean
+                speaks = speaking(heard, sentence, feature, int(starts[-1]))
+                # -log of being clean
+                clean = np.add.reduceat(speaks * softplus(logits), starts[:-1]) + softplus(current.leak)
                 # d(loss)/d(clean): 1 for a clean label, -1/(e^clean - 1) for a toxic one
                 slope = np.where(toxic > 0, -1.0 / np.expm1(np.clip(clean, 1e-6, 700)), 1.0)
-                by_sentence = np.repeat(slope, sizes) / (1 + np.exp(-logits))
+                by_sentence = speaks * np.repeat(slope, sizes) / (1 + np.exp(-logits))
                 total[:dims] += np.bincount(feature, by_sentence[sentence], dims)
                 total[dims] += by_sentence.sum()
+                total[dims + 1] += slope.sum() / (1 + np.exp(-current.leak))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
 
         return run
 
     import zlib
 
-    mean, square = np.zeros(dims + 1), np.zeros(dims + 1)
+    mean, square = np.zeros(dims + 2), np.zeros(dims + 2)
+    heard_by_all = zlib.compress(told.tobytes(), 1)
     for k in range(1, iterations + 1):
         packed = zlib.compress(model.weights.tobytes(), 1)
-        parts = train.mapInArrow(gradient(packed, model.bias), "g binary").collect()
-        g = sum((np.frombuffer(p["g"]) for p in parts), np.zeros(dims + 1)) / count
+        parts = train.mapInArrow(gradient(packed, heard_by_all, model.bias, model.leak), "g binary").collect()
+        g = sum((np.frombuffer(p["g"]) for p in parts), np.zeros(dims + 2)) / count
         g[:dims] = told * (g[:dims] + decay * model.weights)
         mean = 0.9 * mean + 0.1 * g
         square = 0.99 * square + 0.01 * g * g
         move = step * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-5)
-        model = SentenceModel(model.weights - move[:dims], model.bias - 0.2 * move[dims])
+        model = SentenceModel(
+            model.weights - move[:dims], model.bias - 0.2 * move[dims], model.leak - 0.2 * move[dims + 1]
+        )
     return model
 
 
@@ -215,19 +231,20 @@ def score(documents: DataFrame, model: SentenceModel, floor: float = 0.5) -> Dat
         [("doc_id", pa.int64()), ("score", pa.float64()), ("n_sentences", pa.int64()),
          ("offending", pa.list_(span))]
     )
-    weights, bias, dims = model.weights, model.bias, model.dims
+    weights, bias, leak, dims = model.weights, model.bias, model.leak, model.dims
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = SentenceModel(weights, bias)
+        own = SentenceModel(weights, bias, leak)
         ids = WordIds(dims)
         batch_texts = texts(batch.column(1))
         sentence, feature, docs = sentence_bags(batch_texts, ids)
         logits = sentence_logits(own, sentence, feature, len(docs))
         n = len(batch_texts)
-        clean = np.bincount(docs, softplus(logits), n)
+        speaks = speaking((own.weights != 0).astype(float), sentence, feature, len(docs))
+        clean = np.bincount(docs, speaks * softplus(logits), n) + softplus(leak)
         sizes = np.bincount(docs, minlength=n)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        chances = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+        chances = speaks / (1 + np.exp(-np.clip(logits, -500, 500)))
         offending: list[list] = [[] for _ in range(n)]
         for at in np.flatnonzero(chances >= floor):
             doc = int(docs[at])

@@ -86,6 +86,16 @@ def test_toxicity_noisy_or():
     assert np.allclose(logits, [1, 1, other])
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit(docs, labels_of(spark, labels))
+    clean = " ".join(f"w{k % 200} v1.2 other words." for k in range(5000))
+    long = [(1, clean, None, None), (2, clean + " a vile thing.", None, None)]
+    rows = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(long, SCHEMA), model).collect()}
+    assert rows[1]["score"] < 0.5 and not rows[1]["offending"]
+    assert rows[2]["score"] >= 0.5 and len(rows[2]["offending"]) == 1
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     none = toxicity.fit(odd, labels_of(spark, [(1, None), (None, 1), (99, 1)]))
     rows = toxicity.score(odd, none).collect()

@@ -22,6 +22,8 @@ from .common import in_batches, texts
 
 CAPACITY = 2048
 END = 0
+#: tokens the vocabulary's tokenizers file adds to its ranks; texts that spell one out hold its id
+ADDED = {"<|endoftext|>": 50256}
 #: pieces a partition packs at first
 PIECES_PER_PART = 2000
 
@@ -42,7 +44,7 @@ def encoder(path: str):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED
     )
 
 
@@ -74,7 +76,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str
         def work(batch: pa.RecordBatch) -> dict:
             out: dict = {n: [] for n in schema.names}
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = np.append(encode(text, disallowed_special=()), END).astype("<u4")
+                ids = np.append(encode(text, allowed_special="all"), END).astype("<u4")
                 for piece, (start, length) in enumerate(pieces_of(ids, capacity)):
                     row = (doc, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()))
                     for name, value in zip(schema.names, row, strict=True):

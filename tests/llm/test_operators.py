@@ -408,6 +408,19 @@ def test_packing_of_documents(spark, small):
     assert check_packing(rows) <= -(-total // 2048) + 2
 
 
+def test_packing_ids_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    given = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext", "<|EndOfText|>"]
+    docs = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(given)], SCHEMA)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = {r["doc_id"]: r for r in packing.token_pieces(docs).collect()}
+    for k, text in enumerate(given):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (rows[k]["length"], rows[k]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing_bounds_and_rounds(spark):
     rng = np.random.default_rng(0)
     for _ in range(50):

@@ -2,7 +2,8 @@
 
 A reference holds two histograms taken over every document of a language: classes of characters,
 and the language's commonest words against all others. A document is held against the nearest
-reference, so a wrong language mark does no harm. Texts too short for a histogram to mean
+reference, so a wrong language mark does no harm. Rows without a known mark and marks with few
+documents or words make no reference, so junk is not measured by itself. Texts too short for a histogram to mean
 anything are judged by the counts alone.
 """
 
@@ -22,6 +23,8 @@ from .common import ascii_words, texts
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = 9
+#: marks that name no language
+UNKNOWN = ("", "und", "unk", "unknown", "mis", "mul", "zxx", "xx", "none", "null", "n/a", "other", "?", "-")
 MARKS = ".,;:!?'\"()-"
 
 
@@ -37,6 +40,9 @@ class QualityRules:
     #: a short text strays from any reference by chance: the slack is divided by the root of its words
     max_word_distance: float = 0.35
     word_slack: float = 1.2
+    #: documents with words, and words, below which a mark makes no reference
+    min_reference_documents: int = 20
+    min_reference_words: int = 2000
 
 
 @dataclass
@@ -90,9 +96,10 @@ def plain_words(words: list[bytes]) -> list[bytes]:
 
 
 def references(documents: DataFrame, rules: QualityRules) -> dict[str, Reference]:
-    """One reference per language, over all documents; a null language is the language ''.
+    """One reference per known language with enough documents and words, over all its documents.
 
-    Counts are added up in each task before they are shuffled; what reaches the driver is the
+    Where no known mark has enough, unmarked rows (null or '') are the reference if there are enough of
+    them; without any reference no distance is taken. Counts are added up in each task before they are shuffled; what reaches the driver is the
     histogram of each language, not of any document.
     """
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
@@ -102,14 +109,17 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, Reference
         of = class_table()
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
+        spoken = Counter()
 
         def out():
             keys = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
             keys += [
                 (lang, b"\n%d" % k, int(n)) for lang, row in classes.items() for k, n in enumerate(row)
             ]
+            keys += [(lang, b"\n%d" % CLASSES, n) for lang, n in spoken.items()]
             words.clear()
             classes.clear()
+            spoken.clear()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*keys, strict=True), schema.types, strict=True)]
                 if keys else [pa.array([], t) for t in schema.types],
@@ -123,7 +133,9 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, Reference
             for lang, row in zip(langs, class_counts(batch_texts, of), strict=True):
                 classes[lang] = classes.get(lang, 0) + row
             for lang, text in zip(langs, batch_texts, strict=True):
-                words.setdefault(lang, Counter()).update(plain_words(ascii_words(text)))
+                found = plain_words(ascii_words(text))
+                words.setdefault(lang, Counter()).update(found)
+                spoken[lang] += bool(found)
             if sum(map(len, words.values())) > flush_at:
                 yield from out()
         yield from out()
@@ -140,20 +152,28 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, Reference
     sums = kept.groupBy("lang", "_class").agg(F.sum("n").alias("total"))
     top = (
         kept.withColumn("_at", F.row_number().over(place))
-        .filter(F.col("_at") <= F.lit(max(rules.common_words, CLASSES)))
+        .filter(F.col("_at") <= F.lit(max(rules.common_words, CLASSES + 1)))
         .drop("_at")
         .join(sums, ["lang", "_class"])
     )
     out: dict[str, Reference] = {}
     common: dict[str, list] = {}
+    enough: dict[str, list[bool]] = {}
     for r in sorted(top.collect(), key=lambda r: (r["lang"], -r["n"], bytes(r["word"]))):
         ref = out.setdefault(r["lang"], Reference(np.zeros(CLASSES)))
-        if r["_class"]:
-            ref.classes[int(bytes(r["word"])[1:])] = r["n"]
+        at = int(bytes(r["word"])[1:]) if r["_class"] else None
+        if at == CLASSES:
+            enough.setdefault(r["lang"], []).append(r["n"] >= rules.min_reference_documents)
+        elif at is not None:
+            ref.classes[at] = r["n"]
         elif len(common.setdefault(r["lang"], [])) < rules.common_words:
+            if not common[r["lang"]]:
+                enough.setdefault(r["lang"], []).append(r["total"] >= rules.min_reference_words)
             common[r["lang"]].append((bytes(r["word"]), r["n"] / r["total"]))
+    large = {lang for lang, ok in enough.items() if all(ok)}
+    admitted = {lang for lang in large if lang.strip().lower() not in UNKNOWN} or large & {""}
     for lang, ref in list(out.items()):
-        if not ref.classes.sum() or lang not in common:
+        if not ref.classes.sum() or lang not in common or lang not in admitted:
             del out[lang]
             continue
         ref.classes = ref.classes / ref.classes.sum()

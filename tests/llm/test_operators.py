@@ -165,6 +165,19 @@ def test_quality_distance_and_filter(spark, odd, empty):
     assert ids == set(range(60))
 
 
+def test_quality_junk_makes_no_reference(spark):
+    rng = random.Random(2)
+    good = [(k, " ".join(f"{rng.choice(['the', 'of', 'and'])} thing{rng.randrange(999)}" for _ in range(60)), "en", "s")
+            for k in range(60)]
+    junk = [(1000 + k, " ".join(f"%%{rng.randrange(10**6)}$$ ##{rng.randrange(10**6)}**" for _ in range(60)), lang, "s")
+            for k, lang in enumerate([None] * 40 + ["und"] * 40 + [" "] * 30 + ["qq"])]
+    docs = spark.createDataFrame(good + junk, SCHEMA)
+    assert set(quality.references(docs, quality.QualityRules())) == {"en"}
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == set(range(60))
+    unmarked = spark.createDataFrame([(k, t, None, s) for k, t, _, s in good] + junk[-1:], SCHEMA)
+    assert {r["doc_id"] for r in quality.keep_good(unmarked).collect()} == set(range(60))
+
+
 # 3 -------------------------------------------------------------------------------------------
 
 

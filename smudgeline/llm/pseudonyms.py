@@ -1,7 +1,7 @@
 """Personal data as format-preserving pseudonyms: keyed Feistel permutations, in Spark expressions.
 
-Payment cards (13 to 19 digits, check digit right), North American telephone numbers, social
-security numbers, IPv4 addresses and dates that exist are permuted within their format, so a
+Payment cards (13 to 19 digits, check digit right, also beside other groups of digits), telephone
+numbers (North American, and any with + and a country code), social security numbers, IPv4 addresses and dates that exist are permuted within their format, so a
 pseudonym is valid again, equal values stay equal in all documents, and no two values meet. Names
 in e-mail addresses have no fixed format; they become a keyed code, with the domain kept.
 """
@@ -16,11 +16,29 @@ ROUNDS = 8
 DATE_START, DATE_SIDE = "1900-01-01", 270
 
 EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|[./]\w)"
+DATE = (
+    r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}(?=[Tt_]\d{2})"
+    r"|(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|[./]\w))"
+)
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-PHONE = r"(?<!\w)\+?1[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
+#: with an area code in brackets, by + and country code (7 to 15 digits), and plain
+PHONE = (
+    r"(?<!\w)\+?1[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w+])\+(?!\d+\.\d+(?:[\s,;]|$))[1-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?\d){6,14}(?!\w)"
+    r"|(?<![\w.+-])(?:1[.-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d)"
+    r"|(?<![\w.+-])(?<!\d )(?:1[ -])?[2-9]\d{2}[ -][2-9]\d{2}[ -]\d{4}(?![\w-]|\.\d| \d)"
+)
+#: country codes of one and two digits; all others have three
+SHORT_CODES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
+_GROUP = r"\d++(?![A-Za-z_]|\.\d|-(?!\d))"
+#: a whole run of digit groups, of whatever length, with 13 digits at least
+CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -]{_GROUP})*+"
+#: how cards are written; asked of groups of digits that do not begin their run
+CARD_SHAPE = (
+    r"^(?=[3-6]|2[2-7])(?:\d{13,19}|\d{8}[ -]\d{8}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?"
+    r"|\d{4}([ -])\d{6}\2\d{4,5})$"
+)
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, DATE, IPV4, PHONE, SSN, CARD))
 #: a cheap look for what any of these must hold
 HINT = r"@|\d\.\d|\d\)|\d{2}[-/]\d{2}|\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d"
@@ -102,21 +120,76 @@ def permute_digits(digits: Column, key: str, tweak: str) -> Column:
     return padded(feistel(digits.cast("long"), power_of_ten(n - half), power_of_ten(half), key, tweak), n)
 
 
-def card(found: Column, key: str) -> Column:
+def is_card(written: Column) -> Column:
+    """Whether 13 to 19 digits end with their check digit."""
+    return let(
+        digits_of(written),
+        lambda digits: F.length(digits).between(13, 19)
+        & (check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)),
+    )
+
+
+def new_card(written: Column, key: str) -> Column:
     def of(digits: Column) -> Column:
         payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
         new = let(permute_digits(payload, key, "card"), lambda n: F.concat(n, check_digit(n)))
-        valid = check_digit(payload) == F.substring(digits, -1, 1)
-        return F.when(valid, into_places(found, new)).otherwise(found)
+        return into_places(written, new)
+
+    return let(digits_of(written), of)
+
+
+def card(found: Column, key: str) -> Column:
+    """The cards of a run of digit groups: at each group the longest valid one that starts there.
+
+    Groups within a run must look like a card besides, so tables of numbers stay.
+    """
+
+    def of(groups: Column) -> Column:  # each with the mark before it
+        n = F.size(groups)
 
-    return let(digits_of(found), of)
+        def joined(start: Column, count: Column) -> Column:
+            return F.array_join(F.slice(groups, start, count), "")
+
+        def longest(at: Column, free: Column) -> Column:
+            """Groups of the longest card from one on; 0 for none."""
+
+            def fits(count: Column) -> Column:
+                written = F.regexp_replace(joined(at, count), "^[ -]", "")
+                return is_card(written) & (free | written.rlike(CARD_SHAPE))
+
+            counts = F.sequence(F.lit(1), F.least(n - at + 1, F.lit(19)))
+            return F.coalesce(F.array_max(F.filter(counts, fits)), F.lit(0))
+
+        def step(s: Column, at: Column) -> Column:
+            def taken(count: Column) -> Column:
+                whole = joined(at, count)
+                mark = F.regexp_extract(whole, "^[ -]?", 0)
+                new = F.concat(mark, new_card(F.regexp_replace(whole, "^[ -]", ""), key))
+                return F.when(
+                    count > 0, F.struct(F.concat(s["out"], new).alias("out"), (at + count).alias("next"))
+                ).otherwise(F.struct(F.concat(s["out"], F.get(groups, at - 1)).alias("out"), s["next"].alias("next")))
+
+            # right at the start or after a card any grouping will do
+            return F.when(at < s["next"], s).otherwise(let(longest(at, at == s["next"]), taken))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["out"])
+
+    return let(F.regexp_extract_all(found, F.lit(r"[ -]?\d+"), F.lit(0)), of)
 
 
 def phone(found: Column, key: str) -> Column:
-    """The country code stays, the ten digits after it are permuted."""
-    digits = digits_of(found)
-    code = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    return into_places(found, F.concat(code, permute_digits(F.substring(digits, -10, 10), key, "phone")))
+    """The country code stays and so does a bracketed 0; the digits after it are permuted."""
+    trunk = F.regexp_replace(found, r"\(0\)", "(\u0001)")
+
+    def of(digits: Column) -> Column:
+        by_plan = F.when(digits.rlike(SHORT_CODES), F.length(F.regexp_extract(digits, SHORT_CODES, 0))).otherwise(3)
+        size = F.when(found.startswith("+"), by_plan).otherwise(F.length(digits) - 10)
+        code = F.substring(digits, F.lit(1), size)
+        rest = F.substring(digits, size + 1, F.length(digits))
+        return into_places(trunk, F.concat(code, permute_digits(rest, key, "phone")))
+
+    return F.replace(let(digits_of(trunk), of), F.lit("\u0001"), F.lit("0"))
 
 
 def ssn(found: Column, key: str) -> Column:

@@ -313,6 +313,31 @@ def test_pseudonyms_leave_the_rest(spark):
     assert changed(spark, kept) == kept
 
 
+def test_pseudonyms_of_more_forms(spark):
+    phones = ["212-555-0123", "212.555.0123", "212 555 0123", "+1-212-555-0123", "+12125550123", "1-212-555-0123",
+              "+1 (212) 555-0123"]
+    new = changed(spark, [f"call {p}." for p in phones])
+    assert len({re.sub(r"\D", "", t)[-10:] for t in new}) == 1 and "2125550123" not in re.sub(r"\D", "", new[0])
+    for p, t in zip(phones, new, strict=True):
+        assert re.sub(r"\d", "9", t) == f"call {re.sub(r'\d', '9', p)}."
+    abroad = ["+44 20 7946 0958", "+49 (0)30 1234567", "+33 1 23 45 67 89", "+353 1 496 0123", "+61-2-9374-4000"]
+    for p, t in zip(abroad, changed(spark, abroad), strict=True):
+        code = p.split("-")[0].split(" ")[0]
+        assert t != p and t.startswith(code) and re.sub(r"\d", "9", t) == re.sub(r"\d", "9", p)
+        assert ("(0)" in t) == ("(0)" in p)
+    card = "4111 1111 1111 1111"
+    alone = changed(spark, [card])[0]
+    around = ["{} 12/25", "{} 123", "{} 12 5", "7 {}", "1234 {} 12/25", "{} 2024-05-01x"]
+    assert changed(spark, [a.format(card) for a in around]) == [a.format(alone) for a in around]
+    solid = changed(spark, ["4111111111111111 123", f"{card} {card}"])
+    assert solid == [alone.replace(" ", "") + " 123", f"{alone} {alone}"]
+    day = changed(spark, ["2024-01-02"])[0]
+    stamps = ["{}T10:00", "{}T10:00:00.5Z", "at {} 10:00"]
+    assert changed(spark, [s.format("2024-01-02") for s in stamps]) == [s.format(day) for s in stamps]
+    kept = ["+1.5 2.25", "1990 1991 1992 1993 1994 1995", "+12345", "5 10 20 30 40 50 60 70 81"]
+    assert changed(spark, kept) == kept
+
+
 def feistel_twin(value, left, right, key, tweak):
     import hashlib
 

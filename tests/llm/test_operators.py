@@ -568,6 +568,28 @@ def test_secret_randomness(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_alphabets_and_names(spark):
+    rng = random.Random(6)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    forms = {"32": upper + "234567", "36": upper.lower() + "0123456789", "62": upper + upper.lower() + "0123456789"}
+    forms["64"] = forms["62"] + "+/"
+    docs, keys = [], {}
+    for form, letters in forms.items():
+        for n in (24, 32, 40):
+            for k in range(100):
+                key = "".join(rng.choice(letters) for _ in range(n))
+                keys[len(docs)] = form, n, key
+                name = ("", "DATABASE_CREDENTIAL=", "AWS_ACCESS_KEY=")[k % 3]
+                docs.append((len(docs), f"set {name}{key} here", None, None))
+    docs += [(5000 + k, f"chapter{k:02d}_of_the_long_story_{k:04d} internationalisation{k}", None, None) for k in range(200)]
+    rows = {r["doc_id"]: r["found"] for r in secrets.scan(spark.createDataFrame(docs, SCHEMA)).collect()}
+    right = Counter()
+    for at, (form, n, key) in keys.items():
+        right[form, n] += any(docs[at][1][s["start"] : s["end"]] == key for s in rows[at])
+    assert min(right[f, n] for f in forms for n in (24, 32, 40)) >= 85, right
+    assert sum(bool(rows[5000 + k]) for k in range(200)) <= 10
+
+
 # 10 ------------------------------------------------------------------------------------------
 
 

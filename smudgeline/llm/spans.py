@@ -1,13 +1,17 @@
 """Substring dedup by spans of sentences: every run of several sentences is looked up globally.
 
-At each sentence a span starts: the shortest run of at least ``least_sentences`` sentences with at
-least ``least_words`` words. Spans are hashed and compared over all documents; the first by
+At each sentence a span starts and one ends: the shortest runs of at least ``least_sentences`` sentences
+with at least ``least_words`` words, so any longer run that is repeated is covered from its first to
+its last sentence. Sentences of many words are cut at clauses, and clauses of many words at places
+that follow from the words around alone; where words are written without blanks each character is
+one. Spans are hashed and compared over all documents; the first by
 document and place stays, and sentences under any other are removed.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,25 +23,54 @@ from ..session import stored
 from .common import WordHashes, in_batches, mix64, powers, texts
 
 #: a sentence with the marks and blanks that close it
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|\n+|[.!?]+|$)")
-CLAUSE = re.compile(r"[^,;:]+(?:[,;:]+\s*|$)|[,;:]+\s*")
+SENTENCE = re.compile(r"[^.!?\n。！？]*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|[。！？]+[^\S\n]*\n*|\n+|[.!?]+|$)")
+CLAUSE = re.compile(r"[^,;:，、；：]+(?:[,;:，、；：]+\s*|$)|[,;:，、；：]+\s*")
 LONG = 25
+#: of so many words in a row one begins a piece, where there are no other marks
+CUT_WITHIN = 7
+_BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: characters of scripts without blanks
+BARE = re.compile(f"[{_BARE}]")
+WORD_AT = re.compile(rf"[{_BARE}]|[^\x20\x09-\x0D{_BARE}]+")
+
+
+def words_of(piece: str) -> list[bytes]:
+    """Lower-case words of a piece."""
+    if not piece.isascii():
+        piece = BARE.sub(r" \g<0> ", piece)
+    return piece.lower().encode("utf-8", "surrogatepass").split()
+
+
+def cut_by_content(clause: str) -> list[str]:
+    """Pieces of at most CUT_WITHIN words that begin at the least word hash of any so many in a row."""
+    starts = [m.start() for m in WORD_AT.finditer(clause)]
+    hashes = np.fromiter(
+        (zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) for m in WORD_AT.finditer(clause)),
+        np.int64, len(starts),
+    )
+    if len(starts) < CUT_WITHIN:
+        return [clause]
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, CUT_WITHIN)
+    chosen = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    places = [0, *(starts[k] for k in chosen.tolist() if k), len(clause)]
+    return [clause[a:b] for a, b in zip(places, places[1:], strict=False)]
 
 
 def cut_sentences(text: str) -> list[str]:
-    """Pieces that joined give the text again; sentences of more than LONG words by clauses."""
+    """Pieces that joined give the text again; sentences of more than LONG words by clauses or by content."""
     out: list[str] = []
     held = ""
     for m in SENTENCE.finditer(text):
         piece = held + m[0]
         if not piece:
             continue
-        if not piece[-1].isspace() and m.end() < len(text):
+        if not piece[-1].isspace() and piece[-1] not in "。！？" and m.end() < len(text):
             held = piece  # a mark inside a word or number ends nothing
             continue
         held = ""
-        if len(piece.split()) > LONG:
-            out += CLAUSE.findall(piece)
+        if len(words_of(piece)) > LONG:
+            for clause in CLAUSE.findall(piece):
+                out += cut_by_content(clause) if len(words_of(clause)) > LONG else [clause]
         else:
             out.append(piece)
     if held:
@@ -49,7 +82,7 @@ def span_hashes(
     sentences: list[str], hashes: WordHashes, least_sentences: int, least_words: int
 ) -> list[tuple[int, int, int]]:
     """``(first sentence, last sentence, hash)`` of every span; case and blanks do not matter."""
-    words = [s.lower().encode("utf-8", "surrogatepass").split() for s in sentences]
+    words = [words_of(s) for s in sentences]
     counts = np.array([len(w) for w in words], np.int64)
     spoken = np.flatnonzero(counts)  # blank pieces neither count nor part sentences
     if len(spoken) < least_sentences:
@@ -61,17 +94,27 @@ def span_hashes(
         np.searchsorted(ends, starts + least_words), np.arange(len(spoken)) + least_sentences - 1
     )
     whole = last < len(spoken)
-    last = last[whole]
-    if not len(last):
+    # and the shortest run that ends at each sentence
+    first = np.minimum(
+        np.searchsorted(starts, ends - least_words, "right") - 1, np.arange(len(spoken)) - least_sentences + 1
+    )
+    closed = first >= 0
+    runs = np.unique(
+        np.concatenate(
+            [np.flatnonzero(whole) * len(spoken) + last[whole], first[closed] * len(spoken) + np.flatnonzero(closed)]
+        )
+    )
+    if not len(runs):
         return []
+    first, last = runs // len(spoken), runs % len(spoken)
     # sums of words times powers of an odd number; a span is a difference, moved to its own start
     up, down = powers(len(flat))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat) * up, dtype=np.uint64)])
-        at = starts[whole]
+        at = starts[first]
         codes = mix64((sums[ends[last]] - sums[at]) * down[at] + (ends[last] - at).astype(np.uint64))
     return list(
-        zip(spoken[whole].tolist(), spoken[last].tolist(), codes.view(np.int64).tolist(), strict=True)
+        zip(spoken[first].tolist(), spoken[last].tolist(), codes.view(np.int64).tolist(), strict=True)
     )
 
 

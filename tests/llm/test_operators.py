@@ -214,6 +214,31 @@ def test_spans_against_brute_force(spark, small):
         assert r["text"] == "".join(s for k, s in enumerate(cut[r["doc_id"]]) if k not in lost)
 
 
+def test_spans_cover_whole_passages(spark):
+    rng = random.Random(7)
+
+    def said(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    tail = f"{said(6)}. {said(15)}. {said(4)}."  # its last sentence ends no shortest run from a start
+    bare = [said(55) for _ in range(30)]
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(30)) + "。" for _ in range(3)]
+    docs = [(1, f"{tail} {said(5)}.", None, None), (2, f"{said(3)}. {tail}", None, None)]
+    docs += [(10 + k, f"{said(30)} {b} {said(30)}.", None, None) for k, b in enumerate([*bare, *bare])]
+    docs += [(100, "".join(han), None, None), (101, "前文。" + "".join(han) + "后文。", None, None)]
+    rows = {r["doc_id"]: r["text"] for r in spans.remove_repeats(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert rows[1] == docs[0][1] and rows[2] == docs[1][1].split(". ")[0] + ". "
+    assert rows[100] == "".join(han) and rows[101] == "前文。后文。"
+    for k, b in enumerate(bare):
+        before, after = docs[2 + 30 + k][1].split(b)
+        left = rows[40 + k]
+        assert rows[10 + k] == docs[2 + k][1] and left.startswith(before) and left.endswith(after)
+        seen = b.split()
+        windows = {tuple(seen[i : i + 20]) for i in range(len(seen) - 19)}
+        got = left.split()
+        assert not any(tuple(got[i : i + 20]) in windows for i in range(len(got) - 19))
+
+
 def test_spans_odd_rows(odd, empty):
     rows = spans.remove_repeats(odd).collect()
     assert Counter((r["doc_id"], r["text"] is None) for r in rows) == Counter((r[0], r[1] is None) for r in ODD)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    mixing, ngram_join, packing, pseudonyms, quality, secrets, spans, topk, toxicity, url_lists,
+    byte_bpe, mixing, negatives, ngram_join, packing, part_codes, pseudonyms, quality, secrets, spans, topk, toxicity,
+    url_lists,
 )
 from .common import table
 
@@ -138,14 +139,84 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score a little below each positive of each anchor."""
+    mislabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.usable(table(spark, sf_dir, "embeddings"), F.col("embedding"), mislabelled)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every text and of the bytes they decode to."""
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return byte_bpe.decode_documents(encoded).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, errors by label, and the digest of the codebooks."""
+    coded, books = part_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        "vec_id", part_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error",
+        F.lit(part_codes.books_digest(books)).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality_rules, op3_sentence_spans, op4_source_mix, op5_pseudonyms, op6_url_lists,
-        op7_packing, op8_top_k, op9_secret_scan, op10_ngram_join,
+        op7_packing, op8_top_k, op9_secret_scan, op10_ngram_join, op11_hard_negatives, op12_byte_bpe, op13_part_codes,
     )
 }
 
+def codes_sql(rounds: int = 4) -> str:
+    """Check SQL of the vector codes: every round is a step of its own."""
+    nearest = """
+  SELECT p.vec_id, p.position, p.part, arg_min(b.entry, (list_distance2(p.part, b.part), b.entry)) AS entry,
+         min(list_distance2(p.part, b.part)) AS distance
+  FROM parts p JOIN book{r} b USING (position) GROUP BY ALL""".replace(
+        "list_distance2(p.part, b.part)",
+        "list_sum(list_transform(list_zip(p.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))",
+    )
+    steps = "".join(
+        f"""), assigned{r} AS ({nearest.format(r=r)}
+), means{r} AS (
+  SELECT position, entry, list(value ORDER BY place) AS part FROM (
+    SELECT position, entry, place, floor(sum(part[place]) / count(*))::BIGINT AS value
+    FROM assigned{r}, unnest(range(1, len(part) + 1)) AS t(place) GROUP BY ALL) GROUP BY ALL
+), book{r + 1} AS (
+  SELECT b.position, b.entry, coalesce(m.part, b.part) AS part
+  FROM book{r} b LEFT JOIN means{r} m USING (position, entry)
+"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), parts AS (
+  SELECT vec_id, position, v[position * len(v) // 4 + 1 : (position + 1) * len(v) // 4] AS part
+  FROM whole, unnest(range(4)) AS t(position)
+), book0 AS (
+  SELECT position, (row_number() OVER (PARTITION BY position ORDER BY vec_id) - 1)::INTEGER AS entry, part
+  FROM parts QUALIFY entry < 256
+{steps}), final AS ({nearest.format(r=rounds)}
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY position) AS code, sum(distance)::BIGINT AS error
+  FROM final GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY position, entry)) AS codebooks_sha256
+  FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN whole USING (vec_id), digest
+"""
+
+
 #: check SQL of the queries that SQL can express
 SQL = {
     "op6_url_lists": r"""
@@ -193,4 +264,26 @@ FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5
 """,
+    "op11_hard_negatives": """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM whole a JOIN whole r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score,
+       s.score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+""",
+    "op13_part_codes": codes_sql(),
 }

@@ -6,6 +6,9 @@ its last sentence. Sentences of many words are cut at clauses, and clauses of ma
 that follow from the words around alone; where words are written without blanks each character is
 one. Spans are hashed and compared over all documents; the first by
 document and place stays, and sentences under any other are removed.
+
+Every batch of texts keeps the first of each of its spans and only that travels, so a span that is everywhere
+is one row a batch; the others of the batch are told as stretches of their texts. Spans meet once, at their hash.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .common import WordHashes, in_batches, mix64, powers, texts
+from .common import WordHashes, in_batches, mix64, powers
 
 #: a sentence with the marks and blanks that close it
 SENTENCE = re.compile(r"[^.!?\n。！？]*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|[。！？]+[^\S\n]*\n*|\n+|[.!?]+|$)")
@@ -56,37 +58,45 @@ def cut_by_content(clause: str) -> list[str]:
     return [clause[a:b] for a, b in zip(places, places[1:], strict=False)]
 
 
-def cut_sentences(text: str) -> list[str]:
-    """Pieces that joined give the text again; sentences of more than LONG words by clauses or by content."""
-    out: list[str] = []
-    held = ""
+def pieces_of(text: str) -> tuple[list[str], list[list[bytes]]]:
+    """Pieces that joined give the text again, and their words.
+
+    A piece is a sentence; sentences of more than LONG words are cut by clauses, long clauses by content.
+    """
+    pieces: list[str] = []
+    words: list[list[bytes]] = []
+    start = 0
     for m in SENTENCE.finditer(text):
-        piece = held + m[0]
-        if not piece:
-            continue
-        if not piece[-1].isspace() and piece[-1] not in "。！？" and m.end() < len(text):
-            held = piece  # a mark inside a word or number ends nothing
+        end = m.end()
+        if end == start or (end < len(text) and not text[end - 1].isspace() and text[end - 1] not in "。！？"):
+            continue  # nothing new, or a mark inside a word or number, which ends nothing
+        piece = text[start:end]
+        start = end
+        said = words_of(piece)
+        if len(said) <= LONG:
+            pieces.append(piece)
+            words.append(said)
             continue
-        held = ""
-        if len(words_of(piece)) > LONG:
-            for clause in CLAUSE.findall(piece):
-                out += cut_by_content(clause) if len(words_of(clause)) > LONG else [clause]
-        else:
-            out.append(piece)
-    if held:
-        out.append(held)
-    return out
+        for clause in CLAUSE.findall(piece):
+            said = words_of(clause)
+            if len(said) <= LONG:
+                pieces.append(clause)
+                words.append(said)
+            else:
+                cut = cut_by_content(clause)
+                pieces += cut
+                words += map(words_of, cut)
+    return pieces, words
 
 
 def span_hashes(
-    sentences: list[str], hashes: WordHashes, least_sentences: int, least_words: int
-) -> list[tuple[int, int, int]]:
-    """``(first sentence, last sentence, hash)`` of every span; case and blanks do not matter."""
-    words = [words_of(s) for s in sentences]
-    counts = np.array([len(w) for w in words], np.int64)
+    words: list[list[bytes]], hashes: WordHashes, least_sentences: int, least_words: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places (first piece in the upper, last in the lower 32 bits) and hashes of all spans of a text."""
+    counts = np.fromiter(map(len, words), np.int64, len(words))
     spoken = np.flatnonzero(counts)  # blank pieces neither count nor part sentences
     if len(spoken) < least_sentences:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     flat = hashes.of([w for ws in words for w in ws])
     ends = np.cumsum(counts[spoken])
     starts = ends - counts[spoken]
@@ -105,7 +115,7 @@ def span_hashes(
         )
     )
     if not len(runs):
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, last = runs // len(spoken), runs % len(spoken)
     # sums of words times powers of an odd number; a span is a difference, moved to its own start
     up, down = powers(len(flat))
@@ -113,9 +123,29 @@ def span_hashes(
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat) * up, dtype=np.uint64)])
         at = starts[first]
         codes = mix64((sums[ends[last]] - sums[at]) * down[at] + (ends[last] - at).astype(np.uint64))
-    return list(
-        zip(spoken[first].tolist(), spoken[last].tolist(), codes.view(np.int64).tolist(), strict=True)
-    )
+    return spoken[first] << 32 | spoken[last], codes.view(np.int64)
+
+
+def first_spans(doc: np.ndarray, key: np.ndarray, place: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which spans of a batch are the first of their code by document, text and place."""
+    order = np.lexsort((place, key, doc, code))
+    opens = np.ones(len(order), bool)
+    opens[1:] = code[order][1:] != code[order][:-1]
+    out = np.zeros(len(order), bool)
+    out[order[opens]] = True
+    return out
+
+
+def stretches(text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and places of the stretches that spans of a batch cover together."""
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order]
+    reach = np.maximum.accumulate((text << 32) + (place & 0xFFFFFFFF))
+    opens = np.ones(len(order), bool)
+    opens[1:] = (text[1:] << 32) + (place[1:] >> 32) > reach[:-1] + 1
+    first = np.flatnonzero(opens)
+    ends = reach[np.append(first[1:], len(order)) - 1] if len(order) else reach
+    return text[first], place[first] >> 32 << 32 | ends & 0xFFFFFFFF
 
 
 def remove_repeats(
@@ -128,46 +158,46 @@ def remove_repeats(
     one empty; texts too short for a span stay as they are. Rows alike in id and text are one
     document: they keep the same sentences. Other columns are not read.
     """
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()),
-         ("code", pa.int64())]
-    )
+    names = ["doc", "text_key", "place", "code", "kept"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-
-        def work(batch: pa.RecordBatch) -> dict:
-            out: dict = {n: [] for n in schema.names}
-            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for doc, text, key in zip(ids, texts(batch.column(1)), keys, strict=True):
-                for row in span_hashes(cut_sentences(text), hashes, least_sentences, least_words):
-                    for name, value in zip(schema.names, (doc, key, *row), strict=True):
-                        out[name].append(value)
-            return out
-
-        yield from in_batches(work, schema)(batches)
-
+        for batch in batches:
+            doc, key = (batch.column(k).to_numpy() for k in (0, 2))
+            # rows alike in id and text are looked at once
+            _, once = np.unique(key, return_index=True)
+            found = [
+                span_hashes(pieces_of(t or "")[1], hashes, least_sentences, least_words)
+                for t in batch.column(1).take(pa.array(once)).to_pylist()
+            ]
+            at = np.repeat(once, [len(f[0]) for f in found])
+            place, code = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            kept = first_spans(doc[at], key[at], place, code)
+            gone_at, gone = stretches(at[~kept], place[~kept])
+            columns = (
+                np.concatenate([doc[at[kept]], doc[gone_at]]),
+                np.concatenate([key[at[kept]], key[gone_at]]),
+                np.concatenate([place[kept], gone]),
+                # what the batch takes out itself meets no other span: it goes by its text, not by a code
+                np.concatenate([code[kept], key[gone_at] ^ gone]),
+                np.arange(int(kept.sum()) + len(gone)) < kept.sum(),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    lowest = -(1 << 63)
     given = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn(
-        "text_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")
-    )
-    spans = stored(
-        given.select("doc_id", "text", "text_key").mapInArrow(
-            find, "doc_id long, text_key long, first int, last int, code long"
-        ),
-        "spans",
+        "text_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
     )
-    place = F.struct("doc_id", "text_key", "first")
-    repeated = (
-        spans.groupBy("code")
-        .agg(F.min(place).alias("kept"), F.max(place).alias("other"))
-        .filter("kept != other")
-        .select("code", "kept")
+    spans = given.select(F.coalesce("doc_id", F.lit(lowest)).alias("doc"), "text", "text_key").mapInArrow(
+        find, "doc long, text_key long, place long, code long, kept boolean"
     )
+    # rank, as rows alike in id and text may lie in two batches and stay both
+    earlier = F.rank().over(Window.partitionBy("code", "kept").orderBy("doc", "text_key", "place")) > 1
     removed = (
-        spans.join(repeated, "code")
-        .filter(~place.eqNullSafe(F.col("kept")))
+        spans.withColumn("gone", ~F.col("kept") | earlier)
+        .filter("gone")
         .groupBy("text_key")
-        .agg(F.collect_set(F.struct("first", "last")).alias("covered"))
+        .agg(F.collect_set("place").alias("covered"))
     )
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
@@ -176,13 +206,19 @@ def remove_repeats(
         out: dict = {n: [] for n in out_schema.names}
         out["doc_id"] = batch.column(0)
         for text, covered in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            gone: set[int] = set()
-            for span in covered or ():
-                gone.update(range(span["first"], span["last"] + 1))
-            if gone:
-                text = "".join(s for k, s in enumerate(cut_sentences(text)) if k not in gone)
+            n_gone = 0
+            if covered:
+                pieces = pieces_of(text)[0]
+                # runs that begin less those that have ended: above nought inside a span
+                places = np.array(covered, np.int64)
+                depth = np.zeros(len(pieces) + 1, np.int64)
+                np.add.at(depth, places >> 32, 1)
+                np.add.at(depth, (places & 0xFFFFFFFF) + 1, -1)
+                gone = np.cumsum(depth)[:-1] > 0
+                n_gone = int(gone.sum())
+                text = "".join(p for p, g in zip(pieces, gone.tolist(), strict=True) if not g)
             out["text"].append(text)
-            out["n_removed"].append(len(gone))
+            out["n_removed"].append(n_gone)
         return out
 
     return (

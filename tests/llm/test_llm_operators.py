@@ -14,6 +14,8 @@ from smudgeline.llm import (
     mixing, ngram_join, packing, pseudonyms, quality, secrets, spans, topk, toxicity, url_lists,
 )
 
+from tests.llm.packing_rules import check_packing
+
 LONG = "word " * 30_000 + "end."
 #: nulls in every column, empty and long texts, repeated rows, ids that tie
 ODD = [
@@ -193,25 +195,84 @@ def test_spans_keep_the_first(spark):
     assert rows[4]["text"] == ""
 
 
-def test_spans_against_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    from smudgeline.llm.common import WordHashes
+def brute_removal(docs, least_sentences=2, least_words=20):
+    """Sentences that stay, by document: runs as tuples of words, looked up one after the other."""
+    runs = []
+    for doc, sentences in docs:
+        said = [tuple(x.lower().split()) for x in sentences]
+        for a in range(len(said)):
+            for forward in (True, False):
+                b = a
+                while 0 <= b < len(said):
+                    run = said[a : b + 1] if forward else said[b : a + 1]
+                    if len(run) >= least_sentences and sum(map(len, run)) >= least_words:
+                        runs.append((doc, min(a, b), max(a, b), sum(run, ())))
+                        break
+                    b += 1 if forward else -1
+    first, gone = {}, {doc: set() for doc, _ in docs}
+    for doc, a, b, words in sorted(runs, key=lambda r: (r[0], r[1], r[2])):
+        if first.setdefault(words, (doc, a, b)) != (doc, a, b):
+            gone[doc].update(range(a, b + 1))
+    return {doc: [x for k, x in enumerate(sentences) if k not in gone[doc]] for doc, sentences in docs}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_spans_against_brute_force(spark, parts):
+    rng = random.Random(12)
+    pool = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 15))) + rng.choice([". ", "! ", "?\n"]) for _ in range(60)]
+    docs = []
+    for doc in range(80):
+        sentences = [rng.choice(pool) for _ in range(rng.randrange(12))]
+        if doc % 4 == 3:
+            sentences = docs[rng.randrange(len(docs))][1] if rng.random() < 0.5 else sentences + docs[doc // 2][1][2:7]
+        docs.append((doc, sentences))
+    rows = [(doc, "".join(x), None, None) for doc, x in docs]
+    given = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    got = {r["doc_id"]: r for r in spans.remove_repeats(given).collect()}
+    for doc, left in brute_removal(docs).items():
+        assert got[doc]["text"] == "".join(left)
+        assert got[doc]["n_removed"] == len(docs[doc][1]) - len(left)
+
+
+def test_spans_of_repeated_windows(spark):
+    rng = random.Random(21)
+
+    def prose(n):
+        """Sentences of all lengths, some with clauses, some without any mark for long."""
+        out = []
+        while len(out) < n:
+            k = rng.choice([3, 8, 20, 40, 90])
+            out += [f"x{rng.randrange(10**9)}" + (rng.choice([",", ";", ""]) if rng.random() < 0.2 else "") for _ in range(k)]
+            out[-1] += rng.choice([".", "!", ".\n", "?"])
+        return out[:n]
+
+    passages = [prose(rng.randrange(55, 150)) for _ in range(25)]
+    docs = []
+    for doc in range(120):
+        words = prose(rng.randrange(10, 200))
+        if doc % 3:
+            at = rng.randrange(len(words) + 1)
+            words = words[:at] + rng.choice(passages) + words[at:]
+        docs.append((doc, words))
+    rows = [(doc, " ".join(w), None, None) for doc, w in docs]
+    got = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    seen: set = set()
+    for doc, words in docs:
+        windows = {tuple(words[k : k + 50]) for k in range(len(words) - 49)}
+        left = got[doc]["text"].split()
+        if windows & seen:
+            assert not {tuple(left[k : k + 50]) for k in range(len(left) - 49)} & seen and got[doc]["n_removed"]
+        else:
+            assert got[doc]["text"] == rows[doc][1] and got[doc]["n_removed"] == 0
+        seen |= windows
 
-    found = []
-    cut = {}
-    for r in docs.collect():
-        cut[r["doc_id"]] = s = spans.cut_sentences(r["text"])
-        assert "".join(s) == r["text"]
-        found += [(code, r["doc_id"], a, b) for a, b, code in spans.span_hashes(s, WordHashes(), 2, 20)]
-    first, gone = {}, {}
-    for code, doc, a, b in sorted(found, key=lambda x: x[1:]):
-        if code in first:
-            gone.setdefault(doc, set()).update(range(a, b + 1))
-        first.setdefault(code, (doc, a))
-    for r in spans.remove_repeats(docs).collect():
-        lost = gone.get(r["doc_id"], set())
-        assert r["n_removed"] == len(lost)
-        assert r["text"] == "".join(s for k, s in enumerate(cut[r["doc_id"]]) if k not in lost)
+
+def test_spans_in_linear_time():
+    import time
+
+    started = time.monotonic()
+    assert "".join(spans.pieces_of("x." * 1_000_000)[0]) == "x." * 1_000_000
+    assert time.monotonic() - started < 20
 
 
 def test_spans_cover_whole_passages(spark):
@@ -434,19 +495,6 @@ def test_url_lists_against_brute_force(spark):
 # 7 -------------------------------------------------------------------------------------------
 
 
-def check_packing(rows, capacity=2048):
-    by = {}
-    for r in rows:
-        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for places in by.values():
-        at = 0
-        for offset, length in sorted(places):
-            assert offset == at
-            at += length
-        assert at <= capacity
-    return len(by)
-
-
 def test_packing_of_documents(spark, small):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -6,14 +6,14 @@ import pytest
 import __spark_entry__ as spark_entry
 import corpus_pipeline
 from smudgeline.llm import queries
-from tests.llm.test_operators import check_packing
+from tests.llm.packing_rules import check_packing
 from tools.check import rows_of
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     df = queries.QUERIES[name](spark, small)
     result = con.execute(queries.SQL[name])
@@ -22,10 +22,10 @@ def test_query_against_sql(spark, small, name):
 
 def test_registered():
     names = spark_entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_toxicity", "op3_sentence_spans", "op4_source_mix", "op9_secret_scan"])
+@pytest.mark.parametrize("name", ["op1_toxicity", "op3_sentence_spans", "op4_source_mix", "op9_secret_scan", "op12_byte_bpe"])
 def test_one_row_per_document(spark, small, name):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = queries.QUERIES[name](spark, small)

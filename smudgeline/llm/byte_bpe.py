@@ -11,17 +11,20 @@ as a whole. Decoding reverses the byte table; a character that is split over tok
 from __future__ import annotations
 
 import codecs
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import public_vocabulary
 
 #: characters of text worked on at once, pieces a worker keeps, the longest piece kept
-LOT, KEPT, KEPT_LENGTH = 1 << 20, 500_000, 64
+LOT, KEPT, KEPT_LENGTH = 1 << 19, 400_000, 64
 
 
 def public_pattern() -> str:
@@ -44,22 +47,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def spelt(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Tokens in the characters of their bytes, by rank."""
+    letters = dict(enumerate(byte_characters()))
+    return {t.decode("latin-1").translate(letters): r for t, r in sorted(ranks.items(), key=lambda x: x[1])}
+
+
 def libraries(ranks: dict[bytes, int], pattern: str):
     """Two tokenizers of one model: for whole texts, which it cuts itself, and for pieces."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    letters = byte_characters()
-
-    def spelt(token: bytes) -> str:
-        return "".join(letters[b] for b in token)
-
+    vocabulary = spelt(ranks)
     merges = [
-        (spelt(token[:k]), spelt(token[k:]))
-        for token in sorted(ranks, key=ranks.get)
+        (token[:k], token[k:])
+        for token in vocabulary
         for k in range(1, len(token))
-        if token[:k] in ranks and token[k:] in ranks
+        if token[:k] in vocabulary and token[k:] in vocabulary
     ]
-    model = models.BPE(vocab={spelt(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
+    model = models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True)
     to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     cut = pre_tokenizers.Split(Regex(pattern), "isolated")
     whole, piece = Tokenizer(model), Tokenizer(model)
@@ -68,6 +73,14 @@ def libraries(ranks: dict[bytes, int], pattern: str):
     return whole, piece, cut
 
 
+def packed(numbers: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    out = array("I", numbers)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Ids and offsets of texts; offsets are code points, and a part of a character spans all of it."""
 
@@ -82,7 +95,7 @@ class Encoder:
         self.agreed: set[str] = set()
 
     def row(self, encoding) -> tuple[bytes, ...]:
-        ids = np.array(encoding.ids, "<u4").tobytes()
+        ids = packed(encoding.ids)
         if not self.offsets:
             return (ids,)
         places = np.array(encoding.offsets, "<u4").reshape(-1, 2)
@@ -117,7 +130,8 @@ class Encoder:
                 column.clear()
         fresh = list(set().union(*cut) - self.known[0].keys())
         odd = self.doubtful(fresh)
-        rows = map(self.row, self.piece.encode_batch(fresh, add_special_tokens=False))
+        batch = self.piece.encode_batch if self.offsets else self.piece.encode_batch_fast
+        rows = map(self.row, batch(fresh, add_special_tokens=False))
         for column, values in zip(self.known, zip(*rows, strict=True), strict=False):
             column.update(zip(fresh, values, strict=True))
         out = [
@@ -127,10 +141,10 @@ class Encoder:
             for text, pieces in zip(texts, cut, strict=True)
         ]
         # a piece with a doubtful character is looked at anew each time it comes
-        for piece in fresh:
-            if len(piece) > KEPT_LENGTH or (odd and not odd.isdisjoint(piece)):
-                for column in self.known:
-                    del column[piece]
+        gone = [p for p in fresh if len(p) > KEPT_LENGTH or (odd and not p.isascii() and not odd.isdisjoint(p))]
+        for column in self.known:
+            for piece in gone:
+                del column[piece]
         return out
 
 
@@ -138,12 +152,11 @@ class Decoder:
     """Bytes and characters of ids: the byte table read backwards."""
 
     def __init__(self, path: str):
-        whole, _, _ = libraries(read_ranks(path), ".")
-        back = {c: b for b, c in enumerate(byte_characters())}
-        spelt = whole.get_vocab(with_added_tokens=False)
-        self.tokens: list[bytes | None] = [None] * (max(spelt.values(), default=-1) + 1)
-        for token, at in spelt.items():
-            self.tokens[at] = bytes(back[c] for c in token)
+        back = {ord(c): b for b, c in enumerate(byte_characters())}
+        vocabulary = spelt(read_ranks(path))
+        self.tokens: list[bytes | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
+        for token, at in vocabulary.items():
+            self.tokens[at] = token.translate(back).encode("latin-1")
 
     def data(self, ids: Iterable[int]) -> bytes | None:
         """Bytes of ids; None where an id is not in the vocabulary."""
@@ -164,37 +177,46 @@ class Decoder:
         return out
 
 
-def lots(texts: list[str], size: int = LOT) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of about ``size`` characters each."""
-    first = held = 0
-    for at, text in enumerate(texts):
-        held += len(text)
+def lots(lengths: Iterable[int], size: int = LOT) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``size`` bytes each."""
+    first = held = at = 0
+    for at, length in enumerate(lengths, 1):
+        held += length
         if held >= size:
-            yield first, at + 1
-            first, held = at + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+            yield first, at
+            first, held = at, 0
+    if first < at:
+        yield first, at
 
 
 def encode_documents(
-    documents: DataFrame, offsets: bool = False, vocabulary: str | None = None, pattern: str | None = None
+    documents: DataFrame,
+    offsets: bool = False,
+    decoded: bool = False,
+    vocabulary: str | None = None,
+    pattern: str | None = None,
 ) -> DataFrame:
-    """``(doc_id, ids)`` of every row, with ``offsets`` also ``starts`` and ``ends``, as packed numbers.
+    """``(doc_id, ids)`` of every row; with ``offsets`` also ``starts`` and ``ends``, as packed numbers.
 
     Packed numbers are little-endian unsigned 32-bit ones in a binary; :func:`unpacked` makes an array
-    of them. A null or empty text has no ids. Rows that repeat come once each, with a null doc_id too;
+    of them. With ``decoded`` the ids are turned back in the same pass, into ``data``, as :func:`decode_documents`
+    does for stored ids. A null or empty text has no ids. Rows that repeat come once each, with a null doc_id too;
     other columns are not read. The vocabulary is opened where the tasks run, so its path must be known there.
     """
     path, cut_by = vocabulary or public_vocabulary(), pattern or public_pattern()
-    names = ["ids", "starts", "ends"] if offsets else ["ids"]
+    names = ["ids", *(["starts", "ends"] if offsets else []), *(["data"] if decoded else [])]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, cut_by, offsets)
+        decoder = Decoder(path) if decoded else None
         for batch in batches:
-            given = [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in lots(given):
-                columns = zip(*encoder.encode(given[first:last]), strict=True)
+            column = batch.column(1)
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+            for first, last in lots(lengths):
+                columns = list(zip(*encoder.encode([t or "" for t in column[first:last].to_pylist()]), strict=True))
+                if decoder:
+                    columns.append([decoder.data(np.frombuffer(ids, "<u4").tolist()) for ids in columns[0]])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[first:last], *(pa.array(c, pa.binary()) for c in columns)], schema=schema
                 )

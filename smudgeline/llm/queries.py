@@ -148,8 +148,7 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text and of the bytes they decode to."""
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
-    return byte_bpe.decode_documents(encoded).select(
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("data", 256).alias("decoded_sha256"),
     )

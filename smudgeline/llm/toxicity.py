@@ -89,6 +89,10 @@ def speaking(telling: np.ndarray, sentence, feature, n: int) -> np.ndarray:
     return np.bincount(sentence, telling[feature], n) > 0
 
 
+#: tasks that read a sample of bounded size
+MERGED = 16
+
+
 def training_sample(documents: DataFrame, labels: DataFrame, rows: int | None) -> DataFrame:
     """``(text, toxic)`` of labelled documents; with ``rows``, those with the smallest id hashes.
 
@@ -144,13 +148,14 @@ def fit(
             out["n"].append(len(docs))
         return out
 
+    # as many tasks as the documents have; the files they leave are merged as they are read
     sample = training_sample(documents, labels, rows)
     train = stored(
-        sample.mapInArrow(
-            in_batches(bags, schema), "toxic double, sentence array<int>, feature array<int>, n int"
-        ).coalesce(16),
+        sample.mapInArrow(in_batches(bags, schema), "toxic double, sentence array<int>, feature array<int>, n int"),
         "toxicity-bags",
     )
+    if rows is not None:
+        train = train.coalesce(MERGED)
     count, positives = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     model = SentenceModel(np.zeros(dims), bias)
     if not 0 < positives < count:

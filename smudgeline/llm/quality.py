@@ -150,8 +150,20 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, Reference
     place = Window.partitionBy("lang", "_class").orderBy(F.desc("n"), "word")
     kept = counts.withColumn("_class", is_class)
     sums = kept.groupBy("lang", "_class").agg(F.sum("n").alias("total"))
+    # marks with too few documents or words never reach the driver, however many marks there are
+    spoken_mark = F.col("word") == F.lit(b"\n%d" % CLASSES)
+    large_enough = (
+        kept.groupBy("lang")
+        .agg(
+            F.max(F.when(spoken_mark, F.col("n"))).alias("documents"),
+            F.sum(F.when(~F.col("_class"), F.col("n"))).alias("words"),
+        )
+        .filter((F.col("documents") >= rules.min_reference_documents) & (F.col("words") >= rules.min_reference_words))
+        .select("lang")
+    )
     top = (
-        kept.withColumn("_at", F.row_number().over(place))
+        kept.join(large_enough, "lang", "left_semi")
+        .withColumn("_at", F.row_number().over(place))
         .filter(F.col("_at") <= F.lit(max(rules.common_words, CLASSES + 1)))
         .drop("_at")
         .join(sums, ["lang", "_class"])

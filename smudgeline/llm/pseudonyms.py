@@ -1,8 +1,9 @@
 """Personal data as format-preserving pseudonyms: keyed Feistel permutations, in Spark expressions.
 
 Payment cards (13 to 19 digits, check digit right, also beside other groups of digits), telephone
-numbers (North American, and any with + and a country code), social security numbers, IPv4 addresses and dates that exist are permuted within their format, so a
-pseudonym is valid again, equal values stay equal in all documents, and no two values meet. Names
+numbers (North American, and any with + and a country code), social security numbers, IPv4 addresses and
+dates that exist are permuted within their format: a real value becomes a real one (cards keep their issuer
+and get their check digit), equal values stay equal in all documents, and no two values meet. Names
 in e-mail addresses have no fixed format; they become a keyed code, with the domain kept.
 """
 
@@ -15,7 +16,8 @@ ROUNDS = 8
 #: dates of 270 x 270 days from this one on are permuted among themselves
 DATE_START, DATE_SIDE = "1900-01-01", 270
 
-EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: tried where a run of name characters begins, or where the last find ended, so long runs are read once
+EMAIL = r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 DATE = (
     r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}(?=[Tt_]\d{2})"
     r"|(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|[./]\w))"
@@ -55,12 +57,14 @@ def keyed(key: str, tweak: str, *parts: Column) -> Column:
     return F.conv(F.substring(code, 1, 15), 16, 10).cast("long")
 
 
-def feistel(value: Column, left: int | Column, right: int | Column, key: str, tweak: str) -> Column:
+def feistel(
+    value: Column, left: int | Column, right: int | Column, key: str, tweak: str, *parts: Column
+) -> Column:
     """A keyed permutation of the numbers below ``left * right``.
 
     The value is a pair of digits in bases ``left`` and ``right``; each round adds a keyed hash
     of one digit to the other, which can be taken off again, so no two values meet. Even rounds
-    move the left digit and odd ones the right.
+    move the left digit and odd ones the right. ``parts`` go into the hash.
     """
     left, right = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (left, right))
     start = F.struct(((value - value % right) / right).cast("long").alias("a"), (value % right).alias("b"))
@@ -69,8 +73,8 @@ def feistel(value: Column, left: int | Column, right: int | Column, key: str, tw
         a, b = at["a"], at["b"]
         return F.when(
             r % 2 == 0,
-            F.struct(((a + keyed(key, tweak, r, b)) % left).alias("a"), b.alias("b")),
-        ).otherwise(F.struct(a.alias("a"), ((b + keyed(key, tweak, r, a)) % right).alias("b")))
+            F.struct(((a + keyed(key, tweak, r, b, *parts)) % left).alias("a"), b.alias("b")),
+        ).otherwise(F.struct(a.alias("a"), ((b + keyed(key, tweak, r, a, *parts)) % right).alias("b")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda at: at["a"] * right + at["b"])
 
@@ -113,11 +117,46 @@ def power_of_ten(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), "0").cast("long")
 
 
-def permute_digits(digits: Column, key: str, tweak: str) -> Column:
-    """A permutation of digit strings of one length, up to 18 digits."""
+def permute_digits(digits: Column, key: str, tweak: str, *parts: Column) -> Column:
+    """A permutation of digit strings of one length, up to 18 digits; another one for other ``parts``."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
-    return padded(feistel(digits.cast("long"), power_of_ten(n - half), power_of_ten(half), key, tweak), n)
+    return padded(feistel(digits.cast("long"), power_of_ten(n - half), power_of_ten(half), key, tweak, *parts), n)
+
+
+def permute_north_american(digits: Column, key: str) -> Column:
+    """A permutation of ten digits under which real numbers stay real.
+
+    Area code and exchange begin with 2 to 9: 800 x 800 x 10,000 numbers, moved among themselves; the
+    others, 200 x 1,000 x 10,000 by area code and 800 x 200 x 10,000 by exchange, likewise.
+    """
+    area, exchange, line = (F.substring(digits, at, n).cast("long") for at, n in ((1, 3), (4, 3), (7, 4)))
+
+    def joined(area: Column, exchange: Column, line: Column) -> Column:
+        return F.concat(padded(area, 3), padded(exchange, 3), padded(line, 4))
+
+    def parts(n: Column, exchanges: int) -> tuple[Column, Column, Column]:
+        line = n % 10_000
+        rest = (n - line) / 10_000
+        return F.floor(rest / exchanges), rest.cast("long") % exchanges, line
+
+    def real(n: Column) -> Column:
+        a, e, k = parts(n, 800)
+        return joined(a + 200, e + 200, k)
+
+    def unreal(n: Column) -> Column:
+        by_area, by_exchange = parts(n, 1000), parts(n - 2_000_000_000, 200)
+        return F.when(n < 2_000_000_000, joined(*by_area)).otherwise(
+            joined(by_exchange[0] + 200, by_exchange[1], by_exchange[2])
+        )
+
+    index = ((area - 200) * 800 + exchange - 200) * 10_000 + line
+    other = F.when(area < 200, (area * 1000 + exchange) * 10_000 + line).otherwise(
+        2_000_000_000 + ((area - 200) * 200 + exchange) * 10_000 + line
+    )
+    return F.when(
+        (area >= 200) & (exchange >= 200), let(feistel(index, 80_000, 80_000, key, "phone"), real)
+    ).otherwise(let(feistel(other, 60_000, 60_000, key, "phone"), unreal))
 
 
 def is_card(written: Column) -> Column:
@@ -130,10 +169,14 @@ def is_card(written: Column) -> Column:
 
 
 def new_card(written: Column, key: str) -> Column:
+    """The issuer's first six digits stay, the account is permuted and the check digit made anew."""
+
     def of(digits: Column) -> Column:
-        payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        new = let(permute_digits(payload, key, "card"), lambda n: F.concat(n, check_digit(n)))
-        return into_places(written, new)
+        issuer = F.substring(digits, 1, 6)
+        account = F.substring(digits, F.lit(7), F.length(digits) - 7)
+        # the issuer is part of the key: equal accounts of two issuers do not show as equal
+        new = let(permute_digits(account, key, "card", issuer), lambda n: F.concat(issuer, n))
+        return into_places(written, let(new, lambda n: F.concat(n, check_digit(n))))
 
     return let(digits_of(written), of)
 
@@ -187,26 +230,30 @@ def phone(found: Column, key: str) -> Column:
         size = F.when(found.startswith("+"), by_plan).otherwise(F.length(digits) - 10)
         code = F.substring(digits, F.lit(1), size)
         rest = F.substring(digits, size + 1, F.length(digits))
-        return into_places(trunk, F.concat(code, permute_digits(rest, key, "phone")))
+        american = (F.length(rest) == 10) & code.isin("", "1")
+        new = F.when(american, permute_north_american(rest, key)).otherwise(permute_digits(rest, key, "phone"))
+        return into_places(trunk, F.concat(code, new))
 
     return F.replace(let(digits_of(trunk), of), F.lit("\u0001"), F.lit("0"))
 
 
 def ssn(found: Column, key: str) -> Column:
+    """Numbers that can be given out are moved among themselves; all others stay."""
     digits = digits_of(found)
-    area = F.substring(digits, 1, 3)
-    valid = ~area.isin("000", "666") & ~area.startswith("9")
-    # areas 000, 666 and 9xx do not exist: the others are 898, and with groups and serials
-    # (899 - 1) x 999999 numbers that are permuted among themselves
-    at = area.cast("int") - F.when(area.cast("int") > 666, 2).otherwise(1)
-    number = at.cast("long") * 1_000_000 + F.substring(digits, 4, 6).cast("long")
+    area, group, serial = (F.substring(digits, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    # areas 000, 666 and 9xx do not exist, nor do group 00 and serial 0000
+    at = area - F.when(area > 666, 2).otherwise(1)
+    number = (at * 99 + group - 1) * 9_999 + serial - 1
 
     def written(new: Column) -> Column:
-        index = ((new - new % 1_000_000) / 1_000_000).cast("int")
+        last = new % 9_999
+        rest = ((new - last) / 9_999).cast("long")
+        index = F.floor(rest / 99)
         back = index + F.when(index >= 665, 2).otherwise(1)
-        return F.concat(padded(back, 3), padded(new % 1_000_000, 6))
+        return F.concat(padded(back, 3), padded(rest % 99 + 1, 2), padded(last + 1, 4))
 
-    new = let(feistel(number, 898, 1_000_000, key, "ssn"), written)
+    new = let(feistel(number, 898, 99 * 9_999, key, "ssn"), written)
     return F.when(valid, into_places(found, new)).otherwise(found)
 
 

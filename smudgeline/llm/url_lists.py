@@ -107,8 +107,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
         .agg(F.max_by("entry", F.length("entry")).alias("entry"))
         .select(F.col("host").alias("_host"), "_at", "entry")
     )
-    return (
-        given.join(hits, (given["host"] == hits["_host"]) & (given["fetched_at"] == hits["_at"]), "left")
-        .drop("_host", "_at")
-        .withColumn("blocked", F.col("entry").isNotNull())
+    found = given.alias("given").join(
+        hits.alias("hits"),
+        (F.col("given.host") == F.col("hits._host")) & (F.col("given.fetched_at") == F.col("hits._at")),
+        "left",
     )
+    return found.select("given.*", "hits.entry").withColumn("blocked", F.col("entry").isNotNull())

@@ -22,6 +22,8 @@ from ..session import stored
 #: vectors of a block, queries of a chunk, block summaries that a task compares at once
 BLOCK, CHUNK, SUMMARIES = 1024, 512, 256
 PIVOTS = 64
+#: copies of the summaries that chunks of queries are dealt over
+SALTS = 8
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
@@ -178,11 +180,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     # summaries of many blocks in one row, for one comparison of matrices
     groups = max(1, -(-blocks.count() // SUMMARIES))
     summaries = (
-        blocks.select("dims", F.struct("block", "hi", "lo").alias("s"), F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"))
+        blocks.select("dims", F.struct("block", "hi", "lo").alias("s"), F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"))
         .groupBy("dims", "group")
         .agg(F.collect_list("s").alias("summaries"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    # every chunk meets every group, each at a place of its own
+    meeting = (
+        query_chunks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        .withColumn("salt", (F.col("chunk") % SALTS).cast("int"))
+        .join(summaries, ["dims", "group", "salt"])
+        .drop("group", "salt")
     )
-    meeting = query_chunks.join(summaries, "dims")
 
     pair_schema = "block string, dims int, query_ids binary, query_data binary"
 

@@ -183,6 +183,17 @@ def test_quality_junk_makes_no_reference(spark):
 # 3 -------------------------------------------------------------------------------------------
 
 
+def test_quality_of_many_marks(spark):
+    """Marks of one document each make no reference, and their counts stay where they are."""
+    rng = random.Random(1)
+    said = " ".join(f"word{rng.randrange(300)}" for _ in range(200))
+    docs = [(k, said, f"mark{k}", "a") for k in range(3000)] + [(5000 + k, said, "en", "a") for k in range(30)]
+    given = spark.createDataFrame([(d, t, lang, s) for d, t, lang, s in docs], SCHEMA)
+    rules = quality.QualityRules()
+    assert set(quality.references(given, rules)) == {"en"}
+    assert quality.references(given.filter("lang != 'en'"), rules) == {}
+
+
 def test_spans_keep_the_first(spark):
     passage = "The quick brown fox jumps over a very lazy dog here. It then sleeps for nine long hours under the old tree."
     docs = [(1, f"Some start of one. {passage} Its own end follows.", "en", "s"),
@@ -424,13 +435,13 @@ def test_pseudonyms_of_more_forms(spark):
     assert changed(spark, kept) == kept
 
 
-def feistel_twin(value, left, right, key, tweak):
+def feistel_twin(value, left, right, key, tweak, *parts):
     import hashlib
 
     a, b = divmod(value, right)
     for r in range(pseudonyms.ROUNDS):
         half = b if r % 2 == 0 else a
-        h = int(hashlib.sha256(f"{key}|{tweak}|{r}|{half}".encode()).hexdigest()[:15], 16)
+        h = int(hashlib.sha256("|".join([key, tweak, str(r), str(half), *parts]).encode()).hexdigest()[:15], 16)
         if r % 2 == 0:
             a = (a + h) % left
         else:
@@ -448,8 +459,48 @@ def test_feistel_against_python_and_bijective(spark):
     moved = start + datetime.timedelta(feistel_twin((day - start).days, 270, 270, "k", "date"))
     assert changed(spark, [f"on {day}"]) == [f"on {moved}"]
     card = "4111111111111111"
-    payload = feistel_twin(int(card[:15]), 10**8, 10**7, "k", "card")
-    assert changed(spark, [card])[0][:15] == f"{payload:015d}"
+    account = feistel_twin(int(card[6:15]), 10**5, 10**4, "k", "card", card[:6])
+    assert changed(spark, [card])[0][:15] == f"{card[:6]}{account:09d}"
+
+
+def test_pseudonyms_are_real_numbers(spark):
+    rng = random.Random(9)
+    phones = [f"{rng.randrange(200, 1000)}-{rng.randrange(200, 1000)}-{rng.randrange(10000):04d}" for _ in range(300)]
+    phones += [f"+1 ({rng.randrange(200, 1000)}) {rng.randrange(200, 1000)}-{rng.randrange(10000):04d}" for _ in range(100)]
+    unreal = [f"{rng.randrange(200):03d}-{rng.randrange(1000):03d}-{rng.randrange(10000):04d}" for _ in range(100)]
+    unreal += [f"{rng.randrange(200, 1000)}-{rng.randrange(200):03d}-{rng.randrange(10000):04d}" for _ in range(100)]
+    numbers = [f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(300)]
+    cards = []
+    for issuer, size in (("411111", 16), ("340000", 15), ("601100", 16), ("222100", 16)) * 30:
+        payload = issuer + "".join(str(rng.randrange(10)) for _ in range(size - 7))
+        cards.append(payload + next(d for d in "0123456789" if luhn(payload + d)))
+    given = phones + unreal + numbers + cards
+    new = dict(zip(given, changed(spark, given), strict=True))
+    for p in [*phones, *unreal]:
+        digits = re.sub(r"\D", "", new[p])[-10:]
+        assert re.sub(r"\d", "9", new[p]) == re.sub(r"\d", "9", p)
+        assert (digits[0] >= "2" and digits[3] >= "2") == (p in phones)
+    for n in numbers:
+        area, group, serial = new[n].split("-")
+        assert area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+    assert all(new[c][:6] == c[:6] and luhn(new[c]) for c in cards)
+    assert len(set(new.values())) == len(set(given))
+    assert sum(a == b for a, b in new.items()) <= 1
+    kept = ["123-00-4567", "123-45-0000", "666-12-3456"]
+    assert changed(spark, kept) == kept
+
+
+def test_pseudonyms_of_long_unbroken_texts(spark):
+    import time
+
+    started = time.monotonic()
+    texts = ["x@y " + "a" * 1_000_000, "me@mail.example.org " + "b" * 1_000_000, " ".join("17" for _ in range(20_000)),
+             "+" * 100_000 + "1" * 100_000, "a.b@c.de_x@y.com"]
+    new = changed(spark, texts)
+    assert time.monotonic() - started < 60
+    assert new[0] == texts[0] and new[1].endswith("b" * 1_000_000) and "me@" not in new[1]
+    assert new[2] == texts[2] and new[3] == texts[3]
+    assert "x@y.com" not in new[4] and "a.b@" not in new[4]
 
 
 def test_pseudonyms_odd_rows(odd, empty):
@@ -495,6 +546,21 @@ def test_url_lists_against_brute_force(spark):
 # 7 -------------------------------------------------------------------------------------------
 
 
+def test_url_lists_keep_clashing_columns(spark):
+    captures = spark.createDataFrame(
+        [(1, "http://a.example/x", datetime.datetime(2024, 1, 5), "h", "t", "e"), (2, None, None, None, None, None)],
+        "page_id long, url string, fetched_at timestamp, _host string, _at string, starts string",
+    )
+    entries = spark.createDataFrame(
+        [("example", datetime.datetime(2024, 1, 1), "add")], "entry string, at timestamp, action string"
+    )
+    found = url_lists.filter_captures(captures, entries)
+    assert set(captures.columns) <= set(found.columns)
+    rows = {r["page_id"]: r for r in found.collect()}
+    assert (rows[1]["_host"], rows[1]["_at"], rows[1]["starts"], rows[1]["blocked"]) == ("h", "t", "e", True)
+    assert rows[2]["blocked"] is False and rows[2]["_host"] is None
+
+
 def test_packing_of_documents(spark, small):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -579,6 +645,8 @@ def test_top_k_against_brute_force(spark):
              (1050, [1.0, 2.0]), (1051, [2.0, 2.0]), (None, [1.0] * 6), (1100, []), (3, rows[3][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     vectors = df.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("data"))
+    for name in ("score", "block", "group", "salt", "dims", "rank", "query_id"):
+        vectors = vectors.withColumn(name, F.lit("x"))
     got = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5, block=40, chunk=4).collect()
     whole = np.floor(256 * data.astype(np.float32).astype(float)).astype(int)
     want = []

@@ -4,11 +4,18 @@ Every query meets the catalog in blocks: the two sides are brought together by a
 on (cell, catalog chunk, query chunk), one matrix product per pair of chunks, and only the
 best k of each pair leave the task. A catalog larger than one cell is cut around pivots; a
 query then visits only cells that can still hold one of its k nearest (triangle inequality
-and the plane between two pivots), which keeps the answer exact.
+and the plane between two pivots), nearest first and in rounds, which keeps the answer exact.
+
+Within a block most pairs are ruled out before their cosine is worked out exactly: a product of
+short coordinates (the leading principal directions and, as one more, the length of what is left of
+each vector) is never less than the cosine, and only pairs where it reaches the k-th best so far are
+scored. The k-th best is known from the pairs that look best, and rises from tile to tile and round to
+round.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -29,7 +36,19 @@ DIGITS = 9
 #: what rounding may add to a distance
 SLACK = 1e-6
 
-_TILE = 1024
+#: rows the principal directions are taken from, and the share of their squares these hold
+SAMPLE, HELD = 4096, 0.95
+#: vectors of up to so many components are short coordinates themselves
+SHORT = 256
+#: what single precision may take off a cosine
+COARSE = 1e-5
+#: cells a query visits in each round after its own, before all that are left
+ROUNDS = (8,)
+
+_TILE, _LINES = 1024, 2048
+_PAIRS = 1 << 15
+
+log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -53,22 +72,63 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k best of each row, ties to the lower column."""
-    n = sims.shape[1]
-    if n > k:
-        worst = np.partition(sims, n - k, axis=1)[:, n - k]
-        rows, cols = np.nonzero(sims >= worst[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones(sims.shape, bool))
-    order = np.lexsort((cols, -sims[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(sims.shape[0]))
-    keep = np.arange(len(rows)) - starts[rows] < k
-    return rows[keep], cols[keep]
+def _short(vectors: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    """Coordinates whose products are, but for rounding, at least the cosines of unit vectors."""
+    if axes is None:
+        return vectors.astype(np.float32)
+    along = vectors @ axes
+    left = np.sqrt(np.maximum(np.sum(vectors * vectors, axis=1) - np.sum(along * along, axis=1), 0))
+    return np.column_stack([along, left]).astype(np.float32)
+
 
+def _cosines(queries: np.ndarray, lines: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Exact cosines of pairs of unit vectors, to nine digits."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), _PAIRS):
+        part = slice(at, at + _PAIRS)
+        out[part] = np.einsum("ij,ij->i", queries[rows[part]], lines[cols[part]])
+    return np.round(out, DIGITS)
 
-def _block_top_k(k: int, carry: tuple[str, ...]):
+
+def _first(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, k: int):
+    """The k best pairs of each row, ties to the lower column."""
+    order = np.lexsort((cols, -sims, rows))
+    rows, cols, sims = rows[order], cols[order], sims[order]
+    starts = np.searchsorted(rows, np.arange(int(rows.max()) + 1 if len(rows) else 0))
+    keep = np.arange(len(rows)) - starts[rows] < k
+    return rows[keep], cols[keep], sims[keep]
+
+
+def top_pairs(
+    queries: np.ndarray, lines: np.ndarray, k: int, axes: np.ndarray | None, floor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows, columns and cosines of the k best lines of each query at ``floor`` or above, and pairs scored."""
+    short_queries, short_lines = _short(queries, axes), _short(lines, axes)
+    found, scored = [], 0
+    for q in range(0, len(queries), _TILE):
+        tile, kth = queries[q : q + _TILE], floor[q : q + _TILE].copy()
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for c in range(0, len(lines), _LINES):
+            near = short_queries[q : q + _TILE] @ short_lines[c : c + _LINES].T
+            if c == 0 and near.shape[1] > k:
+                # the pairs that look best tell how good the k-th is at least
+                likely = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
+                sims = _cosines(tile, lines, np.repeat(np.arange(len(tile)), k), likely.ravel())
+                kth = np.maximum(kth, sims.reshape(-1, k).min(axis=1))
+            rows, cols = np.nonzero(near >= (kth - COARSE).astype(np.float32)[:, None])
+            scored += len(rows)
+            sims = _cosines(tile, lines[c : c + _LINES], rows, cols)
+            good = sims >= kth[rows]
+            new = (rows[good], cols[good] + c, sims[good])
+            held = _first(*(np.concatenate(x) for x in zip(held, new, strict=True)), k)
+            counts = np.bincount(held[0], minlength=len(tile))
+            full = np.flatnonzero(counts >= k)
+            kth[full] = np.maximum(kth[full], held[2][np.cumsum(counts)[full] - 1])
+        found.append((held[0] + q, held[1], held[2]))
+    return (*(np.concatenate(x) for x in zip(*found, strict=True)), scored)
+
+
+def _block_top_k(k: int, carry: tuple[str, ...], axes: np.ndarray | None):
     """Best k of one catalog chunk for each query of one query chunk."""
 
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -76,22 +136,8 @@ def _block_top_k(k: int, carry: tuple[str, ...]):
             return result(left, right, np.array([], int), np.array([], int), np.array([]))
         right = right.sort_by("near_id")
         queries, lines = _unit(_matrix(left["vec"]), True), _unit(_matrix(right["vec"]), False)
-        found = []
-        for q in range(0, len(queries), _TILE):
-            parts = []
-            for c in range(0, len(lines), 8 * _TILE):
-                sims = np.round(queries[q : q + _TILE] @ lines[c : c + 8 * _TILE].T, DIGITS)
-                rows, cols = _best(sims, k)
-                parts.append((rows, cols + c, sims[rows, cols]))
-            rows, cols, sims = (np.concatenate(p) for p in zip(*parts))
-            if len(parts) > 1:
-                order = np.lexsort((cols, -sims, rows))
-                rows, cols, sims = rows[order], cols[order], sims[order]
-                starts = np.searchsorted(rows, np.arange(rows.max() + 1))
-                keep = np.arange(len(rows)) - starts[rows] < k
-                rows, cols, sims = rows[keep], cols[keep], sims[keep]
-            found.append((rows + q, cols, sims))
-        rows, cols, sims = (np.concatenate(p) for p in zip(*found))
+        floor = left["floor"].to_numpy().astype(float)
+        rows, cols, sims, _ = top_pairs(queries, lines, k, axes, floor)
         return result(left, right, rows, cols, sims)
 
     def result(left, right, rows, cols, sims) -> pa.Table:
@@ -113,10 +159,11 @@ def _meet(
     chunks: list[int],
     query_chunks: list[int],
     carry: tuple[str, ...],
+    axes: np.ndarray | None = None,
 ) -> DataFrame:
     """Bring queries and catalog together per cell and keep the best k of each meeting.
 
-    Both sides carry ``cell``; ``chunks[cell]`` catalog chunks and ``query_chunks[cell]``
+    Both sides carry ``cell``, queries also ``floor``, the cosine a line must reach; ``chunks[cell]`` catalog chunks and ``query_chunks[cell]``
     query chunks bound what one task holds, however full a cell is. A cell no query visits
     has no query chunks, and its lines go nowhere.
     """
@@ -125,6 +172,7 @@ def _meet(
     left = queries.select(
         "query_id",
         "vec",
+        "floor",
         "cell",
         F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"),
         F.pmod(F.xxhash64("query_id"), m).cast("int").alias("query_chunk"),
@@ -142,7 +190,7 @@ def _meet(
         left.groupBy(keys)
         .cogroup(right.groupBy(keys))
         .applyInArrow(
-            _block_top_k(k, carry),
+            _block_top_k(k, carry, axes),
             ", ".join(f"{n} {types[n]}" for n in ("query_id", "near_id", *carry))
             + ", cosine double",
         )
@@ -176,9 +224,13 @@ def _assign(df: DataFrame, pivots: np.ndarray, is_query: bool) -> DataFrame:
 
 
 def _open_cells(
-    queries: DataFrame, pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray
+    queries: DataFrame, pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray, seen: int, step: int | None
 ) -> DataFrame:
-    """One row per query and further cell that may hold a line nearer than ``bound``."""
+    """One row per query and cell of its next ``step`` nearest that may hold a line above ``floor``.
+
+    A query's cells come in order of the least distance a line of theirs can have; ``seen`` of them
+    have been visited, its own not counted.
+    """
     between = _distances(pivots, pivots)
     kind = queries.schema["query_id"].dataType.simpleString()
 
@@ -188,25 +240,42 @@ def _open_cells(
                 continue
             far = _distances(_unit(_matrix(batch.column("vec")), True), pivots)
             home = batch.column("cell").to_numpy(zero_copy_only=False)
-            bound = batch.column("bound").to_numpy(zero_copy_only=False)
+            floor = batch.column("floor").to_numpy(zero_copy_only=False)
+            bound = np.sqrt(np.maximum(2 - 2 * floor, 0))
             ring = np.maximum(far - outer[None, :], inner[None, :] - far)
             own = far[np.arange(len(far)), home]
             apart = np.maximum(between[home], 1e-12)
             plane = (far**2 - own[:, None] ** 2) / (2 * apart)
             least = np.maximum(np.maximum(ring, plane), 0)
-            is_open = (least <= bound[:, None] + SLACK) & np.isfinite(outer)[None, :]
-            is_open[np.arange(len(far)), home] = False
-            rows, cells = np.nonzero(is_open)
+            least[:, ~np.isfinite(outer)] = np.inf
+            least[np.arange(len(far)), home] = -1  # visited first, with or without lines
+            order = np.argsort(least, axis=1, kind="stable")[:, 1 + seen :][:, :step]
+            rows = np.repeat(np.arange(len(far)), order.shape[1])
+            cells = order.ravel()
+            is_open = (least[rows, cells] <= bound[rows] + SLACK) & np.isfinite(outer)[cells]
+            rows, cells = rows[is_open], cells[is_open]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("query_id").take(pa.array(rows)),
                     batch.column("vec").take(pa.array(rows)),
+                    pa.array(floor[rows]),
                     pa.array(cells.astype(np.int32)),
                 ],
-                ["query_id", "vec", "cell"],
+                ["query_id", "vec", "floor", "cell"],
             )
 
-    return queries.mapInArrow(visit, f"query_id {kind}, vec array<float>, cell int")
+    return queries.mapInArrow(visit, f"query_id {kind}, vec array<float>, floor double, cell int")
+
+
+def _axes(lines: DataFrame, dims: int) -> np.ndarray | None:
+    """Leading principal directions of a bounded sample; None where vectors are short enough."""
+    if dims <= SHORT:
+        return None
+    drawn = lines.orderBy(draws.base(7, F.col("near_id")), "near_id").limit(SAMPLE).select("vec").collect()
+    sample = _unit(np.array([r["vec"] for r in drawn], dtype=float).reshape(len(drawn), -1), False)
+    held, axes = np.linalg.eigh(sample.T @ sample)
+    share = np.cumsum(held[::-1]) / max(held.sum(), 1e-12)
+    return axes[:, ::-1][:, : int(np.searchsorted(share, HELD)) + 1].copy()
 
 
 def nearest(
@@ -220,16 +289,20 @@ def nearest(
     cell_rows: int | None = None,
     max_pivots: int = MAX_PIVOTS,
     carry: tuple[str, ...] = (),
+    visits: list[dict] | None = None,
 ) -> DataFrame:
     """``(query_id, near_id, cosine, place)``: the k catalog vectors nearest to each query.
 
     Catalog columns named in ``carry`` come along, which saves joining them back.
 
     ``k`` is held between 1 and the size of the catalog. Cosines are rounded to nine digits;
-    ties go to the lower id. Zero vectors have cosine 0 with everything.
+    ties go to the lower id. Zero vectors have cosine 0 with everything. ``visits`` takes a row for each
+    round of a search by cells: cells and pairs visited, and how many there are.
     """
     left = queries.select(
-        F.col(query_id).alias("query_id"), F.col(vec).cast("array<float>").alias("vec")
+        F.col(query_id).alias("query_id"),
+        F.col(vec).cast("array<float>").alias("vec"),
+        F.lit(float("-inf")).alias("floor"),
     )
     right = catalog.select(
         F.col(near_id).alias("near_id"), *carry, F.col(vec).cast("array<float>").alias("vec")
@@ -245,6 +318,7 @@ def nearest(
     # enough query chunks to use the cluster, none larger than a chunk may be
     query_rows = min(chunk_rows, max(1024, math.ceil(n_queries / tasks)))
     n_pivots = min(max_pivots, n // cell_rows)
+    axes = _axes(right, dims)
     if n_pivots < 2:
         found = _meet(
             left.withColumn("cell", F.lit(0)),
@@ -253,10 +327,11 @@ def nearest(
             [max(1, math.ceil(n / chunk_rows))],
             [max(1, math.ceil(n_queries / query_rows))],
             carry,
+            axes,
         )
         out = _merge(found, k)
     else:
-        out = _by_pivots(left, right, k, n_pivots, chunk_rows, query_rows, carry)
+        out = _by_pivots(left, right, k, n_pivots, chunk_rows, query_rows, carry, axes, visits)
     return out.select(
         F.col("query_id").alias(query_id),
         F.col("near_id").alias(near_id),
@@ -266,12 +341,12 @@ def nearest(
     )
 
 
-def _chunks_per_cell(df: DataFrame, cells: int, rows: int) -> list[int]:
-    """Chunks of at most about ``rows`` rows for each cell; at most MAX_PIVOTS counts."""
-    chunks = [0] * cells
+def _rows_per_cell(df: DataFrame, cells: int) -> list[int]:
+    """At most MAX_PIVOTS counts."""
+    counts = [0] * cells
     for row in df.groupBy("cell").agg(F.count("*").alias("n")).collect():
-        chunks[row["cell"]] = math.ceil(row["n"] / rows)
-    return chunks
+        counts[row["cell"]] = row["n"]
+    return counts
 
 
 def _by_pivots(
@@ -282,6 +357,8 @@ def _by_pivots(
     chunk_rows: int,
     query_rows: int,
     carry: tuple[str, ...],
+    axes: np.ndarray | None,
+    visits: list[dict] | None,
 ) -> DataFrame:
     drawn = right.orderBy(draws.base(7, F.col("near_id")), "near_id").limit(n_pivots)
     vectors = np.array([r["vec"] for r in drawn.select("vec").collect()], dtype=float)
@@ -290,31 +367,44 @@ def _by_pivots(
     # both sides are read several times from here on
     lines = stored(_assign(right, pivots, False), "lines")
     at_home = stored(_assign(left, pivots, True).drop("away"), "queries")
-    chunks = _chunks_per_cell(lines, cells, chunk_rows)
+    sizes = _rows_per_cell(lines, cells)
     inner, outer = np.zeros(cells), np.full(cells, np.inf)
     rings = lines.groupBy("cell").agg(F.min("away").alias("inner"), F.max("away").alias("outer"))
     for row in rings.collect():
         inner[row["cell"]], outer[row["cell"]] = row["inner"], row["outer"]
     # a query at home in an empty cell has nothing to meet there
-    lone = [max(1, c) for c in chunks]
-    asked = _chunks_per_cell(at_home, cells, query_rows)
-    first = stored(_meet(at_home, lines, k, lone, asked, carry), "nearest")
-    kth = (
-        _merge(first, k)
-        .groupBy("query_id")
-        .agg(F.min("cosine").alias("_least"), F.count("*").alias("_n"))
-        .filter(F.col("_n") >= k)
-        .select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("_least"), F.lit(0.0))).alias("bound"))
-    )
-    bounded = stored(
-        at_home.join(kth, "query_id", "left").fillna(float("inf"), ["bound"]), "bounded"
-    )
-    # read twice: to count its chunks and to meet
-    further = stored(_open_cells(bounded, pivots, inner, outer), "further")
-    later = _meet(
-        further, lines, k, lone, _chunks_per_cell(further, cells, query_rows), carry
-    )
-    return _merge(first.unionByName(later), k)
+    chunks = [max(1, math.ceil(n / chunk_rows)) for n in sizes]
+    found, asked = None, at_home
+    seen = 0
+    for turn, step in enumerate((0, *ROUNDS, None)):
+        if turn:
+            kth = (
+                found.groupBy("query_id")
+                .agg(F.min("cosine").alias("_least"), F.count("*").alias("_n"))
+                .filter(F.col("_n") >= k)
+                .select("query_id", F.col("_least").alias("floor"))
+            )
+            bounded = at_home.drop("floor").join(kth, "query_id", "left").fillna(float("-inf"), ["floor"])
+            # read twice: to count its rows and to meet
+            asked = stored(_open_cells(bounded, pivots, inner, outer, seen, step), "further")
+            seen += step or cells
+        visited = _rows_per_cell(asked, cells)
+        report = {
+            "round": turn, "cells": sum(visited),
+            "pairs": sum(a * b for a, b in zip(visited, sizes, strict=True)),
+        }
+        if not turn:
+            n_queries = report["cells"]
+        report |= {"of_cells": n_queries * sum(n > 0 for n in sizes), "of_pairs": n_queries * sum(sizes)}
+        log.info("search by cells: %s", report)
+        if visits is not None:
+            visits.append(report)
+        if turn and not sum(visited):
+            break
+        met = _meet(asked, lines, k, chunks, [math.ceil(n / query_rows) for n in visited], carry, axes)
+        both = met if found is None else found.unionByName(met)
+        found = stored(_merge(both, k).drop("place"), "nearest")
+    return _merge(found, k)
 
 
 def nearest_lines(catalog: DataFrame, k: int = 10, **options) -> DataFrame:

@@ -320,6 +320,39 @@ def test_nearest_is_exact(spark, options, clustered):
     assert {(r.query_id, r.cat_id, r.place) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("taken", [0, 3, 8, 20])
+def test_top_pairs_against_all_cosines(taken):
+    """The filter by short coordinates never loses a line, and scores few where vectors differ little."""
+    rng = np.random.default_rng(6)
+    both = neighbors._unit(rng.normal(size=(3000, 20)) * 0.7 ** np.arange(20), False)
+    queries, lines = both[:1100], both
+    axes = np.linalg.svd(both, full_matrices=False)[2][:taken].T if taken else None
+    floor = np.full(len(queries), -np.inf)
+    floor[5] = 2.0  # nothing reaches it
+    rows, cols, sims, scored = neighbors.top_pairs(queries, lines, 7, axes, floor)
+    cosines = np.round(queries @ lines.T, 9)
+    for q in range(0, 1100, 50):
+        want = sorted(range(3000), key=lambda c: (-cosines[q, c], c))[:7]
+        assert cols[rows == q].tolist() == want and sims[rows == q].tolist() == cosines[q, want].tolist()
+    assert not (rows == 5).any()
+    if taken != 3:
+        assert scored < 0.1 * cosines.size
+
+
+def test_search_by_cells_reports_its_visits(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(12, 6))
+    vecs = (np.repeat(centers, 50, axis=0) + rng.normal(size=(600, 6)) * 0.02).astype(np.float32)
+    df = spark.createDataFrame([(i, f"L{i}", v.tolist()) for i, v in enumerate(vecs)], "cat_id LONG, canonical STRING, vec ARRAY<FLOAT>")
+    visits: list = []
+    got = neighbors.nearest_lines(df, 5, chunk_rows=50, cell_rows=25, visits=visits).collect()
+    assert {(r.cat_id, r.near_id, r.place) for r in got} == brute(vecs.astype(float), vecs.astype(float), 5)
+    assert [v["round"] for v in visits] == list(range(len(visits))) and visits[0]["cells"] == 600
+    assert sum(v["pairs"] for v in visits) < 0.5 * visits[0]["of_pairs"]
+    none = df.select(F.col("cat_id").alias("query_id"), "vec").limit(0)
+    assert neighbors.nearest(none, df, 3, chunk_rows=50, cell_rows=25).count() == 0
+
+
 def test_k_is_held_to_the_catalog(spark):
     df = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])], "cat_id LONG, canonical STRING, vec ARRAY<FLOAT>")
     assert neighbors.nearest_lines(df, 10).count() == 4

@@ -112,7 +112,12 @@ def allowed_next(
     ).otherwise(F.col(prefix))
     spread = [c for c, kind in prefixes.dtypes if "map<" not in kind]
     wanted = prefixes.withColumns(
-        {"_length": F.size(bare), "_key": _prefix_key(bare), "_row": F.xxhash64(*spread)}
+        {
+            "_length": F.size(bare),
+            "_key": _prefix_key(bare),
+            # rows alike in all columns lie in several tasks, which tells them apart
+            "_row": F.xxhash64(F.spark_partition_id(), *spread),
+        }
     )
     # as many numbers as there are lengths of prefixes
     asked = wanted.filter("_key IS NOT NULL").select("_length").distinct().collect()

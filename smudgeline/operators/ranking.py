@@ -6,14 +6,22 @@ A candidate row is ``(query_id, noisy, truth, cat_id, candidate, cosine, place)`
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.similarity import cosine
 from ..functions.tokens import RANK_PROMPT, rank_prompt
+from ..session import stored
 from .skew import ROWS_PER_SPLIT, skew_join
 
+#: catalog lines of a block, queries that meet a block in one place, blocks of the first round
+BLOCK_LINES, BLOCK_QUERIES, FIRST_BLOCKS = 1024, 4096, 1
+
+log = logging.getLogger(__name__)
+
 
 def limit_eval(rows: DataFrame, n: int | None, key: str = "row_id") -> DataFrame:
     """The first ``n`` rows; null means all."""
@@ -130,6 +138,69 @@ def score_legacy(queries: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
+def score_legacy_whole(
+    queries: DataFrame,
+    catalog: DataFrame,
+    scorer: scoring.Scorer,
+    template: str = RANK_PROMPT,
+    block_lines: int = BLOCK_LINES,
+    block_queries: int = BLOCK_QUERIES,
+    rounds: list[dict] | None = None,
+) -> DataFrame:
+    """``queries`` with ``predicted``, the first line of the whole catalog labelled "yes", and ``is_correct``.
+
+    ``queries`` is ``(query_id, noisy, truth)`` with unique ids, ``catalog`` ``(cat_id, canonical)``. Lines are
+    asked about in order of ``cat_id``, in blocks of ids; each round takes twice as many blocks as the one
+    before, and only queries without an answer go on. Pairs are scored where a block and a chunk of
+    queries meet and reduced to one answer a query before they leave. A query no line answers gets null.
+    ``rounds`` takes a row for each round: queries asked, blocks and pairs.
+    """
+    block = F.floor(F.col("cat_id") / block_lines).cast("long")
+    lines = catalog.select("cat_id", F.col("canonical").alias("candidate"), block.alias("_block"))
+    sizes = stored(lines.groupBy("_block").agg(F.count("*").alias("n")), "legacy_blocks")
+    at, last = sizes.agg(F.min("_block"), F.max("_block")).first()
+    open_ = stored(queries.select("query_id", "noisy", "truth"), "legacy_queries")
+    answers, step, turn = [], FIRST_BLOCKS, 0
+    while at is not None and at <= last:
+        asked = open_.count()
+        if not asked:
+            break
+        end = min(at + step, last + 1)
+        chunks = -(-asked // block_queries)
+        chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
+        left = open_.withColumn("_chunk", chunk).withColumn(
+            "_block", F.explode(F.sequence(F.lit(at).cast("long"), F.lit(end - 1).cast("long")))
+        )
+        right = lines.filter(F.col("_block").between(at, end - 1)).withColumn(
+            "_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+        )
+        pairs = left.join(right, ["_block", "_chunk"]).drop("_block", "_chunk")
+        found = stored(
+            score_pairs(pairs, scorer, template)
+            .filter(F.col("label") == "yes")
+            .groupBy("query_id")
+            .agg(F.min_by("candidate", "cat_id").alias("predicted")),
+            "legacy_answers",
+        )
+        answers.append(found)
+        lines_asked = sizes.filter(F.col("_block").between(at, end - 1)).agg(F.sum("n")).first()[0] or 0
+        report = {"round": turn, "queries": asked, "blocks": end - at, "pairs": asked * lines_asked}
+        log.info("whole catalog: %s", report)
+        if rounds is not None:
+            rounds.append(report)
+        open_ = stored(open_.join(found, "query_id", "left_anti"), "legacy_queries")
+        at, step, turn = end, 2 * step, turn + 1
+    if not answers:
+        none = queries.withColumn("predicted", F.lit(None).cast("string"))
+        return none.withColumn("is_correct", F.lit(False))
+    every = answers[0]
+    for found in answers[1:]:
+        every = every.unionByName(found)
+    return queries.join(every, "query_id", "left").withColumn(
+        "is_correct", F.coalesce(F.col("predicted") == F.col("truth"), F.lit(False))
+    )
+
+
 def evaluation_records(ranked: DataFrame, policy: str, pool: int) -> DataFrame:
     """One nested record per query: scalars, six maps and two lists in shortlist order.
 

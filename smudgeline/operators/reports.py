@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import known_nll
 from ..functions.similarity import jaro_winkler
 from .augment import CANONICAL, NOISY, STEPS, made_once
-from .skew import ROWS_PER_SPLIT, skew_join
+from .skew import ROWS_PER_SPLIT, skew_join, skew_join_many
 
 MISSING_SCORE = -1e30
 
@@ -134,10 +134,27 @@ def join_predictions(
     row_key: str = "row_id",
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """All test rows with the model's output on the same text; repeated texts multiply."""
+    """All test rows with the model's output on the same text, one prediction per text at most."""
     return skew_join(rows, predictions, noisy, "left", row_key, rows_per_split)
 
 
+def join_repeated_predictions(
+    rows: DataFrame,
+    predictions: DataFrame,
+    noisy: str = NOISY,
+    row_key: str = "row_id",
+    prediction_key: str = "prediction_id",
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """All test rows with every prediction on the same text; texts may repeat on both sides and multiply."""
+    return skew_join_many(rows, predictions, noisy, "left", row_key, prediction_key, rows_per_split)
+
+
+def join_predictions_by_row(rows: DataFrame, predictions: DataFrame, row_key: str = "row_id") -> DataFrame:
+    """All test rows with the prediction made for that very row: nothing multiplies, no key is hot."""
+    return rows.join(predictions, row_key, "left")
+
+
 def add_jw(df: DataFrame, left: str, right: str, out: str = "jw_score") -> DataFrame:
     """Add the Jaro-Winkler similarity of two columns."""
     return made_once(df, out, jaro_winkler(F.col(left), F.col(right)))

@@ -67,6 +67,46 @@ def skew_join(
     return left.drop("_splits").join(right, [key, "_split"], how).drop("_split")
 
 
+def skew_join_many(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    left_row: str = "row_id",
+    right_row: str = "row_id",
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """Join on a key that may repeat on both sides, with hot keys split into a grid.
+
+    A key with many rows on either side is cut into parts there; each part of one side meets each part
+    of the other, so a task holds at most about ``rows_per_split`` rows of either. ``how`` is "inner" or "left";
+    null keys match nothing. Columns other than the key must differ in name, the row columns named here
+    need only be integers to deal rows by.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"inner or left, not {how!r}")
+    hot = [
+        hot_keys(side, key, rows_per_split).withColumnRenamed("_splits", name)
+        for side, name in ((left, "_l_splits"), (right, "_r_splits"))
+    ]
+    splits = stored(hot[0].join(hot[1], key, "full").na.fill(1, ["_l_splits", "_r_splits"]), "hot_grid")
+    known = left.filter(F.col(key).isNotNull()), right.filter(F.col(key).isNotNull())
+
+    def dealt(side: DataFrame, own: str, other: str, row: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(row), F.coalesce(own, F.lit(1))).cast("int").alias(own.replace("splits", "part"))
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other.replace("splits", "part"))
+        return side.join(splits, key, "left").select(*side.columns, part, parts)
+
+    met = dealt(known[0], "_l_splits", "_r_splits", left_row).join(
+        dealt(known[1], "_r_splits", "_l_splits", right_row), [key, "_l_part", "_r_part"]
+    )
+    out = met.drop("_l_part", "_r_part")
+    if how == "inner":
+        return out
+    alone = left.join(known[1].select(key).distinct(), key, "left_anti")
+    return out.unionByName(alone, allowMissingColumns=True)
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column | str], n: int, place: str):
     """The first ``n`` rows of each group with their place.
 

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lots
 from .packing import public_vocabulary
 
 #: characters of text worked on at once, pieces a worker keeps, the longest piece kept
@@ -177,18 +178,6 @@ class Decoder:
         return out
 
 
-def lots(lengths: Iterable[int], size: int = LOT) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of about ``size`` bytes each."""
-    first = held = at = 0
-    for at, length in enumerate(lengths, 1):
-        held += length
-        if held >= size:
-            yield first, at
-            first, held = at, 0
-    if first < at:
-        yield first, at
-
-
 def encode_documents(
     documents: DataFrame,
     offsets: bool = False,
@@ -213,7 +202,7 @@ def encode_documents(
         for batch in batches:
             column = batch.column(1)
             lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy()
-            for first, last in lots(lengths):
+            for first, last in lots(lengths, LOT):
                 columns = list(zip(*encoder.encode([t or "" for t in column[first:last].to_pylist()]), strict=True))
                 if decoder:
                     columns.append([decoder.data(np.frombuffer(ids, "<u4").tolist()) for ids in columns[0]])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,18 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def lots(lengths: Iterable[int], size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``size`` bytes each."""
+    first = held = at = 0
+    for at, length in enumerate(lengths, 1):
+        held += length
+        if held >= size:
+            yield first, at
+            first, held = at, 0
+    if first < at:
+        yield first, at
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     with np.errstate(over="ignore"):

@@ -7,8 +7,8 @@ that follow from the words around alone; where words are written without blanks
 one. Spans are hashed and compared over all documents; the first by
 document and place stays, and sentences under any other are removed.
 
-Every batch of texts keeps the first of each of its spans and only that travels, so a span that is everywhere
-is one row a batch; the others of the batch are told as stretches of their texts. Spans meet once, at their hash.
+Every lot of texts keeps the first of each of its spans and only that travels, so a span that is everywhere
+is one row a lot; the others of the lot are told as stretches of their texts. Spans meet once, at their hash.
 """
 
 from __future__ import annotations
@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, in_batches, mix64, powers
+from .common import WordHashes, lots, mix64, powers
 
 #: a sentence with the marks and blanks that close it
 SENTENCE = re.compile(r"[^.!?\n。！？]*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|[。！？]+[^\S\n]*\n*|\n+|[.!?]+|$)")
 CLAUSE = re.compile(r"[^,;:，、；：]+(?:[,;:，、；：]+\s*|$)|[,;:，、；：]+\s*")
 LONG = 25
+#: bytes of text looked at together
+LOT = 16 << 20
 #: of so many words in a row one begins a piece, where there are no other marks
 CUT_WITHIN = 7
 _BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -127,7 +130,7 @@ def span_hashes(
 
 
 def first_spans(doc: np.ndarray, key: np.ndarray, place: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Which spans of a batch are the first of their code by document, text and place."""
+    """Which spans of a lot are the first of their code by document, text and place."""
     order = np.lexsort((place, key, doc, code))
     opens = np.ones(len(order), bool)
     opens[1:] = code[order][1:] != code[order][:-1]
@@ -137,7 +140,7 @@ def first_spans(doc: np.ndarray, key: np.ndarray, place: np.ndarray, code: np.nd
 
 
 def stretches(text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and places of the stretches that spans of a batch cover together."""
+    """Texts and places of the stretches that spans of a lot cover together."""
     order = np.lexsort((place, text))
     text, place = text[order], place[order]
     reach = np.maximum.accumulate((text << 32) + (place & 0xFFFFFFFF))
@@ -163,26 +166,31 @@ def remove_repeats(
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            doc, key = (batch.column(k).to_numpy() for k in (0, 2))
-            # rows alike in id and text are looked at once
-            _, once = np.unique(key, return_index=True)
-            found = [
-                span_hashes(pieces_of(t or "")[1], hashes, least_sentences, least_words)
-                for t in batch.column(1).take(pa.array(once)).to_pylist()
-            ]
-            at = np.repeat(once, [len(f[0]) for f in found])
-            place, code = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            kept = first_spans(doc[at], key[at], place, code)
-            gone_at, gone = stretches(at[~kept], place[~kept])
-            columns = (
-                np.concatenate([doc[at[kept]], doc[gone_at]]),
-                np.concatenate([key[at[kept]], key[gone_at]]),
-                np.concatenate([place[kept], gone]),
-                # what the batch takes out itself meets no other span: it goes by its text, not by a code
-                np.concatenate([code[kept], key[gone_at] ^ gone]),
-                np.arange(int(kept.sum()) + len(gone)) < kept.sum(),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            for start, end in lots(sizes, LOT):
+                yield spans_of(batch.slice(start, end - start), hashes)
+
+    def spans_of(lot: pa.RecordBatch, hashes: WordHashes) -> pa.RecordBatch:
+        doc, key = (lot.column(k).to_numpy() for k in (0, 2))
+        # rows alike in id and text are looked at once
+        _, once = np.unique(key, return_index=True)
+        found = [
+            span_hashes(pieces_of(t or "")[1], hashes, least_sentences, least_words)
+            for t in lot.column(1).take(pa.array(once)).to_pylist()
+        ]
+        at = np.repeat(once, [len(f[0]) for f in found])
+        place, code = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        kept = first_spans(doc[at], key[at], place, code)
+        gone_at, gone = stretches(at[~kept], place[~kept])
+        columns = (
+            np.concatenate([doc[at[kept]], doc[gone_at]]),
+            np.concatenate([key[at[kept]], key[gone_at]]),
+            np.concatenate([place[kept], gone]),
+            # what the lot takes out itself meets no other span: it goes by its text, not by a code
+            np.concatenate([code[kept], key[gone_at] ^ gone]),
+            np.arange(int(kept.sum()) + len(gone)) < kept.sum(),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     lowest = -(1 << 63)
     given = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn(
@@ -191,7 +199,7 @@ def remove_repeats(
     spans = given.select(F.coalesce("doc_id", F.lit(lowest)).alias("doc"), "text", "text_key").mapInArrow(
         find, "doc long, text_key long, place long, code long, kept boolean"
     )
-    # rank, as rows alike in id and text may lie in two batches and stay both
+    # rank, as rows alike in id and text may lie in two lots and stay both
     earlier = F.rank().over(Window.partitionBy("code", "kept").orderBy("doc", "text_key", "place")) > 1
     removed = (
         spans.withColumn("gone", ~F.col("kept") | earlier)
@@ -202,27 +210,31 @@ def remove_repeats(
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
 
-    def cut(batch: pa.RecordBatch) -> dict:
-        out: dict = {n: [] for n in out_schema.names}
-        out["doc_id"] = batch.column(0)
-        for text, covered in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n_gone = 0
-            if covered:
-                pieces = pieces_of(text)[0]
-                # runs that begin less those that have ended: above nought inside a span
-                places = np.array(covered, np.int64)
-                depth = np.zeros(len(pieces) + 1, np.int64)
-                np.add.at(depth, places >> 32, 1)
-                np.add.at(depth, (places & 0xFFFFFFFF) + 1, -1)
-                gone = np.cumsum(depth)[:-1] > 0
-                n_gone = int(gone.sum())
-                text = "".join(p for p, g in zip(pieces, gone.tolist(), strict=True) if not g)
-            out["text"].append(text)
-            out["n_removed"].append(n_gone)
-        return out
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            for start, end in lots(sizes, LOT):
+                lot = batch.slice(start, end - start)
+                left, n_gone = [], []
+                for text, covered in zip(lot.column(1).to_pylist(), lot.column(2), strict=True):
+                    text, n = without(text, covered.values.to_numpy()) if covered.is_valid else (text, 0)
+                    left.append(text)
+                    n_gone.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [lot.column(0), pa.array(left, pa.string()), pa.array(n_gone, pa.int64())], schema=out_schema
+                )
+
+    def without(text: str, places: np.ndarray) -> tuple[str, int]:
+        pieces = pieces_of(text)[0]
+        # runs that begin less those that have ended: above nought inside a span
+        depth = np.zeros(len(pieces) + 1, np.int64)
+        np.add.at(depth, places >> 32, 1)
+        np.add.at(depth, (places & 0xFFFFFFFF) + 1, -1)
+        gone = np.cumsum(depth)[:-1] > 0
+        return "".join(p for p, g in zip(pieces, gone.tolist(), strict=True) if not g), int(gone.sum())
 
     return (
         given.join(removed, "text_key", "left")
         .select("doc_id", "text", "covered")
-        .mapInArrow(in_batches(cut, out_schema), "doc_id long, text string, n_removed long")
+        .mapInArrow(cut, "doc_id long, text string, n_removed long")
     )

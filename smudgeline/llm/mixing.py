@@ -20,6 +20,8 @@ from ..session import stored
 from .common import count_words
 
 WEIGHTS = (3, 1, 2)
+#: rows alike in key, sources and size that are dealt out together
+EQUAL_ROWS = 10_000
 
 
 def water_fill(sizes: list[int], weights: list[int], total: float, most: float) -> list[float]:
@@ -229,9 +231,14 @@ def mix(
     kind = documents.select(key.alias("key")).schema["key"].dataType
     out = (
         chosen.join(F.broadcast(patterns.select("pattern", "sources", "wholly")), "pattern")
+        # equal rows are dealt out in lots, so no list grows with them
+        .withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / EQUAL_ROWS).cast("long") - 1)))
         .withColumn(
             "copies",
-            F.expr("transform(sequence(1L, n), i -> wholly + if(i <= full, 1L, 0L))"),
+            F.transform(
+                F.sequence(F.col("_lot") * EQUAL_ROWS + 1, F.least(F.col("n"), (F.col("_lot") + 1) * EQUAL_ROWS)),
+                lambda i: F.col("wholly") + F.when(i <= F.col("full"), 1).otherwise(0),
+            ),
         )
         .select(F.col("key").cast(kind), "sources", "size", F.explode("copies").alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))

@@ -36,6 +36,8 @@ SAMPLE = 8192
 HOT = 8
 HOT_KEPT = 65_536
 CHUNK = 256
+#: sets a task remembers having signed
+SEEN = 1_000_000
 
 
 #: bytes hashed at a time; longer texts are cut at blanks
@@ -190,17 +192,27 @@ def gram_sets(documents: DataFrame) -> DataFrame:
 
 
 def signed(documents: DataFrame, hot: np.ndarray | None) -> DataFrame:
-    """``(key, signature)`` of every document, one row per signature."""
+    """``(key, signature)`` of every document, one row per signature.
+
+    With ``hot`` a task signs each set once, so a group of copies sends a few rows of each signature.
+    """
     schema = pa.schema([("key", pa.int64()), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
         def work(batch: pa.RecordBatch) -> dict | None:
             keys, found = [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for text in texts(batch.column(1)):
                 grams = shingles(text)
-                if len(grams):
-                    keys.append(set_key(grams))
-                    found.append(signatures(grams, hot).astype(np.int64))
+                key = set_key(grams) if len(grams) else None
+                if key is None or (hot is not None and key in seen):
+                    continue
+                seen.add(key)
+                keys.append(key)
+                found.append(signatures(grams, hot).astype(np.int64))
             if not keys:
                 return None
             flat = pa.array(np.concatenate(found))
@@ -404,7 +416,8 @@ def block_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
                     out.add((int(min(keys[at], keys[k])), int(max(keys[at], keys[k]))))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    total = max(1, groups.count() // 5000)
+    # what a bucket holds follows from the rows as they are after members meet in chunks
+    total = max(1, int(groups.agg(F.sum(chunks)).first()[0] or 0) // 5000)
     return (
         rows.withColumn("bucket", F.pmod(F.xxhash64("signature", "lo", "hi"), F.lit(total)))
         .groupBy("bucket")
@@ -494,4 +507,12 @@ def one_of_each(documents: DataFrame) -> DataFrame:
         & (marked["_text_key"] == gone["_gone_key"]),
         "left_anti",
     )
-    return left.dropDuplicates(["doc_id", "_text_key"]).select(*documents.columns)
+    keys = [F.col("doc_id").alias("_twice_id"), F.col("text_key").alias("_twice_key")]
+    twice = stored(found.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeated")
+    if twice.isEmpty():
+        return left.select(*documents.columns)
+    same = left["doc_id"].cast("long").eqNullSafe(twice["_twice_id"]) & left["_text_key"].eqNullSafe(twice["_twice_key"])
+    # only rows that repeat are moved to be told apart
+    once = left.join(twice, same, "left_anti")
+    repeated = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return once.unionByName(repeated).select(*documents.columns)

@@ -13,6 +13,21 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def as_text(value: Column) -> Column:
+    """A key or text as a string, as all of them are kept."""
+    return value.cast("string")
+
+
+def json_text(value: Column, empty: str = "{}") -> Column:
+    """A map, list or struct as JSON text; ``empty`` for null."""
+    return F.coalesce(F.to_json(value), F.lit(empty))
+
+
+def distinct_sorted(values: Column) -> Column:
+    """Each value of a list once, in order; a null list stays null."""
+    return F.sort_array(F.array_distinct(values))
+
+
 def upto(n: Column) -> Column:
     """``[1, ..., n]``, empty when ``n`` is below one."""
     return F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(

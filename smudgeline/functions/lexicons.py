@@ -208,7 +208,6 @@ _TOPICS = {
     "tree": ["ALDER", "ASH", "BEECH", "ELM", "FIR", "HAZEL", "LARCH", "MAPLE", "PINE", "ROWAN", "YEW"],
 }
 _NUMBERED = ["BERTH", "BLOCK", "CABIN", "DOCK", "HANGAR", "LOCKER", "PIER", "STALL", "WING"]
-_BY_ORDINAL = ["LEVEL", "TIER", "TERMINAL"]
 LAST_NUMBERED = 100
 
 
@@ -225,10 +224,6 @@ def words() -> dict[str, list[str]]:
         table[noun.lower()] = [f"{noun} {n}" for n in range(1, LAST_NUMBERED + 1)] + [
             f"{noun} {c}" for c in _letter_codes()
         ]
-    for noun in _BY_ORDINAL:
-        table.setdefault(noun.lower(), []).extend(
-            [f"GROUND {noun}"] + [f"{ordinal_word(n)} {noun}" for n in range(1, 100)]
-        )
     return table
 
 

@@ -171,11 +171,10 @@ def add_special(
 
         def placed(k: Column) -> Column:
             spots = F.transform(upto(n + k), lambda i: spot(b, i + AT))
-            slots = F.transform(
-                spots, lambda x, i: F.struct(mixed(x).alias("draw"), (i + 1).cast("int").alias("place"))
-            )
+            # a draw has 31 bits and a place has no more: one long orders as the pair does
+            slots = F.transform(spots, lambda x, i: mixed(x) * (1 << 32) + i + 1)
             places = F.sort_array(
-                F.transform(F.slice(F.sort_array(slots), F.lit(1), k), lambda v: v["place"])
+                F.transform(F.slice(F.sort_array(slots), F.lit(1), k), lambda v: (v % (1 << 32)).cast("int"))
             )
             return bind(
                 places,

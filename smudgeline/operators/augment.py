@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws, noise
 from ..functions.exprs import bind, words_literal
+from .split import SORTED_ROWS, first_by
 
 # Column names of a noisy table.
 CANONICAL = "first_line"
@@ -23,8 +24,12 @@ StepOptions = Mapping[str, Mapping[str, object]]
 
 
 def sample_lines(lines: DataFrame, n: int, seed: int = 42, key: str = "line_id") -> DataFrame:
-    """The first ``n`` lines in an order drawn from the seed."""
-    return lines.orderBy(draws.base(seed, F.col(key)), key).limit(n)
+    """The first ``n`` lines in an order drawn from the seed; ``key`` is unique.
+
+    A large ``n`` is found as a cut in the draws, and the lines are filtered where they lie.
+    """
+    draw = draws.base(seed, F.col(key))
+    return lines.orderBy(draw, key).limit(n) if n <= SORTED_ROWS else first_by(lines, draw, key, n)
 
 
 def add_working_column(lines: DataFrame, canonical: str = CANONICAL, noisy: str = NOISY) -> DataFrame:
@@ -34,6 +39,14 @@ def add_working_column(lines: DataFrame, canonical: str = CANONICAL, noisy: str
     )
 
 
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of all frames, by column name; there must be one at least."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 def unpack_step(df: DataFrame, result: str, noisy: str = NOISY) -> DataFrame:
     """Move a function's text to the noisy column and append its name to the steps."""
     steps = f"{noisy}_malform_steps"

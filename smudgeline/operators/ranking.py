@@ -16,6 +16,7 @@ from ..functions.similarity import cosine
 from ..functions.tokens import RANK_PROMPT, rank_prompt
 from ..session import stored
 from .skew import ROWS_PER_SPLIT, skew_join
+from .split import SORTED_ROWS, first_by
 
 #: catalog lines of a block, queries that meet a block in one place, blocks of the first round
 BLOCK_LINES, BLOCK_QUERIES, FIRST_BLOCKS = 1024, 4096, 1
@@ -24,8 +25,13 @@ log = logging.getLogger(__name__)
 
 
 def limit_eval(rows: DataFrame, n: int | None, key: str = "row_id") -> DataFrame:
-    """The first ``n`` rows; null means all."""
-    return rows if n is None else rows.orderBy(key).limit(n)
+    """The first ``n`` rows by a unique integer key; null means all.
+
+    A large ``n`` is found as a cut in the keys, and the rows are filtered where they lie.
+    """
+    if n is None or n <= SORTED_ROWS:
+        return rows if n is None else rows.orderBy(key).limit(n)
+    return first_by(rows, F.col(key).cast("long"), key, n)
 
 
 def candidates(queries: DataFrame, found: DataFrame) -> DataFrame:
@@ -46,13 +52,12 @@ def inject_truth(
     outside the catalog cannot be scored and adds nothing.
     """
     is_hit = F.coalesce(F.col("candidate") == F.col("truth"), F.lit(False))
-    without = (
-        cands.groupBy("query_id").agg(F.max(is_hit).alias("_hit")).filter(~F.col("_hit"))
-    )
+    # noisy and truth are the same in all rows of a query
     missed = (
-        cands.filter(F.col("place") == 1)
-        .select("query_id", "noisy", "truth")
-        .join(without.select("query_id"), "query_id")
+        cands.groupBy("query_id")
+        .agg(F.max(is_hit).alias("_hit"), F.first("noisy").alias("noisy"), F.first("truth").alias("truth"))
+        .filter(~F.col("_hit"))
+        .drop("_hit")
     )
     lines = catalog.select(
         "cat_id", F.col("canonical").alias("truth"), "vec"
@@ -108,12 +113,19 @@ def add_pick_scores(
     )
 
 
+def _standing() -> Column:
+    """What the best candidate of a query has the highest of."""
+    worked = ~scoring.failed(F.col("nll_yes"), F.col("nll_no"))
+    return F.struct(worked, "pick_score", -F.col("place"))
+
+
 def pick_best(scored: DataFrame) -> DataFrame:
-    """One row per query: the highest pick score, the earlier place on ties."""
+    """One row per query: the highest pick score, the earlier place on ties.
+
+    A candidate whose scoring failed comes after all others, those that cost infinitely much included.
+    """
     row = F.struct("noisy", "truth", "candidate", "nll_yes", "nll_no")
-    best = scored.groupBy("query_id").agg(
-        F.max_by(row, F.struct("pick_score", -F.col("place"))).alias("b")
-    )
+    best = scored.groupBy("query_id").agg(F.max_by(row, _standing()).alias("b"))
     return best.select("query_id", "b.noisy", "b.truth", *_verdict("b"))
 
 
@@ -210,7 +222,7 @@ def evaluation_records(ranked: DataFrame, policy: str, pool: int) -> DataFrame:
     fields = ["candidate", "cosine", "nll_yes", "nll_no", "label", "margin", "pick_score"]
     row = F.struct("noisy", "truth", *fields)
     grouped = ranked.groupBy("query_id").agg(
-        F.max_by(row, F.when(F.col("scored"), F.struct("pick_score", -F.col("place")))).alias("b"),
+        F.max_by(row, F.when(F.col("scored"), _standing())).alias("b"),
         F.sort_array(F.collect_list(F.struct("place", "scored", *fields))).alias("_all"),
     )
 

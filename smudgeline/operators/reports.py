@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import json_text
 from ..functions.scoring import known_nll
 from ..functions.similarity import jaro_winkler
 from .augment import CANONICAL, NOISY, STEPS, made_once
@@ -173,7 +174,7 @@ def to_flat_records(records: DataFrame, limit: int | None = None, key: str = "qu
         return F.coalesce(F.col(name).cast("boolean"), F.lit(False)).alias(name)
 
     def json(name: str, out: str):
-        return F.coalesce(F.to_json(name), F.lit("[]" if out in _LISTS else "{}")).alias(out)
+        return json_text(F.col(name), "[]" if out in _LISTS else "{}").alias(out)
 
     return rows.select(
         _shown(F.col("noisy")).alias("noisy"),
@@ -206,7 +207,7 @@ def predictions_table(records: DataFrame) -> DataFrame:
         "is_correct",
         F.coalesce("predicted_prefers_yes", F.lit(False)).alias("predicted_prefers_yes"),
         F.to_json("scores").alias("scores_json"),
-        F.coalesce(F.to_json("nll_yes"), F.lit("{}")).alias("nll_yes_json"),
-        F.coalesce(F.to_json("nll_no"), F.lit("{}")).alias("nll_no_json"),
+        json_text(F.col("nll_yes")).alias("nll_yes_json"),
+        json_text(F.col("nll_no")).alias("nll_no_json"),
         jaro_winkler(F.col("true"), F.col("predicted")).alias("jw_score"),
     )

@@ -44,14 +44,16 @@ def skew_join(
     how: str = "left",
     row_key: str = "row_id",
     rows_per_split: int = ROWS_PER_SPLIT,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to one row per key, with hot keys split over several tasks.
 
-    The list of hot keys has at most ``rows / rows_per_split`` entries and lies in a file, whose
+    Hot keys are looked for in two passes over ``facts``, or handed in as ``hot(key, _splits)`` where
+    they are known, from counts made before or from :func:`hot_keys` of an earlier join. The list of hot keys has at most ``rows / rows_per_split`` entries and lies in a file, whose
     size tells Spark whether to broadcast it. Rows of ``dim`` are copied once per split of their
     own key, all others once.
     """
-    hot = hot_keys(facts, key, rows_per_split)
+    hot = hot_keys(facts, key, rows_per_split) if hot is None else hot
     left = facts.join(hot, key, "left").withColumn(
         "_split",
         # null keys match nothing, so they are spread freely

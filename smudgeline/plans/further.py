@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draws, noise, sql, tokens
-from ..operators import augment, neighbors, pooling, ranking, reports, trie
+from ..functions import draws, noise, scoring, sql, tokens
+from ..functions.encoders import ngram_encoder
+from ..operators import augment, backoff, catalog, neighbors, pairs, pooling, ranking, reports, split, trie
+from ..operators import negatives as mining
 from ..operators.augment import CANONICAL, NOISY, STEPS
-from ..session import scratch_path
-from ..sources import batches
+from ..session import scratch_path, stored
+from ..sources import batches, readers, writers
 from . import registered as r
 from .registered import PLANS, SEED, Query, query, spread, table
 
@@ -72,23 +74,21 @@ def sql_helpers(spark, sf):
 
 @query
 def step_plans_by_number(spark, sf):
-    """All plans of one to four steps, and the rows each gives on the lines of one type."""
+    """All plans of one to four steps, and the rows each gives on the lines of the largest type."""
     plans = augment.numbered_plans(spark, noise.GRID_STEPS, 4)
-    sizes = r.lines(spark, sf).groupBy("st").agg(F.count("*").alias("n")).agg(F.max("n").alias("n_rows"))
-    return plans.select("plan_no", F.array_join("steps_arr", ",").alias("plan"), "n_steps").join(
-        F.broadcast(sizes)  # one row
-    )
+    most = r.lines(spark, sf).groupBy("st").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return plans.select("plan_no", F.array_join("steps_arr", ",").alias("plan"), "n_steps", F.lit(most).alias("n_rows"))
 
 
 @query
 def ordered_plans_by_number(spark, sf):
     """All orders of one to three steps, counted by their last step."""
     plans = augment.numbered_plans(spark, noise.GRID_STEPS, 3, ordered=True)
-    total = r.lines(spark, sf).agg(F.count("*").alias("n_lines"))
+    total = r.lines(spark, sf).count()
     return (
         plans.groupBy(F.element_at("steps_arr", -1).alias("last_step"), "n_steps")
         .agg(F.count("*").alias("n_plans"), F.min("plan_no").alias("first_plan"), F.max("plan_no").alias("last_plan"))
-        .join(F.broadcast(total))  # one row
+        .withColumn("n_lines", F.lit(total).cast("long"))
     )
 
 
@@ -129,6 +129,136 @@ def score_legacy_whole(spark, sf):
     ).select("query_id", "predicted", "is_correct")
 
 
+@query
+def score_by_counts(spark, sf):
+    """Forced-label costs of pairs, by a model counted over the pairs of every other line."""
+    made = pairs.make_pairs(r.mined(spark, sf))
+    model = backoff.count_labels(made.filter("row_id % 2 = 0"))
+    scored = backoff.backoff_scorer(model)(made.select("row_id", "pos", "prompt"))
+    label = scoring.yes_no_label(F.col("nll_yes"), F.col("nll_no"))
+    return scored.select(
+        "row_id", "pos", F.round("nll_yes", 6).alias("nll_yes"), F.round("nll_no", 6).alias("nll_no"), label.alias("label")
+    )
+
+
+def failing_scorer(df: DataFrame) -> DataFrame:
+    """Drawn scores, some of them infinite, not numbers or missing, by the sum of the ids."""
+    kind = (F.col("query_id") + F.col("cat_id")) % 7
+    drawn = r.drawn_scorer(df)
+    endless, nothing = F.lit(float("inf")), F.lit(float("nan"))
+    return drawn.withColumns(
+        {
+            "nll_yes": F.when(kind.isin(0, 1), endless).when(kind == 2, nothing).otherwise(F.col("nll_yes")),
+            "nll_no": F.when(kind == 0, endless).when(kind == 3, F.lit(None).cast("double")).otherwise(F.col("nll_no")),
+        }
+    )
+
+
+def failing(spark, sf) -> DataFrame:
+    asked, lines_ = r.vector_queries(spark, sf), r.vectors(spark, sf)
+    found = stored(neighbors.shortlist(asked, lines_, 16), "shortlist")
+    return ranking.evaluate_ranking(asked, lines_, found, failing_scorer, k=16, pool=4, policy="max_yes_no_margin", inject=False)
+
+
+@query
+def label_failed_scores(spark, sf):
+    """Labels and scores where scoring failed in every way."""
+    return failing(spark, sf).filter("scored").select(
+        "query_id", "cat_id", "label", F.when(F.isnan("margin"), "none").otherwise(F.round("margin", 6).cast("string")).alias("margin"),
+        (F.col("pick_score") == float("-inf")).alias("is_last"),
+    )
+
+
+@query
+def pick_best_of_failed(spark, sf):
+    """The best of four candidates, failed ones after all others."""
+    return ranking.pick_best(failing(spark, sf).filter("scored")).select(
+        "query_id", "predicted", "predicted_prefers_yes", "is_correct"
+    )
+
+
+@query
+def topk_accuracy_of_failed(spark, sf):
+    """Truths among the first three, failed candidates after unscored ones."""
+    return reports.topk_accuracy(r.vector_queries(spark, sf), failing(spark, sf), 3).select(
+        F.round("accuracy", 6).alias("accuracy")
+    )
+
+
+# --- contents of records and artifacts ---------------------------------------
+
+
+@query
+def evaluation_maps(spark, sf):
+    """Every value of the maps of the evaluation records."""
+    records = ranking.evaluation_records(r.ranked(spark, sf), "encoder_margin_blend", 8)
+    names = ("nll_yes", "nll_no", "margins", "pick_scores")
+    return records.select("query_id", F.explode("encoder_cosine").alias("candidate", "cosine"), "scores", *names).select(
+        "query_id", "candidate", F.round("cosine", 6).alias("cosine"), F.col("scores")[F.col("candidate")].alias("label"),
+        *(F.round(F.try_element_at(n, F.col("candidate")), 5).alias(n) for n in names),
+    )
+
+
+@query
+def flat_record_maps(spark, sf):
+    """The JSON texts of the flat records, read back value by value."""
+    records = ranking.evaluation_records(r.ranked(spark, sf), "encoder_margin_blend", 8)
+    flat = reports.to_flat_records(records)
+    as_map = "map<string,double>"
+    read = [F.from_json(f"{n}_json", as_map).alias(n) for n in ("nll_yes", "nll_no", "margins", "pick_scores", "encoder_cosine")]
+    maps = flat.select("noisy", *read)
+    return maps.select("noisy", F.explode("encoder_cosine").alias("candidate", "cosine"), "*").select(
+        "noisy", "candidate", F.round("cosine", 6).alias("cosine"),
+        *(F.round(F.try_element_at(n, F.col("candidate")), 5).alias(n) for n in ("nll_yes", "nll_no", "margins", "pick_scores")),
+    )
+
+
+@query
+def catalog_contents(spark, sf):
+    """Ids, lines and vectors of a catalog as it was written."""
+    path = scratch_path(spark, "catalog")
+    lines_ = catalog.distinct_catalog(r.noisy(spark, sf))
+    writers.write_catalog(catalog.with_vectors(lines_, ngram_encoder(r.DIMS)), path)
+    read = spark.read.parquet(path).select("cat_id", "canonical", F.posexplode("vec").alias("slot", "w"))
+    return read.filter("w != 0").select(
+        "cat_id", "canonical", F.col("slot").cast("long").alias("slot"), F.round(F.col("w").cast("double"), 5).alias("w")
+    )
+
+
+@query
+def negatives_contents(spark, sf):
+    """Rows and negatives of both splits as they were written."""
+    path = scratch_path(spark, "negatives")
+    parts = split.exact_split(r.vector_train(spark, sf), 0.1, SEED)
+    train = mining.mine_hard_negatives(parts.filter("split = 'train'"), r.vectors(spark, sf), per_neighbor=2)
+    test = parts.filter("split = 'test'").withColumn("hard_negatives", F.array().cast("array<string>"))
+    writers.write_negatives(augment.union_all([train, test]), path)
+    return spark.read.parquet(path).select(
+        "row_id", CANONICAL, NOISY, "split", F.array_join("hard_negatives", "|").alias("hard_negatives")
+    )
+
+
+@query
+def merged_rows(spark, sf):
+    """Every train row with its own columns and the mined ones."""
+    return r.mined(spark, sf).select(
+        "row_id", CANONICAL, NOISY, F.size("hard_negatives").alias("n_negatives"),
+        F.array_join("hard_negatives", "|").alias("hard_negatives"),
+    )
+
+
+@query
+def pairs_contents(spark, sf):
+    """Token ids, masks and labels of pairs as they were written."""
+    path = scratch_path(spark, "pairs")
+    writers.write_pairs(pairs.tokenize_pairs(pairs.make_pairs(r.mined(spark, sf)), 128, target_len=8), path)
+    return readers.read_pairs(spark, path).select(
+        "row_id", "pos", F.md5(F.array_join("input_ids", " ")).alias("ids"),
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
+        F.array_join("labels", " ").alias("labels"),
+    )
+
+
 # --- batches -----------------------------------------------------------------
 
 

@@ -6,8 +6,26 @@ from ..functions.draws import PRIME
 from ..functions.noise import GRID_STEPS
 from ..functions.tokens import EOS, OFFSET, PAD
 from ..operators.augment import NOISY, STEPS
-from .check_sql import SQL, _near, _spaced, base, draw, lines_cte, on_noisy, sql_list
+from .check_sql import (
+    NEGATIVES,
+    PAIRS,
+    RANKED,
+    SQL,
+    _byte_ids,
+    _mined,
+    _near,
+    _spaced,
+    _split,
+    base,
+    draw,
+    lines_cte,
+    mixed_directions,
+    on_noisy,
+    source_cte,
+    sql_list,
+)
 from .further import SQL_FORMS
+from .registered import DIMS
 
 _STEP = (
     f"s AS (SELECT unnest(range(0, {len(GRID_STEPS)})) AS i, unnest({sql_list(GRID_STEPS)}) AS step)"
@@ -52,6 +70,73 @@ def _pooled(padded: bool) -> str:
     )
 
 
+def _vectors(name: str, source: str) -> str:
+    """``name(t, e)``: unit vectors of hashed character n-grams of distinct upper-cased texts."""
+    return (
+        f"{name}_p AS (SELECT DISTINCT t, ' ' || t || ' ' AS s FROM {source}), "
+        f"{name}_g AS (SELECT t, ((unicode(substr(s, i::INT, 1))::BIGINT * 961 + unicode(substr(s, i::INT + 1, 1)) * 31 + unicode(substr(s, i::INT + 2, 1))) "
+        f"* 48271 % 2147483647) % {DIMS} AS slot FROM {name}_p, unnest(range(1, length(s) - 1)) AS u(i)), "
+        f"{name}_n AS (SELECT t, slot, count(*) AS n FROM {name}_g GROUP BY ALL), "
+        f"{name}_w AS (SELECT t, map_from_entries(list((slot, (n / l)::FLOAT::DOUBLE))) AS m FROM (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY t)) AS l FROM {name}_n) GROUP BY 1), "
+        f"{name} AS (SELECT t, list_transform(range(0, {DIMS}), lambda k: coalesce(m[k], 0.0::DOUBLE))::DOUBLE[{DIMS}] AS e FROM {name}_w)"
+    )
+
+
+def _flagship() -> str:
+    """Every step on every line, shortlist of 24, edit scores blended with cosines, accuracy per step."""
+    forms = {step: SQL[f"noise_{name}"] for name, step in SQL_FORMS.items()}
+    forms["convert_cardinal_directions"] = mixed_directions(source_cte())
+    texts = " UNION ALL ".join(f"SELECT * FROM ({forms[s]})" for s in GRID_STEPS)
+    near = "1.0::DOUBLE - levenshtein(q.t, c.t) / greatest(length(q.t), length(c.t), 1)::DOUBLE"
+    return (
+        f"WITH {lines_cte()}, asked AS (SELECT line_id, step, upper(text) AS t FROM ({texts})), "
+        f"cat AS (SELECT first_line, upper(first_line) AS t, row_number() OVER (ORDER BY first_line) AS cat_id FROM (SELECT DISTINCT first_line FROM lines)), "
+        f"{_vectors('qv', 'asked')}, {_vectors('cv', 'cat')}, "
+        "sims AS (SELECT q.t AS qt, cat.cat_id, round(array_cosine_similarity(q.e, cv.e), 9) AS cosine FROM qv q, cv JOIN cat USING (t)), "
+        "near AS (SELECT *, row_number() OVER (PARTITION BY qt ORDER BY cosine DESC, cat_id) AS place FROM sims QUALIFY place <= 24), "
+        f"scored AS (SELECT q.line_id, q.step, near.place, c.first_line AS candidate, cosine, greatest(least({near}, 0.999999::DOUBLE), 0.000001::DOUBLE) AS p "
+        "FROM asked q JOIN near ON near.qt = q.t JOIN cat c USING (cat_id)), "
+        "blended AS (SELECT *, -ln(1.0::DOUBLE - p) + ln(p) + 2 * (cosine - min(cosine) OVER w) / greatest(max(cosine) OVER w - min(cosine) OVER w, 1e-8) AS pick "
+        "FROM scored WINDOW w AS (PARTITION BY line_id, step)), "
+        "best AS (SELECT * FROM blended QUALIFY row_number() OVER (PARTITION BY line_id, step ORDER BY pick DESC, place) = 1) "
+        "SELECT ', ' || step AS steps, count(*) AS n_rows, round(avg((candidate = first_line)::INT), 6) AS accuracy "
+        "FROM best JOIN lines USING (line_id) GROUP BY 1"
+    )
+
+
+def _failing() -> str:
+    """``pool`` of four candidates whose scores fail in every way, and all ``cands``."""
+    kind = "(query_id + cat_id) % 7"
+    at = base("query_id", "cat_id")
+    return (
+        f"{_near(16)}, cands AS (SELECT near.*, noisy, truth FROM near JOIN asked USING (query_id)), "
+        f"raw AS (SELECT *, CASE WHEN {kind} IN (0, 1) THEN 'inf'::DOUBLE WHEN {kind} = 2 THEN NULL ELSE {draw(at, 1)} / {PRIME}.0::DOUBLE * 5 END AS y, "
+        f"CASE WHEN {kind} = 0 THEN 'inf'::DOUBLE WHEN {kind} = 3 THEN NULL ELSE {draw(at, 2)} / {PRIME}.0::DOUBLE * 5 END AS n, "
+        f"{kind} IN (0, 2, 3) AS lost FROM cands WHERE place <= 4), "
+        "pool AS (SELECT *, CASE WHEN lost OR y = 'inf'::DOUBLE THEN '-inf'::DOUBLE ELSE n - y END AS pick FROM raw)"
+    )
+
+
+def _counted() -> str:
+    """Costs of both labels by back-off over the last four characters; the end of a label is '~'."""
+    step = (
+        "SELECT {cols}, at, c, right(ctx, c::INT) AS ctx, nx FROM (SELECT {cols}, at, right(prompt || substr(label, 1, at::INT - 1), 4) AS ctx, "
+        "coalesce(nullif(substr(label, at::INT, 1), ''), '~') AS nx FROM {frm}, unnest(range(1, length(label) + 2)) AS u(at)), unnest(range(0, length(ctx) + 1)) AS w(c)"
+    )
+    return (
+        f"seen AS ({step.format(cols='1 AS one', frm='(SELECT prompt, target AS label FROM prs WHERE row_id % 2 = 0)')}), "
+        "counts AS (SELECT c, ctx, nx, count(*) AS n FROM seen GROUP BY ALL), "
+        "model AS (SELECT *, sum(n) OVER (PARTITION BY c, ctx) AS total FROM counts), "
+        "ends AS (SELECT DISTINCT right(prompt, 4) AS prompt FROM prs), both_ AS (SELECT prompt, label FROM ends, (VALUES ('yes'), ('no')) AS l(label)), "
+        f"asked_ AS ({step.format(cols='prompt, label', frm='both_')}), "
+        "tokens AS (SELECT a.prompt, a.label, a.at, arg_max(-ln(n / total::DOUBLE) - (4 - a.c) * ln(0.4::DOUBLE), CASE WHEN n IS NOT NULL THEN a.c END) AS cost "
+        "FROM asked_ a LEFT JOIN model m ON a.c = m.c AND a.ctx = m.ctx AND a.nx = m.nx GROUP BY ALL), "
+        "costs AS (SELECT prompt, label, sum(coalesce(cost, -5 * ln(0.4::DOUBLE) + ln(259.0::DOUBLE))) AS nll FROM tokens GROUP BY ALL)"
+    )
+
+
+_IDS = _byte_ids("prompt", 128)
+
 SQL |= {f"sql_noise_{name}": SQL[f"noise_{name}"] for name in SQL_FORMS}
 SQL |= {
     "sql_helpers": on_noisy(
@@ -66,6 +151,52 @@ SQL |= {
         f"{_plans(3, True)} SELECT last_step, n_steps, count(*) AS n_plans, min(plan_no) AS first_plan, max(plan_no) AS last_plan, "
         "(SELECT count(*) FROM part) AS n_lines FROM p GROUP BY last_step, n_steps"
     ),
+    "accuracy_by_steps": _flagship(),
+    "label_failed_scores": (
+        f"WITH {_failing()} SELECT query_id, cat_id, CASE WHEN lost THEN '' WHEN y < n THEN 'yes' ELSE 'no' END AS label, "
+        "CASE WHEN lost THEN 'none' WHEN y = 'inf'::DOUBLE THEN '-Infinity' ELSE round(n - y, 6)::VARCHAR END AS margin, pick = '-inf'::DOUBLE AS is_last FROM pool"
+    ),
+    "pick_best_of_failed": (
+        f"WITH {_failing()} SELECT query_id, candidate AS predicted, coalesce(NOT lost AND y < n, false) AS predicted_prefers_yes, candidate = truth AS is_correct "
+        "FROM pool QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lost, pick DESC, place) = 1"
+    ),
+    "topk_accuracy_of_failed": (
+        f"WITH {_failing()}, o AS (SELECT c.query_id, c.candidate = c.truth AS hit, row_number() OVER (PARTITION BY c.query_id "
+        "ORDER BY coalesce(p.pick, -1e30) DESC, c.place) AS rn FROM cands c LEFT JOIN pool p USING (query_id, cat_id)), "
+        "h AS (SELECT query_id, bool_or(hit AND rn <= 3) AS hit FROM o GROUP BY 1) "
+        "SELECT round(avg(coalesce(hit, false)::INT), 6) AS accuracy FROM asked LEFT JOIN h USING (query_id)"
+    ),
+    "score_by_counts": (
+        f"WITH {NEGATIVES}, {_mined()}, {PAIRS}, {_counted()} SELECT row_id, pos, round(y.nll, 6) AS nll_yes, round(n.nll, 6) AS nll_no, "
+        "CASE WHEN y.nll < n.nll THEN 'yes' ELSE 'no' END AS label FROM prs JOIN costs y ON y.prompt = right(prs.prompt, 4) AND y.label = 'yes' "
+        "JOIN costs n ON n.prompt = right(prs.prompt, 4) AND n.label = 'no'"
+    ),
+    "evaluation_maps": (
+        f"WITH {RANKED} SELECT c.query_id, c.candidate, round(c.cosine, 6) AS cosine, p.label, round(p.nll_yes, 5) AS nll_yes, "
+        "round(p.nll_no, 5) AS nll_no, round(p.nll_no - p.nll_yes, 5) AS margins, round(p.pick_score, 5) AS pick_scores "
+        "FROM cands c LEFT JOIN pool p USING (query_id, cat_id)"
+    ),
+    "flat_record_maps": (
+        f"WITH {RANKED} SELECT c.noisy, c.candidate, round(c.cosine, 6) AS cosine, round(p.nll_yes, 5) AS nll_yes, "
+        "round(p.nll_no, 5) AS nll_no, round(p.nll_no - p.nll_yes, 5) AS margins, round(p.pick_score, 5) AS pick_scores "
+        "FROM cands c LEFT JOIN pool p USING (query_id, cat_id)"
+    ),
+    "catalog_contents": on_noisy(
+        f", cat AS (SELECT row_number() OVER (ORDER BY first_line) - 1 AS cat_id, first_line AS canonical, upper(first_line) AS t FROM (SELECT DISTINCT first_line FROM noisy)), "
+        f"{_vectors('cv', 'cat')} SELECT cat_id, canonical, i - 1 AS slot, round(e[i], 5) AS w FROM cat JOIN cv USING (t), unnest(range(1, {DIMS} + 1)) AS u(i) WHERE e[i] <> 0"
+    ).replace(") , cat AS", "), cat AS"),
+    "negatives_contents": (
+        f"WITH {NEGATIVES}, parts AS {_split('train')}, tr AS (SELECT * FROM parts WHERE split = 'train'), {_mined('tr')} "
+        f"SELECT row_id, first_line, {NOISY}, 'train' AS split, array_to_string(hn, '|') AS hard_negatives FROM mined UNION ALL "
+        f"SELECT row_id, first_line, {NOISY}, split, '' FROM parts WHERE split = 'test'"
+    ),
+    "merged_rows": (
+        f"WITH {NEGATIVES}, {_mined()} SELECT row_id, first_line, {NOISY}, len(hn)::INT AS n_negatives, array_to_string(hn, '|') AS hard_negatives FROM mined"
+    ),
+    "pairs_contents": (
+        f"WITH {NEGATIVES}, {_mined()}, {PAIRS} SELECT row_id, pos, md5(array_to_string({_IDS}, ' ')) AS ids, least(octet_length(encode(prompt)) + 1, 128)::INT AS n_tokens, "
+        "CASE target WHEN 'yes' THEN '124 104 118 1 0 0 0 0' ELSE '113 114 1 0 0 0 0 0' END AS labels FROM prs"
+    ),
     "noisy_grid_by_number": SQL["augment_grid"],
     "shortlist_by_cells": SQL["shortlist"],
     "score_legacy_whole": (

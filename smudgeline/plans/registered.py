@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions import clean, draws, lexicons, noise, scoring, similarity, steps, tokens
 from ..functions.encoders import ngram_encoder
-from ..functions.exprs import words_literal
+from ..functions.exprs import as_text as as_text_
+from ..functions.exprs import distinct_sorted, words_literal
+from ..functions.exprs import json_text as json_text_
 from ..operators import augment, catalog, neighbors, negatives, pairs, ranking, reports, split
 from ..operators.augment import CANONICAL, NOISY, STEPS
 from ..session import scratch_path, stored
@@ -259,7 +261,7 @@ def fraction_glyphs(spark, sf):
 @query
 def dedupe_alts(spark, sf):
     """Distinct characters of each line, sorted."""
-    chars = F.sort_array(F.array_distinct(F.split(CANONICAL, "")))
+    chars = distinct_sorted(F.split(CANONICAL, ""))
     return lines(spark, sf).select("line_id", F.array_join(chars, "").alias("alts"))
 
 
@@ -331,7 +333,7 @@ def keep_known(spark, sf):
 @query
 def as_text(spark, sf):
     return table(spark, sf, "part").select(
-        F.col("p_partkey").cast("string").alias("key"), F.col("p_size").cast("string").alias("text")
+        as_text_(F.col("p_partkey")).alias("key"), as_text_(F.col("p_size")).alias("text")
     )
 
 
@@ -394,7 +396,7 @@ def union_all(spark, sf):
         augment.apply_steps(augment.add_working_column(src), plan, SEED, iteration=F.lit(1))
         for plan in PLANS[:2]
     ]
-    return parts[0].unionByName(parts[1]).groupBy(STEPS).agg(F.count("*").alias("n_rows"))
+    return augment.union_all(parts).groupBy(STEPS).agg(F.count("*").alias("n_rows"))
 
 
 # --- counts ------------------------------------------------------------------
@@ -563,7 +565,7 @@ def run_stamp(spark, sf):
 @query
 def json_text(spark, sf):
     made = F.map_from_arrays(F.array("c_name", F.lit("segment é")), F.array("c_mktsegment", "c_name"))
-    return table(spark, sf, "customer").select("c_custkey", F.to_json(made).alias("json"))
+    return table(spark, sf, "customer").select("c_custkey", json_text_(made).alias("json"))
 
 
 @query
@@ -623,7 +625,10 @@ def ranked(
 
 @query
 def cosine_pairs(spark, sf):
-    """Cosine of each vector with the mean of its label."""
+    """Cosine of each vector with the mean of its label.
+
+    Labels are few and so are their means, which Spark broadcasts by their size: no label is a hot key.
+    """
     rows = table(spark, sf, "embeddings")
     means = rows.select("label", F.posexplode("embedding").alias("at", "x")).groupBy(
         "label", "at"

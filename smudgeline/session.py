@@ -45,7 +45,32 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: folders this process has made, by session
+_MADE: dict[str, list[str]] = {}
+
+
+def made_folders(spark: SparkSession) -> list[str]:
+    """Folders :func:`stored` and :func:`scratch_path` have named for this application and not cleared."""
+    return list(_MADE.get(spark.sparkContext.applicationId, ()))
+
+
+def clear_made(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the folders made since the first ``keep``; how many were there.
+
+    For a job that is through with its results: frames that read from these folders can no longer be used.
+    Take ``len(made_folders(spark))`` before the job as ``keep``.
+    """
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    gone, made[keep:] = made[keep:], []
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

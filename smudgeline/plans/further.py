@@ -77,7 +77,7 @@ def step_plans_by_number(spark, sf):
     """All plans of one to four steps, and the rows each gives on the lines of the largest type."""
     plans = augment.numbered_plans(spark, noise.GRID_STEPS, 4)
     most = r.lines(spark, sf).groupBy("st").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return plans.select("plan_no", F.array_join("steps_arr", ",").alias("plan"), "n_steps", F.lit(most).alias("n_rows"))
+    return plans.select("plan_no", F.array_join("steps_arr", ",").alias("plan"), "n_steps", F.lit(most).cast("long").alias("n_rows"))
 
 
 @query

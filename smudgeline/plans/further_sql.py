@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.draws import PRIME
+from ..functions.lexicons import lookalikes
 from ..functions.noise import GRID_STEPS
 from ..functions.tokens import EOS, OFFSET, PAD
 from ..operators.augment import NOISY, STEPS
@@ -21,6 +22,7 @@ from .check_sql import (
     lines_cte,
     mixed_directions,
     on_noisy,
+    quoted,
     source_cte,
     sql_list,
 )
@@ -87,9 +89,13 @@ def _flagship() -> str:
     forms = {step: SQL[f"noise_{name}"] for name, step in SQL_FORMS.items()}
     forms["convert_cardinal_directions"] = mixed_directions(source_cte())
     texts = " UNION ALL ".join(f"SELECT * FROM ({forms[s]})" for s in GRID_STEPS)
-    near = "1.0::DOUBLE - levenshtein(q.t, c.t) / greatest(length(q.t), length(c.t), 1)::DOUBLE"
+    # capitals of look-alikes as Unicode has them in full, where one may become two
+    special = {a: a.upper() for alts in lookalikes().values() for a in alts if len(a) == 1 and a.upper() != a}
+    capitals = f"MAP {{{', '.join(f'{quoted(k)}: {quoted(v)}' for k, v in sorted(special.items()))}}}"
+    # edits are counted in bytes here; lines are ASCII, so any other character may be one byte that none has
+    near = "1.0::DOUBLE - levenshtein(regexp_replace(q.t, '[^\\x00-\\x7F]', chr(127), 'g'), c.t) / greatest(length(q.t), length(c.t), 1)::DOUBLE"
     return (
-        f"WITH {lines_cte()}, asked AS (SELECT line_id, step, upper(text) AS t FROM ({texts})), "
+        f"WITH {lines_cte()}, asked AS (SELECT line_id, step, array_to_string(list_transform(string_split(text, ''), lambda c: coalesce({capitals}[c], upper(c))), '') AS t FROM ({texts})), "
         f"cat AS (SELECT first_line, upper(first_line) AS t, row_number() OVER (ORDER BY first_line) AS cat_id FROM (SELECT DISTINCT first_line FROM lines)), "
         f"{_vectors('qv', 'asked')}, {_vectors('cv', 'cat')}, "
         "sims AS (SELECT q.t AS qt, cat.cat_id, round(array_cosine_similarity(q.e, cv.e), 9) AS cosine FROM qv q, cv JOIN cat USING (t)), "
@@ -124,7 +130,7 @@ def _counted() -> str:
         "coalesce(nullif(substr(label, at::INT, 1), ''), '~') AS nx FROM {frm}, unnest(range(1, length(label) + 2)) AS u(at)), unnest(range(0, length(ctx) + 1)) AS w(c)"
     )
     return (
-        f"seen AS ({step.format(cols='1 AS one', frm='(SELECT prompt, target AS label FROM prs WHERE row_id % 2 = 0)')}), "
+        f"seen AS ({step.format(cols='one', frm='(SELECT 1 AS one, prompt, target AS label FROM prs WHERE row_id % 2 = 0)')}), "
         "counts AS (SELECT c, ctx, nx, count(*) AS n FROM seen GROUP BY ALL), "
         "model AS (SELECT *, sum(n) OVER (PARTITION BY c, ctx) AS total FROM counts), "
         "ends AS (SELECT DISTINCT right(prompt, 4) AS prompt FROM prs), both_ AS (SELECT prompt, label FROM ends, (VALUES ('yes'), ('no')) AS l(label)), "

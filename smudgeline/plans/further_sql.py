@@ -126,8 +126,8 @@ def _failing() -> str:
 def _counted() -> str:
     """Costs of both labels by back-off over the last four characters; the end of a label is '~'."""
     step = (
-        "SELECT {cols}, at, c, right(ctx, c::INT) AS ctx, nx FROM (SELECT {cols}, at, right(prompt || substr(label, 1, at::INT - 1), 4) AS ctx, "
-        "coalesce(nullif(substr(label, at::INT, 1), ''), '~') AS nx FROM {frm}, unnest(range(1, length(label) + 2)) AS u(at)), unnest(range(0, length(ctx) + 1)) AS w(c)"
+        "SELECT {cols}, nth, c, right(ctx, c::INT) AS ctx, nx FROM (SELECT {cols}, nth, right(prompt || substr(label, 1, nth::INT - 1), 4) AS ctx, "
+        "coalesce(nullif(substr(label, nth::INT, 1), ''), '~') AS nx FROM {frm}, unnest(range(1, length(label) + 2)) AS u(nth)), unnest(range(0, length(ctx) + 1)) AS w(c)"
     )
     return (
         f"seen AS ({step.format(cols='one', frm='(SELECT 1 AS one, prompt, target AS label FROM prs WHERE row_id % 2 = 0)')}), "
@@ -135,7 +135,7 @@ def _counted() -> str:
         "model AS (SELECT *, sum(n) OVER (PARTITION BY c, ctx) AS total FROM counts), "
         "ends AS (SELECT DISTINCT right(prompt, 4) AS prompt FROM prs), both_ AS (SELECT prompt, label FROM ends, (VALUES ('yes'), ('no')) AS l(label)), "
         f"asked_ AS ({step.format(cols='prompt, label', frm='both_')}), "
-        "tokens AS (SELECT a.prompt, a.label, a.at, arg_max(-ln(n / total::DOUBLE) - (4 - a.c) * ln(0.4::DOUBLE), CASE WHEN n IS NOT NULL THEN a.c END) AS cost "
+        "tokens AS (SELECT a.prompt, a.label, a.nth, arg_max(-ln(n / total::DOUBLE) - (4 - a.c) * ln(0.4::DOUBLE), CASE WHEN n IS NOT NULL THEN a.c END) AS cost "
         "FROM asked_ a LEFT JOIN model m ON a.c = m.c AND a.ctx = m.ctx AND a.nx = m.nx GROUP BY ALL), "
         "costs AS (SELECT prompt, label, sum(coalesce(cost, -5 * ln(0.4::DOUBLE) + ln(259.0::DOUBLE))) AS nll FROM tokens GROUP BY ALL)"
     )

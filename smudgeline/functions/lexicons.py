@@ -208,7 +208,7 @@ _TOPICS = {
     "tree": ["ALDER", "ASH", "BEECH", "ELM", "FIR", "HAZEL", "LARCH", "MAPLE", "PINE", "ROWAN", "YEW"],
 }
 _NUMBERED = ["BERTH", "BLOCK", "CABIN", "DOCK", "HANGAR", "LOCKER", "PIER", "STALL", "WING"]
-LAST_NUMBERED = 100
+LAST_NUMBERED = 150
 
 
 def _letter_codes() -> list[str]:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import ascii_words, texts
 
 SYMBOLS = "#*$%&|<>"
@@ -148,7 +149,8 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, Reference
     )
     is_class = F.substring("word", 1, 1) == F.lit(b"\n")
     place = Window.partitionBy("lang", "_class").orderBy(F.desc("n"), "word")
-    kept = counts.withColumn("_class", is_class)
+    # read three times: texts are gone through once
+    kept = stored(counts.withColumn("_class", is_class), "word-counts")
     sums = kept.groupBy("lang", "_class").agg(F.sum("n").alias("total"))
     # marks with too few documents or words never reach the driver, however many marks there are
     spoken_mark = F.col("word") == F.lit(b"\n%d" % CLASSES)
@@ -161,12 +163,13 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, Reference
         .filter((F.col("documents") >= rules.min_reference_documents) & (F.col("words") >= rules.min_reference_words))
         .select("lang")
     )
+    # the first few of each mark are found before marks are compared, so no task meets all words of one
     top = (
-        kept.join(large_enough, "lang", "left_semi")
-        .withColumn("_at", F.row_number().over(place))
+        kept.withColumn("_at", F.row_number().over(place))
         .filter(F.col("_at") <= F.lit(max(rules.common_words, CLASSES + 1)))
         .drop("_at")
         .join(sums, ["lang", "_class"])
+        .join(large_enough, "lang", "left_semi")
     )
     out: dict[str, Reference] = {}
     common: dict[str, list] = {}

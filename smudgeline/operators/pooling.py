@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import bind
 from ..functions.tokens import PAD
+from .augment import made_once
+
+#: bytes of token vectors that every task may hold
+VOCABULARY_BYTES = 64 << 20
 
 
 def _scaled(vec: Column, by: Column) -> Column:
@@ -21,9 +26,19 @@ def _total(rows: Column) -> Column:
 
 
 def unit(vec: Column) -> Column:
-    """A vector at length one; a zero vector stays."""
-    size = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec)
+    """A vector at length one; a zero vector stays. The vector and its length are worked out once each."""
+
+    def scaled(v: Column) -> Column:
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return bind(size, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return bind(vec, scaled)
+
+
+def _is_small(vectors: DataFrame) -> bool:
+    """Whether token vectors are few and short enough to be held by every task, by their count and lengths."""
+    n, longest = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    return n * 8 * max(longest or 0, 1) <= VOCABULARY_BYTES
 
 
 def mean_over_tokens(
@@ -42,6 +57,9 @@ def mean_over_tokens(
     batch is pooled without a mask. Tokens are counted in their row, so a join sees each distinct token of
     a text once and a sum has no more rows than the vocabulary. Tokens without a vector add nothing but
     count. A text without tokens has no row; keys must be unique.
+
+    Texts are dealt out by key before they are taken apart. A vocabulary of at most ``VOCABULARY_BYTES`` is
+    broadcast, so vectors are summed where their text lies; a larger one is joined by sorting, never the texts broadcast.
     """
     kept = F.slice(F.col(ids), 1, limit)
     rows = texts.filter(F.size(ids) > 0).select(F.col(key), kept.alias("_ids"), F.size(kept).alias("_n"), *(
@@ -49,7 +67,7 @@ def mean_over_tokens(
     ))
     if batch is not None:
         widest = rows.groupBy("_batch").agg(F.max("_n").alias("_width"))
-        rows = rows.join(widest, "_batch")
+        rows = rows.join(widest.hint("merge"), "_batch")
     else:
         rows = rows.withColumn("_width", F.col("_n"))
     counted = F.transform(
@@ -57,8 +75,9 @@ def mean_over_tokens(
         lambda t: F.struct(t.alias("token"), F.size(F.filter("_ids", lambda x: x == t)).alias("n")),
     )
     padding = F.struct(F.lit(PAD).alias("token"), (F.col("_width") - F.col("_n")).alias("n"))
-    spread = rows.select(key, "_width", F.explode(F.concat(counted, F.array(padding))).alias("t")).filter("t.n > 0")
+    spread = rows.repartition(key).select(key, "_width", F.explode(F.concat(counted, F.array(padding))).alias("t")).filter("t.n > 0")
     known = token_vectors.select(F.col("token_id").alias("_token"), F.col("vec").alias("_vec"))
+    known = known.hint("broadcast" if _is_small(token_vectors) else "merge")
     summed = (
         spread.join(known, F.col("t.token") == F.col("_token"))
         .groupBy(key)
@@ -70,4 +89,5 @@ def mean_over_tokens(
     )
     width = F.col("_width")
     mean = F.transform(_total(F.col("_rows")), lambda x: x / width)
-    return summed.select(key, (unit(mean) if normalise else mean).alias("vec"))
+    # made once, whatever is read of it later
+    return made_once(summed.select(key, "_rows", "_width"), "vec", unit(mean) if normalise else mean).select(key, "vec")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from smudgeline.operators import skew
+from smudgeline.operators import pooling, skew
 
 
 def plan(df):
@@ -24,3 +24,20 @@ def test_sides_of_unknown_size_are_merged(spark):
         assert any("_split" in x or "_part" in x for x in merged)
     assert one.count() == 200 and one.filter("first = row_id div 4 * 4").count() == 200
     assert many.count() == 50 * 16
+
+
+def test_texts_are_not_broadcast_to_token_vectors(spark, monkeypatch):
+    texts = spark.range(60).select("id", F.expr("transform(sequence(0, id % 7), x -> cast(x * 3 % 5 as int))").alias("ids"))
+    vectors = spark.range(5).select(F.col("id").cast("int").alias("token_id"), F.expr("transform(sequence(1, 8), x -> cast(x * id as float))").alias("vec"))
+    batch = F.col("id") % 4
+    made = []
+    for room in (pooling.VOCABULARY_BYTES, 0):
+        monkeypatch.setattr(pooling, "VOCABULARY_BYTES", room)
+        for padded in (None, batch):
+            out = pooling.mean_over_tokens(texts, vectors, "id", batch=padded)
+            # vectors may be broadcast, to the right of the texts; without room everything is merged
+            assert "BuildLeft" not in plan(out) and ("BroadcastHashJoin" in plan(out)) == bool(room)
+            made.append(sorted((r["id"], tuple(r["vec"])) for r in out.collect()))
+    assert made[0] == made[2] and made[1] == made[3] and len(made[0]) == 60
+    # each text is summed once, not once for each component of its vector
+    assert plan(pooling.mean_over_tokens(texts, vectors, "id")).count("zip_with") <= 2

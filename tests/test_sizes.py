@@ -5,7 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from smudgeline.operators import neighbors, pooling, skew
+from smudgeline.operators import neighbors, pooling, ranking, skew
+from smudgeline.plans import registered
 
 
 def plan(df):
@@ -104,3 +105,22 @@ def test_open_cells_come_in_bounded_batches(monkeypatch):
         made = list(visit(iter([batch])))
         assert max(b.num_rows for b in made) <= 640
         assert sum(sum(b["n"].to_pylist()) if counted else b.num_rows for b in made) == 300 * 63
+
+
+def test_a_shortlist_is_found_once(spark, small):
+    # read twice by the injection: from its folder, not by meeting the catalog again
+    assert "CoGroup" not in plan(registered.inject_truth(spark, small))
+
+
+def test_blocks_of_the_whole_catalog_are_spread(spark):
+    queries = spark.range(600).selectExpr("id AS query_id", "concat('t', id) AS noisy", "concat('l', id) AS truth")
+    catalog = spark.range(90).selectExpr("id AS cat_id", "concat('l', id) AS canonical")
+    tasks = []
+
+    def scorer(df):
+        tasks.append(df.rdd.getNumPartitions())
+        return df.withColumns({"nll_yes": F.when(F.col("cat_id") == 50, 0.0).otherwise(2.0), "nll_no": F.lit(1.0)})
+
+    got = ranking.score_legacy_whole(queries, catalog, scorer, block_lines=20, block_queries=50)
+    assert got.filter("predicted = 'l50'").count() == 600
+    assert set(tasks) == {int(spark.conf.get("spark.sql.shuffle.partitions"))}

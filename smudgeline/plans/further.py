@@ -282,7 +282,7 @@ def append_noisy_batches(spark, sf):
 def part_trie(spark, sf) -> DataFrame:
     """Byte tokens of part names in two batches, the second one sent twice."""
     place = scratch_path(spark, "trie")
-    names = table(spark, sf, "part").select("p_partkey", tokens.byte_tokens(F.col("p_name")).alias("ids"))
+    names = r.part_names(spark, sf).select("p_partkey", tokens.byte_tokens(F.col("p_name")).alias("ids"))
     trie.extend(names.filter("p_partkey % 3 = 0"), place, "first")
     trie.extend(names, place, "second")
     trie.extend(names, place, "second")
@@ -298,7 +298,7 @@ def trie_nodes(spark, sf):
 @query
 def allowed_next_from_trie(spark, sf):
     """What may follow each prefix of each part name, asked of the stored trie."""
-    parts = table(spark, sf, "part").select("p_partkey", tokens.byte_tokens(F.col("p_name")).alias("ids"))
+    parts = r.part_names(spark, sf).select("p_partkey", tokens.byte_tokens(F.col("p_name")).alias("ids"))
     wanted = parts.select("*", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("n_ids")).select(
         "p_partkey",
         F.col("n_ids").cast("long").alias("n_ids"),

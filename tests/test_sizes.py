@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from smudgeline.operators import neighbors, pooling, ranking, skew
-from smudgeline.plans import registered
+from smudgeline.plans import further, registered
 
 
 def plan(df):
@@ -124,3 +124,14 @@ def test_blocks_of_the_whole_catalog_are_spread(spark):
     got = ranking.score_legacy_whole(queries, catalog, scorer, block_lines=20, block_queries=50)
     assert got.filter("predicted = 'l50'").count() == 600
     assert set(tasks) == {int(spark.conf.get("spark.sql.shuffle.partitions"))}
+
+
+def test_prefixes_are_made_in_many_tasks(spark, small, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registered.pairs, "allowed_next", lambda wanted, *a, f=registered.pairs.allowed_next: asked.append(wanted) or f(wanted, *a))
+    monkeypatch.setattr(further.trie, "allowed_next", lambda wanted, *a, f=further.trie.allowed_next: asked.append(wanted) or f(wanted, *a))
+    made = [registered.allowed_next(spark, small), further.allowed_next_from_trie(spark, small)]
+    rows = [sorted(map(tuple, df.collect())) for df in made]
+    assert rows[0] == rows[1] and rows[0]
+    # the file is one task's, its prefixes are not
+    assert all(w.groupBy(F.spark_partition_id()).count().count() > 4 for w in asked)

@@ -135,3 +135,19 @@ def test_prefixes_are_made_in_many_tasks(spark, small, monkeypatch):
     assert rows[0] == rows[1] and rows[0]
     # the file is one task's, its prefixes are not
     assert all(w.groupBy(F.spark_partition_id()).count().count() > 4 for w in asked)
+
+
+def test_scores_of_a_pair_are_worked_out_once(spark, monkeypatch):
+    queries = spark.range(40).selectExpr("id AS query_id", "concat('t', id) AS noisy", "concat('l', id) AS truth")
+    catalog = spark.range(30).selectExpr("id AS cat_id", "concat('l', id) AS canonical")
+    joins = []
+
+    def noted(df, name, f=ranking.stored):
+        joins.extend(x for x in plan(df).splitlines() if name == "legacy_answers" and "SortMergeJoin" in x)
+        return f(df, name)
+
+    monkeypatch.setattr(ranking, "stored", noted)
+    got = ranking.score_legacy_whole(queries, catalog, further.rare_scorer, block_lines=30, block_queries=20)
+    assert got.count() == 40
+    # the join pairs blocks; a filter pushed into it would draw a pair's scores once for each place they are named in
+    assert joins and not any("md5" in x for x in joins)

@@ -151,3 +151,21 @@ def test_scores_of_a_pair_are_worked_out_once(spark, monkeypatch):
     assert got.count() == 40
     # the join pairs blocks; a filter pushed into it would draw a pair's scores once for each place they are named in
     assert joins and not any("md5" in x for x in joins)
+
+
+def test_copies_of_repeated_rows_are_bounded(spark, monkeypatch):
+    grids = []
+
+    def noted(df, name, f=skew.stored):
+        out = f(df, name)
+        grids.append(out.agg(F.max("_l_splits"), F.max("_r_splits")).first()) if name == "hot_grid" else None
+        return out
+
+    monkeypatch.setattr(skew, "stored", noted)
+    left = spark.range(400).selectExpr("id AS row_id", "concat('k', id % 2) AS key")
+    right = left.selectExpr("row_id AS other_id", "key").filter("other_id < 202")
+    for full, parts in ((1000, (32, 32)), (4, (50, 32))):
+        monkeypatch.setattr(skew, "ROWS_PER_SPLIT", full)
+        out = skew.skew_join_many(left, right, "key", right_row="other_id", rows_per_split=2)
+        # 200 rows and 101 in parts of two would be copied 51 and 100 times; full parts are not made fuller
+        assert out.distinct().count() == 2 * 200 * 101 and tuple(grids.pop()) == parts

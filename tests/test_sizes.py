@@ -169,3 +169,24 @@ def test_copies_of_repeated_rows_are_bounded(spark, monkeypatch):
         out = skew.skew_join_many(left, right, "key", right_row="other_id", rows_per_split=2)
         # 200 rows and 101 in parts of two would be copied 51 and 100 times; full parts are not made fuller
         assert out.distinct().count() == 2 * 200 * 101 and tuple(grids.pop()) == parts
+
+
+def test_best_lines_are_sorted_when_many_are_new(monkeypatch):
+    rng = np.random.default_rng(8)
+    queries, lines = neighbors._unit(rng.normal(size=(300, 12)), True), neighbors._unit(rng.normal(size=(40 * 1024 + 5, 12)), False)
+    calls = []
+    monkeypatch.setattr(neighbors, "_first", lambda *a, f=neighbors._first: calls.append(len(a[0])) or f(*a))
+    rows, cols, sims, _ = neighbors.top_pairs(queries, lines, 6, None, np.full(300, -np.inf))
+    every = np.round(np.einsum("id,jd->ij", queries, lines), neighbors.DIGITS)
+    best = np.lexsort((np.broadcast_to(np.arange(every.shape[1]), every.shape), -every))[:, :6]
+    assert (cols.reshape(300, 6) == best).all() and (sims.reshape(300, 6) == np.take_along_axis(every, best, 1)).all()
+    # not once for each of the 41 tiles of lines
+    assert len(calls) < 20
+
+
+def test_places_of_flags():
+    rng = np.random.default_rng(9)
+    for n in (0, 5, 8, 1003):
+        for share in (0, 0.01, 1):
+            flags = rng.random(n) < share
+            assert (neighbors._places(flags) == np.flatnonzero(flags)).all()

@@ -11,6 +11,8 @@ as a whole. Decoding reverses the byte table; a character that is split over tok
 from __future__ import annotations
 
 import codecs
+import functools
+import os
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
@@ -25,7 +27,7 @@ from .common import lots
 from .packing import public_vocabulary
 
 #: characters of text worked on at once, pieces a worker keeps, the longest piece kept
-LOT, KEPT, KEPT_LENGTH = 1 << 19, 400_000, 64
+LOT, KEPT, KEPT_LENGTH = 1 << 19, 100_000, 64
 
 
 def public_pattern() -> str:
@@ -178,6 +180,19 @@ class Decoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str, pattern: str, offsets: bool) -> Encoder:
+    """The encoder of this worker: tasks come one after the other, and what each made anew would not all be given back."""
+    # a task has a core of its own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path, pattern, offsets)
+
+
+@functools.lru_cache(maxsize=1)
+def worker_decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode_documents(
     documents: DataFrame,
     offsets: bool = False,
@@ -197,8 +212,8 @@ def encode_documents(
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, cut_by, offsets)
-        decoder = Decoder(path) if decoded else None
+        encoder = worker_encoder(path, cut_by, offsets)
+        decoder = worker_decoder(path) if decoded else None
         for batch in batches:
             column = batch.column(1)
             lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy()
@@ -225,7 +240,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
+        decoder = worker_decoder(path)
         for batch in batches:
             data = [
                 None if ids is None else decoder.data(np.frombuffer(ids, "<u4").tolist())
@@ -250,7 +265,7 @@ def token_texts(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
+        decoder = worker_decoder(path)
         for batch in batches:
             for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(packed or b"", "<u4").tolist()

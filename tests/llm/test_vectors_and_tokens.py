@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,32 @@ def test_bpe_against_tiktoken(spark, small):
     assert any("" in s for s in said.values())
 
 
+def test_bpe_of_many_tasks_in_one_worker(spark, monkeypatch):
+    class Documents:
+        """Hands back the function that Spark would run over batches."""
+
+        select = lambda self, *columns: self
+        mapInArrow = staticmethod(lambda made, schema: made)
+
+    built = []
+    for name in ("Encoder", "Decoder"):
+        kind = getattr(byte_bpe, name)
+        monkeypatch.setattr(byte_bpe, name, lambda *a, kind=kind, name=name: built.append(name) or kind(*a))
+    monkeypatch.setattr(byte_bpe, "KEPT", 50)
+    # what the tasks make is the worker's, not this process's
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    monkeypatch.setattr(byte_bpe, "LOT", 1000)
+    run, given, encoding = byte_bpe.encode_documents(Documents(), decoded=True), odd_texts(), reference_encoding()
+    for at in range(0, 400, 100):
+        texts = given[at : at + 100]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+        made = pa.Table.from_batches(list(run(iter([batch]))))
+        assert [np.frombuffer(b, "<u4").tolist() for b in made["ids"].to_pylist()] == [encoding.encode_ordinary(t) for t in texts]
+        assert made["data"].to_pylist() == [t.encode() for t in texts]
+    # a model for each task would stay behind in the worker's memory in part
+    assert sorted(built) == ["Decoder", "Encoder"]
+
+
 def test_bpe_of_broken_ids(spark):
     ids = [np.array(v, "<u4").tobytes() for v in ([172], [50256], [10**6], [])]
     rows = [*enumerate(ids), (9, None), (None, ids[0])]

@@ -190,3 +190,33 @@ def test_places_of_flags():
         for share in (0, 0.01, 1):
             flags = rng.random(n) < share
             assert (neighbors._places(flags) == np.flatnonzero(flags)).all()
+
+
+def test_full_chunks_are_not_copied(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # few values: many ties, zero vectors, and queries of one vector
+    rows = [(i, f"line {i}", [float(x) for x in v]) for i, v in enumerate(rng.integers(0, 3, size=(1100, 5)))]
+    catalog = spark.createDataFrame(rows, "cat_id long, canonical string, vec array<float>").repartition(3)
+    queries = catalog.withColumnRenamed("cat_id", "query_id").select("query_id", "vec")
+    both = queries.unionByName(queries.withColumn("query_id", F.col("query_id") + 5000))
+    plain = sorted(tuple(r) for r in neighbors.shortlist(both, catalog, 9).collect())
+    made = []
+    monkeypatch.setattr(neighbors, "_meet", lambda *a, f=neighbors._meet: made.append(max(a[4])) or f(*a))
+    # a chunk of queries is full at 1,024 of 2,200 rows, and the catalog may be copied once
+    monkeypatch.setattr(neighbors, "ANSWERS", 1 << 12)
+    monkeypatch.setattr(neighbors, "COPIES", 1)
+    for sizes in ({}, {"PACKED_ROWS": 64, "PACKED_QUERIES": 100}, {"PACKED_ROWS": 100, "PART_LINES": 400}):
+        with monkeypatch.context() as m:
+            for name, size in sizes.items():
+                m.setattr(neighbors, name, size)
+            found = neighbors.shortlist(both, catalog, 9)
+            assert sorted(tuple(r) for r in found.collect()) == plain
+            assert "CartesianProduct" in plan(found)
+    assert not made
+    # ids need not be numbers, and cells that rule nothing out end in the same search
+    named = catalog.withColumn("cat_id", F.format_string("c%05d", "cat_id"))
+    got = neighbors.shortlist(both, named, 9).collect()
+    assert sorted((r["query_id"], int(r["cat_id"][1:]), *r[2:]) for r in got) == plain
+    monkeypatch.setattr(neighbors, "WHOLE", 0)
+    found = neighbors.shortlist(both, catalog, 9, chunk_rows=50, cell_rows=25)
+    assert sorted(tuple(r) for r in found.collect()) == plain and "CartesianProduct" in plan(found)

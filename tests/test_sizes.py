@@ -220,3 +220,32 @@ def test_full_chunks_are_not_copied(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "WHOLE", 0)
     found = neighbors.shortlist(both, catalog, 9, chunk_rows=50, cell_rows=25)
     assert sorted(tuple(r) for r in found.collect()) == plain and "CartesianProduct" in plan(found)
+
+
+def test_many_repeated_keys_share_the_copies(spark, monkeypatch):
+    grids = []
+
+    def noted(df, name, f=skew.stored):
+        out = f(df, name)
+        grids.append(out.agg(F.max("_l_splits"), F.max("_r_splits")).first()) if name == "hot_grid" else None
+        return out
+
+    monkeypatch.setattr(skew, "stored", noted)
+    left = spark.range(6400).selectExpr("id AS row_id", "concat('k', id % 32) AS key")
+    right = left.selectExpr("row_id AS other_id", "key").filter("other_id < 3200")
+    out = skew.skew_join_many(left, right, "key", right_row="other_id", rows_per_split=2)
+    assert out.distinct().count() == 32 * 200 * 100
+    # each of 32 keys has its part of the 2 * 32 * 32 blocks two keys would have; before, 32 copies of each row
+    assert tuple(grids[0]) == (8, 8)
+
+
+def test_repeated_rows_come_in_short_lists(spark, monkeypatch):
+    monkeypatch.setattr(skew, "GRID_COPIES", 1)
+    left = spark.range(300).selectExpr("id AS row_id", "'k' AS key")
+    right = spark.range(3000).selectExpr("id AS other_id", "'k' AS key", "nullif(id, 7) AS value")
+    rows = skew.skew_join_many(left, right, "key", "left", right_row="other_id", rows_per_split=7).collect()
+    assert len({(r["row_id"], r["other_id"]) for r in rows}) == len(rows) == 300 * 3000
+    assert rows[0].__fields__ == ["key", "row_id", "other_id", "value"]
+    assert all(r["value"] == (None if r["other_id"] == 7 else r["other_id"]) for r in rows)
+    # written in this order, a column of so few values is short; before, all 3,000 came again for each row
+    assert len({r["other_id"] for r in rows[:3000]}) < 3 * skew.LIST_ROWS

@@ -249,3 +249,58 @@ def test_repeated_rows_come_in_short_lists(spark, monkeypatch):
     assert all(r["value"] == (None if r["other_id"] == 7 else r["other_id"]) for r in rows)
     # written in this order, a column of so few values is short; before, all 3,000 came again for each row
     assert len({r["other_id"] for r in rows[:3000]}) < 3 * skew.LIST_ROWS
+
+
+def test_pivots_are_probed_before_much_is_copied(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(neighbors, "_meet", lambda *a, f=neighbors._meet: made.append(a) or f(*a))
+    rng = np.random.default_rng(11)
+    centers = np.repeat(rng.normal(size=(16, 40)), 75, axis=0)
+    for vecs, is_clustered in ((rng.normal(size=(1200, 40)), False), (centers + rng.normal(size=(1200, 40)) * 0.02, True)):
+        rows = [(i, f"line {i}", [float(x) for x in v]) for i, v in enumerate(vecs)]
+        catalog = spark.createDataFrame(rows, "cat_id long, canonical string, vec array<float>").repartition(3)
+        plain = sorted(tuple(r) for r in neighbors.nearest_lines(catalog, 5).collect())
+        with monkeypatch.context() as m:
+            # a chunk of queries is full at 1,024 of 1,200, and the catalog may be copied once
+            m.setattr(neighbors, "COPIES", 1)
+            m.setattr(neighbors, "ANSWERS", 1 << 12)
+            m.setattr(neighbors, "PROBES", 100, raising=False)
+            made.clear()
+            visits: list = []
+            found = neighbors.nearest_lines(catalog, 5, chunk_rows=50, cell_rows=25, visits=visits)
+            assert sorted(tuple(r) for r in found.collect()) == plain
+            # by cells only where these rule something out
+            assert bool(made) == is_clustered and ("CartesianProduct" in plan(found)) != is_clustered
+            assert visits and visits[0]["of_pairs"] == 1200 * 1200
+            assert (sum(v["pairs"] for v in visits) < visits[0]["of_pairs"]) == is_clustered
+
+
+def test_lines_that_are_no_ones_best_are_dropped(monkeypatch):
+    monkeypatch.setattr(neighbors, "PACKED_ROWS", 50)
+    monkeypatch.setattr(neighbors, "PART_LINES", 120)
+    rng = np.random.default_rng(12)
+    lines, queries = (rng.normal(size=(n, 6)).astype(np.float32) for n in (2000, 30))
+    pairs = [(q, b) for b in rng.permutation(40) for q in (0, 1)]
+    batch = pa.table({
+        "query_id": pa.array([list(range(q * 15, q * 15 + 15)) for q, _ in pairs]),
+        "query_vec": pa.array([queries[q * 15 : q * 15 + 15].tobytes() for q, _ in pairs], pa.binary()),
+        "floor": pa.array([[float("-inf")] * 15] * len(pairs)), "query_block": pa.array([q for q, _ in pairs]),
+        "near_id": pa.array([list(range(b * 50, b * 50 + 50)) for _, b in pairs]),
+        "line_vec": pa.array([lines[b * 50 : b * 50 + 50].tobytes() for _, b in pairs], pa.binary()),
+        "line_block": pa.array([int(b) for _, b in pairs]),
+    }).combine_chunks().to_batches()
+    kept = []
+
+    def noted(self, *a, f=neighbors._Lines.take_in):
+        f(self, *a)
+        kept.append(len(self.places) + sum(len(v[0]) for v in self.whole.values()))
+
+    monkeypatch.setattr(neighbors._Lines, "take_in", noted)
+    every = neighbors._unit(queries, True) @ neighbors._unit(lines, False).T
+    want = {(q, int(n), at + 1) for q in range(30) for at, n in enumerate(np.argsort(-every[q])[:4])}
+    # blocks of lines come in any order, and once more for other queries
+    for order in (batch, [pa.Table.from_batches(batch).take(np.argsort([q for q, _ in pairs], kind="stable")).combine_chunks().to_batches()[0]]):
+        kept.clear()
+        out = pa.Table.from_batches(neighbors._search_blocks(4, ("near_id",), None)(iter(order))).to_pylist()
+        assert {(r["query_id"], r["near_id"], r["place"]) for r in out} == want and len(out) == 120
+        assert max(kept) <= 120 + 120
